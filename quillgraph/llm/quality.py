@@ -1,8 +1,8 @@
 """Repetition rules: how much of a text lies inside n-grams and lines that it repeats.
 
 Rolling hashes of several n-gram lengths are taken over the words of many texts at once in numpy.  A
-window is repeated when its hash occurs at two or more places of the same text; what counts is the share
-of the text's characters that such windows cover, so overlapping windows are not counted twice.
+window is repeated when its hash occurs at two or more places of the same text; what counts is the share of the
+text's characters that windows after the first cover, so overlapping windows are not counted twice.
 """
 
 from __future__ import annotations
@@ -29,19 +29,18 @@ MEASURES = (
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Upper bounds on shares of a text's characters (or lines); the usual published values."""
+    """Upper bounds on shares of a text's characters; the usual published values."""
 
     base_n: int = 3
     top: dict[int, float] = field(default_factory=lambda: {2: 0.20, 3: 0.18, 4: 0.16})
     covered: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
-    dup_lines: float = 0.30
     dup_line_chars: float = 0.20
-    symbols_per_word: float = 0.10
+    symbols_per_word: float = 1.0
     min_words: int = 50
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which keys occur more than once; for each run of equal keys one place of it, and its length."""
+    """Which keys occur more than once; for each run of equal keys its first place, and its length."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     head = np.ones(len(k), bool)
@@ -74,16 +73,18 @@ def measure(data: np.ndarray, off: np.ndarray, rules: RepetitionRules) -> dict[s
     floor = np.maximum(total, 1)
     excess = np.zeros(n_docs)  # the largest of share / bound
 
-    def windows(n: int, among: np.ndarray) -> np.ndarray:
-        """Starts of repeated n-word windows, out of the places ``among``."""
+    def windows(n: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of repeated n-word windows, out of the places ``among``: all of them, and all but the first."""
         among = among[room[among] >= n]
         many, place, size = _repeated(tx.mix(grams[n][among] ^ salt[among]))
+        later = many.copy()
+        later[place] = False
         if n in rules.top and len(among):
-            place, size = among[place[size > 1]], size[size > 1]
+            head, size = among[place[size > 1]], size[size > 1]
             best = np.zeros(n_docs)
-            np.maximum.at(best, doc[place], size * (at[place + n] - at[place]))
+            np.maximum.at(best, doc[head], size * (at[head + n] - at[head]))
             np.maximum(excess, best / floor / rules.top[n], out=excess)
-        return among[many]
+        return among[many], among[later]
 
     def cover(n: int, starts: np.ndarray) -> np.ndarray:
         delta = np.zeros(len(doc) + 1, np.int64)
@@ -96,11 +97,11 @@ def measure(data: np.ndarray, off: np.ndarray, rules: RepetitionRules) -> dict[s
     # a longer window repeats only where each shorter one that starts there does
     places = np.arange(len(doc))
     for n in lengths:
-        places = windows(n, places)
+        places, later = windows(n, places)
         if n == rules.base_n:
             out["n_repeat_words"] = by_doc(doc[cover(n, places)], None)
         if n in rules.covered:
-            inside = cover(n, places)
+            inside = cover(n, later)
             np.maximum(excess, by_doc(doc[inside], chars[inside]) / floor / rules.covered[n], out=excess)
 
     lines = tx.find_words(data, off, _NEWLINE)
@@ -114,7 +115,6 @@ def measure(data: np.ndarray, off: np.ndarray, rules: RepetitionRules) -> dict[s
     out["n_dup_lines"] = by_doc(line_doc[again], None)
     out["dup_line_chars"] = by_doc(line_doc[again], line_chars[again])
     out["n_chars_counted"] = by_doc(line_doc, line_chars)
-    np.maximum(excess, out["n_dup_lines"] / np.maximum(out["n_lines"], 1) / rules.dup_lines, out=excess)
     np.maximum(excess, out["dup_line_chars"] / np.maximum(out["n_chars_counted"], 1) / rules.dup_line_chars, out=excess)
     np.maximum(excess, out["n_symbols"] / np.maximum(per, 1) / rules.symbols_per_word, out=excess)
 
