@@ -1,3 +1,203 @@
+"""Stupid-backoff language-model scores of every document against the rest of the corpus.
+
+S(w | h) = f(h w) / f(h) where the n-gram h w occurs outside the document, else alpha * S(w | shorter h);
+f are counts over all documents less those of the document itself, or each text would be known to its own
+model.  Relationally:
+
+* documents are dealt into blocks; a block's distinct n-grams of each order, with their counts, are packed
+  into one row for each hash bucket (the top bits of the hash), so a frequent n-gram is one entry a block;
+* the bucket's rows together are that part of the n-gram count table: totals by hash, summed;
+* the totals return to the blocks that asked, in the order of the block's n-grams, and are joined to the
+  exploded n-grams there; logarithms are summed for each document.
+
+Blocks and buckets grow in number with the corpus, not in size.
+"""
+
 from __future__ import annotations
-def score(docs):
-    raise NotImplementedError
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillgraph.llm import text as tx
+from quillgraph.llm.runtime import prepare
+
+#: Bytes of text in a block, and n-grams of all blocks in a bucket (about).
+BLOCK_BYTES = 8 << 20
+BUCKET_GRAMS = 2 << 20
+#: Count that a word has which occurs in no other document.
+FLOOR = 0.5
+
+
+def _codes(texts: pa.ChunkedArray | pa.Array, order: int):
+    """For each order 1..n: (document, hash) arrays of all n-grams; and the words of each document."""
+    docs, grams, counts = [[] for _ in range(order)], [[] for _ in range(order)], []
+    for lo, _hi, data, off in tx.rounds(texts):
+        w = tx.find_words(data, off, tx.SPACED)
+        counts.append(w.counts)
+        if not len(w.starts):
+            continue
+        h, doc, room = tx.hash_words(data, w), w.doc() + lo, w.room()
+        for n in range(1, order + 1):
+            ok = room >= n
+            docs[n - 1].append(doc[ok])
+            grams[n - 1].append((tx.gram_hash(h, n) if n > 1 else h)[ok])
+    join = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
+    return [(join(d, np.int64), join(g, tx.U)) for d, g in zip(docs, grams, strict=True)], join(counts, np.int64)
+
+
+_ASK = "bucket int, block int, n int, hashes binary, counts binary"
+_HASH_BYTES = 6
+
+
+def _ask(bits: int, order: int):
+    """Rows of a block's distinct n-grams, one for each bucket; rows of a partition come sorted by block."""
+
+    def block_rows(block: int, texts: pa.Array):
+        coded, _ = _codes(texts, order)
+        for n, (_, g) in enumerate(coded, 1):
+            distinct, count = np.unique(g, return_counts=True)
+            where = np.searchsorted(distinct, (np.arange(1 << bits, dtype=tx.U) << tx.U(64 - bits)) if bits else np.zeros(1, tx.U))
+            rest = (distinct << tx.U(bits)) >> tx.U(16)
+            packed = np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
+            edges = np.append(where, len(distinct))
+            rows = [(b, block, n, np.ascontiguousarray(packed[s:e]).tobytes(), zlib.compress(count[s:e].astype("<u4").tobytes(), 1)) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "n", "hashes", "counts"])
+
+    def run(batches):
+        yield from _per_block(batches, block_rows)
+
+    return run
+
+
+def _per_block(batches, make):
+    block, held = None, []
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        edges = np.flatnonzero(np.diff(blocks)) + 1
+        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)], strict=True):
+            if e == s:
+                continue
+            if blocks[s] != block:
+                if held:
+                    yield from make(block, pa.chunked_array(held))
+                block, held = int(blocks[s]), []
+            held.append(batch.column("text").slice(s, e - s))
+    if held:
+        yield from make(block, pa.chunked_array(held))
+
+
+def _total(batches):
+    """Adds up the rows of each (bucket, n), which come sorted, and answers each with the totals of its n-grams."""
+    key, held = None, []
+
+    def answer():
+        hashes, counts = [], []
+        for _, h, c in held:
+            a = np.zeros((len(h) // _HASH_BYTES, 8), np.uint8)
+            a[:, :_HASH_BYTES] = np.frombuffer(h, np.uint8).reshape(-1, _HASH_BYTES)
+            hashes.append(a.view(np.uint64).reshape(-1))
+            counts.append(np.frombuffer(zlib.decompress(c), "<u4"))
+        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]
+        rows, place = [], 0
+        for (block, _, _), h in zip(held, hashes, strict=True):
+            part = total[place : place + len(h)]
+            place += len(h)
+            rows.append((block, key[1], key[0], zlib.compress(part.astype("<i8" if part.max() >= 1 << 32 else "<u4").tobytes(), 1), len(h)))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "n", "bucket", "totals", "size"])
+
+    for batch in batches:
+        for b, block, n, h, c in zip(*(batch.column(x) for x in ("bucket", "block", "n", "hashes", "counts")), strict=True):
+            if (b.as_py(), n.as_py()) != key:
+                if held:
+                    yield from answer()
+                key, held = (b.as_py(), n.as_py()), []
+            held.append((block.as_py(), h.as_py(), c.as_py()))
+    if held:
+        yield from answer()
+
+
+def score_block(coded, words: np.ndarray, totals: list[np.ndarray], corpus_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of log S, n-grams of the highest order found elsewhere) of each document of a block."""
+    n_docs = len(words)
+    order = len(coded)
+    # for each n-gram occurrence its count in other documents
+    other: list[np.ndarray] = []
+    for (doc, g), total in zip(coded, totals, strict=True):
+        _, at = np.unique(g, return_inverse=True)
+        pair = doc * max(len(total), 1) + at
+        _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
+        other.append(total[at] - own[back])
+    first = np.concatenate([[0], np.cumsum(words)])
+    doc1 = coded[0][0]
+    elsewhere = np.maximum(corpus_words - words, 1)
+    out = np.log(np.maximum(other[0], FLOOR) / elsewhere[doc1])
+    level = np.ones(len(doc1), np.int64)
+    for n in range(2, order + 1):
+        doc = coded[n - 1][0]
+        if not len(doc):
+            break
+        # the k-th n-gram of a document ends at its word k + n - 1, and its history is (n - 1)-gram k
+        k = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        last = first[doc] + k + n - 1
+        history = np.searchsorted(coded[n - 2][0], doc) + k
+        seen = other[n - 1] > 0
+        out[last] = np.where(seen, np.log(np.maximum(other[n - 1], 1) / np.maximum(other[n - 2][history], 1)), np.log(alpha) + out[last])
+        level[last[seen]] = n
+    sums = np.bincount(doc1, out, n_docs)
+    return sums, np.bincount(doc1, level == order, n_docs).astype(np.int64)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4) -> DataFrame:
+    """``id_col``, n_words, log_score (sum of natural logarithms), per_word (its mean) and n_known (words
+    whose whole n-gram occurs in another document), for each row of ``docs``.
+
+    Words are what stands between ASCII white space.  Null and empty texts have no words, log_score 0 and
+    a null per_word.  Repeated rows are documents of their own, and know each other's n-grams.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def sizes(batches):
+        size = words = rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for _, _, data, off in tx.rounds(batch.column("text")):
+                size += len(data)
+                words += len(tx.find_words(data, off, tx.SPACED).starts)
+        yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([words]), pa.array([rows])], names=["size", "words", "docs"])
+
+    r = src.mapInArrow(sizes, "size long, words long, docs long").agg(F.sum("size"), F.sum("words"), F.sum("docs")).first()
+    size, corpus_words = r[0] or 0, r[1] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    bits = max(0, (corpus_words // BUCKET_GRAMS).bit_length())
+    buckets = 1 << bits
+    # copies of a text go apart by their ids
+    dealt = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", "id", F.xxhash64("text"))
+    asked = dealt.mapInArrow(_ask(bits, order), _ASK)
+    tables = asked.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "n", "block").mapInArrow(_total, "block int, n int, bucket int, totals binary, size int")
+
+    def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        coded, words = _codes(left.column("text"), order)
+        rows = sorted(zip(right.column("n").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist(), right.column("size").to_pylist(), strict=True))
+        totals = [np.zeros(0, np.int64)] * order
+        for n in range(1, order + 1):
+            raw = [(zlib.decompress(t), s) for m, _, t, s in rows if m == n]
+            if raw:
+                totals[n - 1] = np.concatenate([np.frombuffer(t, "<i8" if len(t) == 8 * s else "<u4").astype(np.int64) for t, s in raw])
+        total, known = score_block(coded, words, totals, corpus_words, alpha)
+        mean = pa.array(total / np.maximum(words, 1), mask=words == 0)
+        return pa.table([left.column("id"), pa.array(words), pa.array(total), mean, pa.array(known)], names=["id", "n_words", "log_score", "per_word", "n_known"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    out = dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(finish, f"id {id_type}, n_words long, log_score double, per_word double, n_known long")
+    return out.withColumnRenamed("id", id_col)
