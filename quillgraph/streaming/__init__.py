@@ -1,0 +1,6 @@
+"""Continuous queries.
+
+The feature set that this engine covers has no streams: no watermarks, windows or late data.  Triple
+scans are ordinary DataFrames, so a graph over streaming tables can be queried with the stateless part of
+the language (patterns on one table, filters, projections) without further code.
+"""
