@@ -150,7 +150,8 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
     h = words.copy()
     for k in range(1, n):
         h *= _MULT
-        h[: len(h) - k] += words[k:]
+        if k < len(h):
+            h[: len(h) - k] += words[k:]
     return mix(h)
 
 
