@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillgraph.llm.chunks import ChunkEncoder
+from quillgraph.llm.chunks import ChunkEncoder, spelled_out
 from quillgraph.llm.runtime import prepare, unclash
 
 #: Entries of each memo; when full it starts anew.
 MEMO = 400_000
-#: The characters with the property White_Space, which the rank files' pattern means by \s (fixed values).
-WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -38,9 +36,7 @@ class Bpe:
 
         self.ranks = ranks
         self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
-        for short, full in ((r"[^\s", f"[^{WHITE}"), (r"\s", f"[{WHITE}]"), (r"\S", f"[^{WHITE}]")):
-            pattern = pattern.replace(short, full)
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(spelled_out(pattern)).findall
         self.trie = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.trie.add_word(token.decode("latin-1"), (i, len(token)))

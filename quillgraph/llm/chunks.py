@@ -9,8 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Chunks held; when full the cache starts anew.
-CAPACITY = 250_000
+#: Chunks of the young generation: when it is full it becomes the old one, from which chunks come back that
+#: are met again.  Both together hold some 150 MB at most.
+CAPACITY = 350_000
+
+#: The characters with the property White_Space, which split patterns mean by \\s (fixed values).
+WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def spelled_out(pattern: str) -> str:
+    """A split pattern with its white space as a list of characters, whatever a library counts as such."""
+    for short, full in ((r"[^\s", f"[^{WHITE}"), (r"\s", f"[{WHITE}]"), (r"\S", f"[^{WHITE}]")):
+        pattern = pattern.replace(short, full)
+    return pattern
 
 
 def cut_points(text: str) -> list[str]:
@@ -32,23 +43,32 @@ class ChunkEncoder:
         self.encode_many = encode_many
         self.capacity = capacity
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Makes the ids of chunks known."""
+        back = {c: self.old[c] for c in chunks if c in self.old}
+        self.known.update(back)
+        fresh = list(chunks - back.keys())
+        self.known.update(zip(fresh, self.encode_many([" " + c for c in fresh]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.capacity:
+            self.known, self.old = {}, self.known
         known = self.known
-        split = [t.split(" ") for t in texts]
-        # chunks that begin with white space, or are empty, are never in the cache under such a key
-        new = {c for parts in split for c in parts[1:] if c not in known}
+        heads, tails = [], []
+        for t in texts:
+            head, *tail = t.split(" ")
+            heads.append(head)
+            tails.append(tail)
+        # chunks that begin with white space, or are empty, are never known under such a key
+        new = set().union(*tails).difference(known)
         odd = {c for c in new if not c or c[0].isspace()}
         if odd:
-            for i, parts in enumerate(split):
-                if not odd.isdisjoint(parts[1:]):
-                    split[i] = cut_points(texts[i])
-            new = {c for parts in split for c in parts[1:] if c not in known}
-        if len(known) + len(new) > self.capacity:
-            known.clear()
-            new = {c for parts in split for c in parts[1:]}
-        fresh = list(new)
-        known.update(zip(fresh, self.encode_many([" " + c for c in fresh]), strict=True))
-        heads = self.encode_many([parts[0] for parts in split])
-        out = [head + b"".join([known[c] for c in parts[1:]]) for head, parts in zip(heads, split, strict=True)]
-        return out
+            for i, tail in enumerate(tails):
+                if not odd.isdisjoint(tail):
+                    heads[i], *tails[i] = cut_points(texts[i])
+            new = set().union(*tails).difference(known)
+        self.learn(new)
+        get = known.__getitem__
+        return [head + b"".join(map(get, tail)) for head, tail in zip(self.encode_many(heads), tails, strict=True)]

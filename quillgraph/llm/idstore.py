@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
-from quillgraph.llm.chunks import ChunkEncoder
+from quillgraph.llm.chunks import ChunkEncoder, spelled_out
 from quillgraph.llm.runtime import cut, file_system, fresh, prepare
 
 MAGIC = b"QGID"
@@ -148,26 +150,74 @@ class Shard:
         return None if slot < 0 else self.ids(slot)
 
 
-_tokenizers: dict[str, ChunkEncoder] = {}
+#: The split of byte-level tokenizers, and the characters that it takes for white space (fixed values).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces whose ids are held; as with chunks, twice as many at most.
+PIECES = 250_000
 
 
-def _tokenizer(tokenizer_json: str, width: int) -> ChunkEncoder:
-    """A cached encoder of the tokenizers library, for byte-level vocabularies without a normaliser."""
-    key = f"{zlib.crc32(tokenizer_json.encode())}-{len(tokenizer_json)}-{width}"
-    if key not in _tokenizers:
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it is printable Latin-1, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Pieces:
+    """Ids of chunks from those of their pieces, which the library's model makes."""
+
+    def __init__(self, tokenizer_json: str, width: int):
+        import regex
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(tokenizer_json)
         form = json.loads(tokenizer_json)
-        cuttable = form.get("normalizer") is None and (form.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not form["pre_tokenizer"]["add_prefix_space"]
-        if not cuttable:
+        pre = form.get("pre_tokenizer") or {}
+        if form.get("normalizer") is not None or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("a byte-level tokenizer without a normaliser or a prefix space is needed")
+        self.whole = Tokenizer.from_str(tokenizer_json)
+        self.model = self.whole.model
+        self.marks = [t["content"] for t in form.get("added_tokens", [])]
+        self.code = "H" if width == 2 else "I"
+        self.split = regex.compile(spelled_out(BYTE_LEVEL)).findall
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        a = array(self.code, ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def piece(self, p: str) -> bytes:
+        out = self.old.get(p)
+        if out is None:
+            out = self.pack([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+        if len(p) < 64:
+            if len(self.known) >= PIECES:
+                self.known, self.old = {}, self.known
+            self.known[p] = out
+        return out
 
-        def many(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, f"<u{width}").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+    def chunk(self, c: str) -> bytes:
+        if any(m in c for m in self.marks):  # a special token's own text
+            return self.pack(self.whole.encode(c, add_special_tokens=False).ids)
+        known = self.known
+        return b"".join([known.get(p) or self.piece(p) for p in self.split(c)])
 
+    def many(self, chunks: list[str]) -> list[bytes]:
+        return [self.chunk(c) for c in chunks]
+
+
+_tokenizers: dict[str, ChunkEncoder] = {}
+
+
+def _tokenizer(tokenizer_json: str, width: int) -> ChunkEncoder:
+    """A cached encoder of the tokenizers library, for byte-level vocabularies without a normaliser."""
+    key = f"{zlib.crc32(tokenizer_json.encode())}-{len(tokenizer_json)}-{width}"
+    if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = ChunkEncoder(many)
+        _tokenizers[key] = ChunkEncoder(_Pieces(tokenizer_json, width).many)
     return _tokenizers[key]
 
 
