@@ -90,7 +90,7 @@ sparql("c5_optional_label", "SELECT ?d ?q WHERE { ?d :source ?s OPTIONAL { ?d :q
 sparql("c6_minus", "SELECT ?d WHERE { ?d :source ?s MINUS { ?d :toxic 1 } }", "SELECT 'kg:document/' || doc_id AS d FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 sparql("c6_minus_disjoint", "SELECT ?n WHERE { ?n a :region MINUS { ?x a :nation } }", "SELECT 'kg:region/' || r_regionkey AS n FROM region")
 sparql("c7_exists", "SELECT ?c WHERE { ?c :mktsegment ?m FILTER EXISTS { ?o :placed_by ?c ; :orderpriority \"1-URGENT\" } }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
-sparql("c8_not_exists", "SELECT ?c WHERE { ?c :mktsegment ?m FILTER NOT EXISTS { ?o :placed_by ?c } }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sparql("c8_not_exists", "SELECT ?c WHERE { ?c :mktsegment ?m FILTER NOT EXISTS { ?o :placed_by ?c ; :status \"P\" } }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 sparql("c8_correlated_filter", "SELECT ?c WHERE { ?c :acctbal ?b ; :mktsegment ?m FILTER NOT EXISTS { ?o :placed_by ?c ; :totalprice ?t FILTER(?t > ?b * 50) } }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)")
 sparql("c9_exists_or", "SELECT ?c WHERE { ?c :acctbal ?b ; :mktsegment ?m FILTER(EXISTS { ?o :placed_by ?c ; :status \"P\" } || ?b < 0) }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') OR c_acctbal < 0")
 sparql("c10_values_semi", "SELECT ?o WHERE { VALUES ?c { <kg:customer/1> <kg:customer/4> <kg:customer/7> } ?o :placed_by ?c }", "SELECT 'kg:order/' || o_orderkey AS o FROM orders WHERE o_custkey IN (1, 4, 7)")
