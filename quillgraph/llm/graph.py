@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgraph.llm.runtime import cut, discard
@@ -15,8 +15,7 @@ def connected(edges: DataFrame) -> DataFrame:
     the same among smaller neighbours; both are a grouped minimum and a join, and the number of rounds
     grows with the logarithm of the longest path.
     """
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
+    now, mark = _stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,8 +23,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = large.unionByName(now.join(low, "u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        seen = _mark(then)
+        then, seen = _stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(now)
         now = then
         if seen == mark:
@@ -34,5 +32,10 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """A written edge table, and a digest of it that is gathered while it is written."""
+    seen = Observation()
+    code = F.xxhash64("u", "v")
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(code).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"))
+    table = cut(watched, "edges")
+    return table, tuple(seen.get.get(k) for k in "nxs")

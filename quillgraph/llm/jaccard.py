@@ -8,23 +8,27 @@ documents that share content.  So:
    rare to frequent.  Two sets that are similar enough share a shingle among the rarest quarter of each,
    so the holders of such a shingle form a bucket, and every link lies inside a bucket.
 2. A small bucket (at most ``SMALL`` sets) is compared directly.  A larger one takes its most central set
-   as pivot, and every member is compared with that pivot alone.
-3. Where a large bucket still holds two components, it takes more pivots.  Each member belongs to the
-   Voronoi region of its nearest pivot; members whose distances put them within the triangle-inequality
-   window of another region are replicated there, and those far from all pivots form a region of their
-   own.  Regions are joined in the same way, pivots being done, until each is small or of one component.
-
-Distances are exact set intersections.  Equal sets are one component at once, before any comparison.
+   as pivot, and every member is compared with that pivot alone.  The buckets of one pivot are its region.
+3. A region that still holds two components is joined further.  One of bounded size is joined in memory:
+   central sets first, each pivot is compared with all others through an inverted index, until every set
+   that is left lies in one component.  A larger one takes more pivots: each member belongs to the Voronoi
+   region of its nearest pivot; members whose distances put them within the triangle-inequality window of
+   another region are replicated there, and those far from all pivots form a region of their own.  These
+   are joined in the same way, pivots being done.
+
+Distances are set intersections of 40-bit hashes.  Equal sets (by 128 bits) are one component at once,
+before any comparison.
 """
 
 from __future__ import annotations
 
 import itertools
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
@@ -33,11 +37,17 @@ from quillgraph.llm.runtime import cut, discard, prepare
 
 #: Sets of a bucket that are compared with each other directly.
 SMALL = 8
-#: Pivots of a large bucket in the first recursion; each next one takes twice as many.
-PIVOTS = 4
+#: Pivots of a region that is too large for memory; each next recursion takes twice as many.
+PIVOTS = 8
+#: Shingles of a region that one task joins in memory: 32 MB of hashes.
+REGION = 4 << 20
 #: Counters for the rarity of shingles, and the pieces in which they are summed.
 COUNTERS = 1 << 21
 PIECES = 64
+#: Bytes kept of a shingle's hash where two sets are compared.
+SHORT = 5
+#: Bits of the filter that keeps texts without a partner from being shuffled: 8 MB, whatever the corpus.
+FILTER_BITS = 1 << 26
 #: Signatures that a task remembers to leave out further copies of a set.
 MEMORY = 1 << 18
 
@@ -116,7 +126,7 @@ def _rarity(survey: DataFrame) -> np.ndarray:
             packed = zlib.compress(np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed])], names=["piece", "counts"])
 
-    rows = survey.filter("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary")
+    rows = survey.filter("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(add, "piece int, counts binary")
     out = np.zeros(COUNTERS, np.uint32)
     step = COUNTERS // PIECES
     for r in rows.collect():  # at most PIECES rows
@@ -175,22 +185,22 @@ def _buckets(batches, share: int):
     """Streams postings sorted by (token, rank descending, id).
 
     Gives pairs (a, b) to compare: all of a small bucket, else each member with the first, its pivot;
-    and, with a token, the members of large buckets but for their pivots.
+    and the members of large buckets but for their pivots, with the pivot as token: its region.
     """
     hold = [np.zeros(0, np.int64)] * 3
     open_token = pivot = None
 
-    def star(token, ids, ranks, p):
+    def star(ids, ranks, p):
         ok = (ids != p[0]) & _size_ok(ranks, np.full(len(ranks), p[1]), share)
         yield _batch(ids[ok], np.full(int(ok.sum()), p[0]))
         rest = ids != p[0]
-        yield _batch(ids[rest], None, np.full(int(rest.sum()), token), ranks[rest])
+        yield _batch(ids[rest], None, np.full(int(rest.sum()), p[0]), ranks[rest])
 
     def close(token, ids, ranks, last):
         nonlocal open_token, pivot
         if open_token is not None and len(token) and token[0] == open_token:
             n = int(np.searchsorted(token != open_token, True)) if token[-1] != open_token else len(token)
-            yield from star(open_token, ids[:n], ranks[:n], pivot)
+            yield from star(ids[:n], ranks[:n], pivot)
             token, ids, ranks = token[n:], ids[n:], ranks[n:]
         if not len(token):
             return
@@ -205,7 +215,7 @@ def _buckets(batches, share: int):
                 yield _batch(ids[x[ok]], ids[y[ok]])
         for at, s in zip(head[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             p = (ids[at], ranks[at])
-            yield from star(token[at], ids[at : at + s], ranks[at : at + s], p)
+            yield from star(ids[at : at + s], ranks[at : at + s], p)
             if not last and at + s == len(token):
                 open_token, pivot = token[at], p
 
@@ -222,17 +232,68 @@ def _buckets(batches, share: int):
         yield from close(*hold, True)
 
 
+def _short(grams: np.ndarray) -> bytes:
+    return np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def _long(raw) -> np.ndarray:
+    a = np.zeros((len(raw) // SHORT, 8), np.uint8)
+    a[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
+    return a.view(tx.U).reshape(-1)
+
+
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (tx.mix(ids.astype(np.int64).view(tx.U)) % tx.U(FILTER_BITS)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of a fixed size: an id without its bit is not among them."""
+    step = FILTER_BITS // PIECES
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_place(batch.column("id").to_numpy())] = True
+        for p in range(PIECES):
+            part = bits[p * step : (p + 1) * step]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)])], names=["piece", "bits"])
+
+    def join(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, raw in zip(batch.column("piece").to_pylist(), batch.column("bits"), strict=True):
+                part = np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
+                total[p] = total[p] | part if p in total else part
+        for p, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["piece", "bits"])
+
+    rows = ids.mapInArrow(mark, "piece int, bits binary").repartition("piece").mapInArrow(join, "piece int, bits binary")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.collect():  # at most PIECES rows
+        out[r.piece * step // 8 : (r.piece + 1) * step // 8] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+    return out
+
+
 def _set_table(src: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, n, grams (packed sorted hashes) of the texts of ``ids``."""
+    """id, n, grams (packed hashes without order) of the texts of ``ids``."""
+    present = src.sparkSession.sparkContext.broadcast(_id_filter(ids))  # FILTER_BITS bits
+
+    def sift(batches):
+        bits = present.value
+        for batch in batches:
+            at = _place(batch.column("id").to_numpy())
+            yield batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in tx.rounds(batch.column("text")):
                 grams, first = shingle_sets(data, off, k)
-                packed = [grams[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                packed = [_short(grams[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(packed, pa.binary())], names=["id", "n", "grams"])
 
-    return src.filter("id is not null and text is not null").join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, grams binary")
+    likely = src.filter("id is not null and text is not null").mapInArrow(sift, "id long, text string")
+    return likely.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, n long, grams binary")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,7 +303,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             inter, uni = [], []
             for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), tx.U) for z in (x, y))
+                p, q = (_long(z.as_buffer()) for z in (x, y))
                 both = np.concatenate([p, q])
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -252,30 +313,80 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, inter long, uni long")
+    # by key at every size: what is broadcast at a small size would be shuffled at a large one
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, inter long, uni long")
 
 
 def _recurse(batches, k: int):
-    """Streams members of open buckets, sorted as before: all pairs of a small one, else each member with
-    the first k, its pivots.  Pivots come back with their token."""
+    """Streams members of large regions, most central first: each member with the first k, its pivots.
+    Pivots come back with their token."""
     token, first = None, []
     for batch in batches:
-        ids, tokens, counts = (batch.column(c).to_pylist() for c in ("id", "token", "size"))
-        pa_, pb, pt = [], [], []
-        for i, t, n in zip(ids, tokens, counts, strict=True):
+        ids, tokens = (batch.column(c).to_pylist() for c in ("id", "token"))
+        out = []
+        for i, t in zip(ids, tokens, strict=True):
             if t != token:
                 token, first = t, []
-            for p in first:
-                if p != i:
-                    pa_.append(i), pb.append(p), pt.append(None)
-            if n <= SMALL or len(first) < k:
-                if i not in first:
-                    first.append(i)
-                    if n > SMALL:
-                        pa_.append(i), pb.append(None), pt.append(t)
-        if pa_:
-            cols = [pa.array(c, pa.int64()) for c in (pa_, pb, pt, [None] * len(pa_))]
-            yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+            out += [(i, p, None, None) for p in first if p != i]
+            if len(first) < k and i not in first:
+                first.append(i)
+                out.append((i, None, t, None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=_NAMES)
+
+
+def join_region(ids: list[int], comps: list[int], sets: list[np.ndarray], share: int) -> list[tuple[int, int, int, int]]:
+    """Links (a, b, intersection, union) that join the components of a region as its sets demand.
+
+    Each pivot is compared with every set.  A pair is left out only when both already share a component
+    or one of them was a pivot, so the components come out exact.
+    """
+    n = len(ids)
+    size = np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(n), size)
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    holders, first = doc[order], np.concatenate([[0], np.cumsum(df)])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    central = np.bincount(doc, df[code], n) / np.maximum(size, 1)
+    _, comp = np.unique(np.array(comps), return_inverse=True)
+    left = np.ones(n, bool)
+    out = []
+    by_centre = np.argsort(-central, kind="stable")
+    while True:
+        open_comps = np.bincount(comp[left], minlength=1)
+        if (open_comps > 0).sum() < 2:
+            return out
+        # after the first, sets outside the largest component: few are, once a centre has been found
+        main = int(np.argmax(open_comps))
+        at = next(i for i in by_centre if left[i] and (not out or comp[i] != main))
+        left[at] = False
+        mine = code[bounds[at] : bounds[at + 1]]
+        shared = np.bincount(np.concatenate([holders[first[c] : first[c + 1]] for c in mine]) if len(mine) else [], minlength=n)
+        union = size + size[at] - shared
+        for j in np.flatnonzero((100 * shared >= share * union) & (comp != comp[at])):
+            if comp[j] != comp[at]:
+                out.append((ids[at], ids[j], int(shared[j]), int(union[j])))
+                comp[comp == comp[j]] = comp[at]
+
+
+def _join_small(batches, share: int):
+    """Streams (token, id, comp, grams) sorted by token; joins each region in memory."""
+    token, held = None, []
+
+    def done():
+        rows = [(min(a, b), max(a, b), i, u) for a, b, i, u in join_region(*(list(c) for c in zip(*held, strict=True)), share)] if len(held) > 1 else []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "inter", "uni"])
+
+    for batch in batches:
+        for t, i, c, g in zip(*(batch.column(x) for x in ("token", "id", "comp", "grams")), strict=True):
+            t = t.as_py()
+            if t != token:
+                yield from done()
+                token, held = t, []
+            held.append((i.as_py(), c.as_py(), _long(g.as_py())))
+    yield from done()
 
 
 def _ordered(a: str = "a", b: str = "b"):
@@ -301,36 +412,47 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = _postings(src, k, share, rarity).repartition("token").sortWithinPartitions("token", F.desc("rank"), "id")
     first = cut(dealt.mapInArrow(lambda b: _buckets(b, share), _BUCKET_OUT), "buckets")
     pairs = cut(first.filter("token is null").select(*_ordered()).distinct(), "pairs")
-    members = first.filter("token is not null").select("token", F.col("a").alias("id"), "rank")
+    members = cut(first.filter("token is not null").groupBy("token", F.col("a").alias("id")).agg(F.max("rank").alias("rank")), "members")
     holders = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
     sets = cut(_set_table(src, holders, k), "sets")
     known = [cut(_overlaps(pairs, sets), "overlaps")]
     comps = cut(connected(_links(known, share).unionByName(copies)), "comps")
     if not members.isEmpty():
-        comps = _join_regions(spark, members, sets, known, copies, comps, share)
+        comps = _join_regions(members, sets, known, copies, comps, share)
+    discard(first, pairs, members, sets, *known)
     node = comps.select(F.col("node").alias("id"), "comp")
     return signed.join(node, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _links(known: list[DataFrame], share: int) -> DataFrame:
-    every = known[0]
-    for more in known[1:]:
-        every = every.unionByName(more)
-    return every.filter(f"100 * inter >= {share} * uni").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return _all(known).filter(f"100 * inter >= {share} * uni").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _join_regions(spark: SparkSession, members: DataFrame, sets: DataFrame, known: list[DataFrame], copies: DataFrame, comps: DataFrame, share: int) -> DataFrame:
-    """Joins the large buckets region by region until none holds two components that might link."""
-    eps = 1 - share / 100
+def _join_regions(members: DataFrame, sets: DataFrame, known: list[DataFrame], copies: DataFrame, comps: DataFrame, share: int) -> DataFrame:
+    """Joins the regions until none holds two components that might link."""
+    eps, tiny = 1 - share / 100, 1e-9
     k = PIVOTS
     while True:
         at = members.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        state = at.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1").select("token", "size")
-        live = cut(members.join(state, "token"), "regions")
+        size = F.sum(F.col("rank").bitwiseAND(0xFFFFFFFF))
+        state = at.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), size.alias("size")).filter("c0 <> c1").select("token", "size")
+        live = cut(at.join(state, "token"), "regions")
+        small, large = live.filter(F.col("size") <= REGION), live.filter(F.col("size") > REGION)
         if live.isEmpty():
             return comps
-        dealt = live.repartition("token").sortWithinPartitions("token", F.desc("rank"), "id")
-        step = cut(dealt.mapInArrow(lambda b, k=k: _recurse(b, k), _BUCKET_OUT), "step")
+        loaded = small.join(sets.select("id", "grams"), "id").select("token", "id", "comp", "grams")
+        dealt = loaded.repartition("token").sortWithinPartitions("token", "id")
+        known.append(cut(dealt.mapInArrow(lambda b: _join_small(b, share), "a long, b long, inter long, uni long"), "overlaps"))
+        if large.isEmpty():
+            found = not known[-1].isEmpty()
+            return cut(connected(_links(known, share).unionByName(copies)), "comps") if found else comps
+
+        order = large.repartition("token").sortWithinPartitions("token", F.desc("rank"), "id")
+        step = cut(order.mapInArrow(lambda b, k=k: _recurse(b, k), _BUCKET_OUT), "step")
         asked = step.filter("token is null").select(*_ordered()).distinct()
         for old in known:
             asked = asked.join(old.select("a", "b"), ["a", "b"], "left_anti")
@@ -338,20 +460,16 @@ def _join_regions(spark: SparkSession, members: DataFrame, sets: DataFrame, know
         comps = cut(connected(_links(known, share).unionByName(copies)), "comps")
 
         pivots = step.filter("token is not null").select("token", F.col("a").alias("pivot"))
-        rest = live.filter(f"size > {SMALL}").join(pivots.select("token", F.col("pivot").alias("id")), ["token", "id"], "left_anti")
-        every = known[0]
-        for more in known[1:]:
-            every = every.unionByName(more)
+        rest = large.join(pivots.select("token", F.col("pivot").alias("id")), ["token", "id"], "left_anti")
         # several texts under one id: the nearest counts
-        apart = every.groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("uni")).alias("d"))
+        apart = _all(known).groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("uni")).alias("d"))
         near = rest.join(pivots, "token").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")).join(apart, ["a", "b"]).select("token", "id", "rank", "pivot", "d")
         home = near.groupBy("token", "id", "rank").agg(F.min("d").alias("r"))
-        tiny = 1e-9
         inner = near.join(home, ["token", "id", "rank"]).filter((F.col("r") <= 2 * eps + tiny) & (F.col("d") <= F.least(F.lit(3 * eps), F.col("r") + 2 * eps) + tiny))
         inner = inner.select(F.xxhash64("token", "pivot").alias("token"), "id", "rank")
         far = home.filter(F.col("r") > eps - tiny).select(F.xxhash64("token", F.lit("far")).alias("token"), "id", "rank")
         then = cut(inner.unionByName(far), "members")
-        discard(live, step)
+        discard(members, live, step)
         members, k = then, 2 * k
 
 
