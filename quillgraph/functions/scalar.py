@@ -162,6 +162,8 @@ def call(e: A.Call, go: Callable) -> tuple[Column, VType]:
         return cast(name[len(A.XSD) :], *go(e.args[0]))
     if name not in _CALLS:
         raise Unsupported(f"unknown function {name}")
+    if name in ("TZ", "TIMEZONE") and isinstance(e.args[0], A.Lit):  # a native time has lost its zone
+        return _CALLS[name]((F.lit(e.args[0].lex), STR))
     return _CALLS[name](*[go(a) for a in e.args])
 
 
