@@ -560,9 +560,9 @@ def _b26(spark, sf_dir):
     return engine(spark, sf_dir).sparql(g.with_answer("kg:customer/1"))
 
 
-@query("b31_valid_annotations", "SELECT event_id, user_id FROM events WHERE event_type <> 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE value > 99)")
+@query("b31_valid_annotations", "SELECT event_id, user_id FROM events WHERE event_type <> 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)")
 def _b31(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("value") > 99, 9999.0).otherwise(F.col("value")).alias("seconds"), (F.col("event_type") != "view").alias("ok"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 97 == 0, 9999.0).otherwise(F.col("value")).alias("seconds"), (F.col("event_type") != "view").alias("ok"))
     return reports.valid_annotations(rows, "user_id", "seconds", "ok").select("event_id", "user_id")
 
 
