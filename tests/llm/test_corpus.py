@@ -139,14 +139,14 @@ def test_near_copies_in_large_regions(spark, monkeypatch):
     """Groups above the direct size, and a recursion that memory does not end."""
     rng = random.Random(3)
     docs = []
-    for family in range(3):
+    for _ in range(2):
         words = prose(rng, 120, 5000).split()
-        for _ in range(40):
+        for _ in range(20):
             w = list(words)
             for _ in range(rng.choice([1, 2, 4, 6])):
                 w[rng.randrange(120)] = f"q{rng.randrange(10**6)}"
             docs.append((len(docs), " ".join(w)))
-    docs += [(len(docs) + i, prose(rng, 60)) for i in range(20)]
+    docs += [(len(docs) + i, prose(rng, 60)) for i in range(10)]
     df = spark.createDataFrame(docs, SCHEMA)
     want = brute.jaccard(docs)
     assert rows(jaccard.components(df), "doc_id", "n_shingles", "component_id") == want
