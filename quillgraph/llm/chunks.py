@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Chunks of the young generation: when it is full it becomes the old one, from which chunks come back that
-#: are met again.  Both together hold some 150 MB at most.
-CAPACITY = 350_000
+#: are met again.  Both together hold some 200 MB at most.
+CAPACITY = 600_000
 
 #: The characters with the property White_Space, which split patterns mean by \\s (fixed values).
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

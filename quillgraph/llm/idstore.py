@@ -153,7 +153,7 @@ class Shard:
 #: The split of byte-level tokenizers, and the characters that it takes for white space (fixed values).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids are held; as with chunks, twice as many at most.
-PIECES = 250_000
+PIECES = 400_000
 
 
 def byte_letters() -> dict[int, str]:
