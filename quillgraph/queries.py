@@ -489,6 +489,48 @@ def _n10(spark, sf_dir):
     return explore.next_items(sales_graph(spark, sf_dir), _anchors(spark, sf_dir), "of_nation", with_label=True)
 
 
+# the same with every customer (every supplier) as anchor
+def _every(spark, sf_dir, cls, key):
+    return table(spark, sf_dir, cls).select(F.concat(F.lit(f"kg:{cls}/"), F.col(key).cast("string")).alias("node"))
+
+
+def _customers(spark, sf_dir):
+    return _every(spark, sf_dir, "customer", "c_custkey")
+
+
+@query("n2_classes_all", "SELECT 'kg:customer/' || c_custkey AS node, 'customer' AS cls FROM customer")
+def _n2_all(spark, sf_dir):
+    return explore.classes_of(sales_graph(spark, sf_dir), _customers(spark, sf_dir))
+
+
+@query("n9_expand_all", """SELECT unnest(['name', 'acctbal', 'mktsegment', 'of_nation']) AS relation, count(*) AS n_anchors, count(*) AS n_pairs FROM customer
+UNION ALL SELECT '^placed_by', count(DISTINCT o_custkey), count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) HAVING count(*) > 0
+UNION ALL SELECT '^by_user', count(DISTINCT user_id), count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer) HAVING count(*) > 0""")
+def _n9_all(spark, sf_dir):
+    return explore.next_relations(sales_graph(spark, sf_dir), _customers(spark, sf_dir))
+
+
+@query("n9_expand_cvt_all", """WITH l AS (SELECT * FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier))
+SELECT '^of_supplier/' || p AS relation, count(DISTINCT l_suppkey) AS n_anchors, count(*) AS n_pairs FROM l, (SELECT unnest(['of_order', 'of_part', 'quantity', 'extendedprice', 'discount', 'tax', 'shipdate', 'returnflag', 'linestatus']) AS p) GROUP BY 1""")
+def _n9c_all(spark, sf_dir):
+    return explore.next_relations(sales_graph(spark, sf_dir), _every(spark, sf_dir, "supplier", "s_suppkey")).filter("contains(relation, '/')")
+
+
+@query("n10_neighbors_all", "SELECT DISTINCT 'kg:customer/' || c_custkey AS anchor, 'kg:nation/' || n_nationkey AS item, n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _n10_all(spark, sf_dir):
+    return explore.next_items(sales_graph(spark, sf_dir), _customers(spark, sf_dir), "of_nation", with_label=True)
+
+
+@query("n14_literal_paths_all", "SELECT DISTINCT 'acctbal' AS relation, unnest(CASE WHEN c_acctbal > 1000 THEN ['GE', 'GT'] WHEN c_acctbal < 1000 THEN ['LE', 'LT'] ELSE ['GE', 'EQ', 'LE'] END) AS comparator FROM customer")
+def _n14_all(spark, sf_dir):
+    return explore.paths_to_literal(sales_graph(spark, sf_dir), _customers(spark, sf_dir), '"1000.0"')
+
+
+@query("n16_node_paths_all", "SELECT 'kg:customer/' || c_custkey AS anchor, 'of_nation' AS relation FROM customer WHERE c_nationkey = 3")
+def _n16_all(spark, sf_dir):
+    return explore.paths_to_node(sales_graph(spark, sf_dir), _customers(spark, sf_dir), "kg:nation/3")
+
+
 @query("n12_properties", "SELECT * FROM (VALUES ('orderdate', 'ts'), ('shipdate', 'ts'), ('at', 'ts')) v(predicate, \"range\")")
 def _n12(spark, sf_dir):
     return explore.properties_of_type(sales_graph(spark, sf_dir), ["ts"])

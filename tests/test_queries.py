@@ -45,3 +45,13 @@ def test_distances(spark, sf_dir):
     assert ted[0] == ged[0] == 0
     assert ted[3] == ged[3] == 1
     assert 0 < ted[1] < 1 and 0 < ged[1] < 1 and 0 < ged[2] < 1
+
+
+def test_every_anchor_is_explored(spark, sf_dir):
+    customers = {f"kg:customer/{r.c_custkey}" for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    run = lambda name: Q.QUERIES[name](spark, sf_dir).collect()
+    assert {r.node for r in run("n2_classes_all")} == customers
+    assert {r.anchor for r in run("n10_neighbors_all")} == customers
+    assert {r.relation: r.n_anchors for r in run("n9_expand_all")}["acctbal"] == len(customers)
+    assert {r.n_anchors for r in run("n9_expand_cvt_all")} == {suppliers}
