@@ -110,6 +110,12 @@ def _c11(spark, sf_dir):
     return explore.labels(g, nodes.unionByName(orders))
 
 
+@query("c11_label_batch_all", "SELECT 'kg:customer/' || c_custkey AS node, c_name AS label FROM customer UNION ALL SELECT 'kg:order/' || o_orderkey, NULL FROM orders")
+def _c11_all(spark, sf_dir):
+    """Every order and not the first alone."""
+    return explore.labels(sales_graph(spark, sf_dir), _every(spark, sf_dir, "customer", "c_custkey").unionByName(_every(spark, sf_dir, "orders", "o_orderkey", "order")))
+
+
 @query("c16_relation_intersection", "SELECT unnest(['name', 'acctbal', 'mktsegment', 'of_nation', '^placed_by', '^by_user']) AS relation")
 def _c16(spark, sf_dir):
     g = sales_graph(spark, sf_dir)
@@ -490,8 +496,8 @@ def _n10(spark, sf_dir):
 
 
 # the same with every customer (every supplier) as anchor
-def _every(spark, sf_dir, cls, key):
-    return table(spark, sf_dir, cls).select(F.concat(F.lit(f"kg:{cls}/"), F.col(key).cast("string")).alias("node"))
+def _every(spark, sf_dir, name, key, cls=None):
+    return table(spark, sf_dir, name).select(F.concat(F.lit(f"kg:{cls or name}/"), F.col(key).cast("string")).alias("node"))
 
 
 def _customers(spark, sf_dir):

@@ -55,3 +55,9 @@ def test_every_anchor_is_explored(spark, sf_dir):
     assert {r.anchor for r in run("n10_neighbors_all")} == customers
     assert {r.relation: r.n_anchors for r in run("n9_expand_all")}["acctbal"] == len(customers)
     assert {r.n_anchors for r in run("n9_expand_cvt_all")} == {suppliers}
+
+
+def test_every_order_is_labelled(spark, sf_dir):
+    rows = Q.QUERIES["c11_label_batch_all"](spark, sf_dir).collect()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert sum(r.node.startswith("kg:order/") and r.label is None for r in rows) == orders > 50
