@@ -1,5 +1,7 @@
 """Corpus operators against brute force, on the small tables and on awkward rows."""
 
+import collections
+import math
 import random
 
 import numpy as np
@@ -368,3 +370,47 @@ def test_pipeline_stages(spark, sf_dir):
     ids = {r.doc_id: r for r in cp.STAGES[-1][1](spark, frame, sf_dir).collect()}
     want = brute.bpe(current, queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern())
     assert [(d, ids[d].n_tokens, brute.sha(bytes(ids[d].token_ids)), ids[d].decoded_sha256) for d, *_ in want] == want
+
+
+def trigram_scores(docs, alpha=0.4):
+    """log_score and n_known of every document by counters, down two levels of backoff."""
+    words = [brute.SPACED.findall(t or "") for _, t in docs]
+    grams = lambda ws, n: collections.Counter(zip(*(ws[i:] for i in range(n)), strict=False))
+    every = {n: sum((grams(ws, n) for ws in words), collections.Counter()) for n in (1, 2, 3)}
+    corpus, out = sum(every[1].values()), []
+    for (d, _), ws in zip(docs, words, strict=True):
+        own = {n: grams(ws, n) for n in (1, 2, 3)}
+        other = lambda g, own=own: every[len(g)][g] - own[len(g)][g]
+        score = known = 0
+        for i in range(len(ws)):
+            for n in range(min(3, i + 1), 0, -1):
+                g = tuple(ws[i - n + 1 : i + 1])
+                if n == 1:
+                    score += math.log(max(other(g), 0.5) / max(corpus - len(ws), 1))
+                elif other(g) > 0:
+                    score += math.log(other(g) / max(other(g[:-1]), 1))
+                    known += n == 3
+                    break
+                else:
+                    score += math.log(alpha)
+        out.append((d, len(ws), round(score, 6), known))
+    return out
+
+
+def test_trigrams_in_backoff(spark, sf_dir):
+    _, docs = small(spark, sf_dir)
+    got = queries.queries()["op5_backoff_trigrams"](spark, sf_dir).select("doc_id", "n_words", F.round("log_score", 6), "n_known").collect()
+    want = sorted(trigram_scores(docs))
+    assert [r[:2] + r[3:] for r in sorted(map(tuple, got))] == [r[:2] + r[3:] for r in want]
+    assert [r[2] for r in sorted(map(tuple, got))] == pytest.approx([r[2] for r in want], abs=2e-6)
+
+
+def test_longer_context_tells_texts_apart(spark, tmp_path):
+    """The second text recombines the bigrams of the others."""
+    data = [(1, "x a y a w a z"), (2, "x a w a y a z"), (3, "x a y a w a z"), (4, "q r s")]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r.doc_id: r for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    two, three = run("op5_backoff"), run("op5_backoff_trigrams")
+    assert two[1].log_score == pytest.approx(two[2].log_score)
+    assert three[1].n_known == 5 and three[2].n_known == 2  # a y a, a w a
+    assert three[1].log_score > three[2].log_score
