@@ -142,6 +142,21 @@ def test_top_k_matches_sort(spark, sf_dir):
         assert [g.vec_id for g in sorted((g for g in got if g.q == i), key=lambda g: g.rank)] == [b.vec_id for b in best]
 
 
+def test_top_k_of_many_queries(spark, monkeypatch):
+    """More queries than were once accepted, in many blocks and chunks; ties, null, short and zero vectors."""
+    many = spark.range(10_050).select(F.col("id").alias("q"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("v"))
+    t = spark.createDataFrame([(5, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0, 2.0]), (1, None), (6, [0.0, 0.0]), (7, [1.0]), (8, [-1.0, 0.0])], "t long, w array<double>")
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", 3000)
+    got = {}
+    for r in similarity.top_k(many, t, "q", "v", "t", "w", 2).collect():
+        got.setdefault(r.q, {})[r.rank] = r.t
+    want = {0: {1: 2, 2: 5}, 1: {1: 3, 2: 4}, 2: {1: 4, 2: 3}}
+    assert len(got) == 10_050 and all(ranks == want[q % 3] for q, ranks in got.items())
+    few = similarity.top_k(many.limit(1), t, "q", "v", "t", "w", 8).orderBy("rank").collect()
+    assert [r.t for r in few] == [2, 5, 3, 4, 1, 6, 7, 8] and [r.similarity for r in few[4:]] == [0.0, 0.0, 0.0, -1.0]
+    assert similarity.top_k(many.limit(0), t, "q", "v", "t", "w", 2).count() == 0
+
+
 def test_reports(spark):
     rows = spark.createDataFrame([("a", 1.0, True), ("a", 9999.0, True), ("b", 2.0, True), ("b", 3.0, False)], "qid string, t double, ok boolean")
     assert [tuple(r) for r in reports.valid_annotations(rows, "qid", "t", "ok").collect()] == [("b", 2.0, True)]
