@@ -76,6 +76,7 @@ sparql("b22_namespace", "SELECT DISTINCT ?p WHERE { <kg:customer/1> ?p ?o FILTER
 sparql("b23_ignored", "SELECT DISTINCT ?p WHERE { <kg:customer/1> ?p ?o FILTER(!REGEX(STR(?p), \"^kg:of_\")) }", "SELECT unnest(['kg:name', 'kg:acctbal', 'kg:mktsegment']) AS p")
 sparql("b25_distinct_variables", "SELECT ?a ?b WHERE { ?a :in_region ?r . ?b :in_region ?r . FILTER(?a != ?b) }", "SELECT 'kg:nation/' || x.n_nationkey AS a, 'kg:nation/' || y.n_nationkey AS b FROM nation x JOIN nation y USING (n_regionkey) WHERE x.n_nationkey <> y.n_nationkey")
 sparql("b32_answer_filter", "SELECT ?x WHERE { ?d :text ?x FILTER(!ISLITERAL(?x) OR LANG(?x) = '' OR LANGMATCHES(LANG(?x), 'en')) ?d :n_chars ?n FILTER(?n < 400) }", "SELECT text AS x FROM documents WHERE lang = 'en' AND n_chars < 400")
+sparql("b32_answer_filter_all", "SELECT ?x WHERE { ?d a :document ; :text ?x FILTER(!ISLITERAL(?x) OR LANG(?x) = '' OR LANGMATCHES(LANG(?x), 'en')) }", "SELECT text AS x FROM documents WHERE lang = 'en' AND text IS NOT NULL")
 sparql("b33_lexical", "SELECT ?d WHERE { ?d :language ?l FILTER(ISLITERAL(?l) && STR(?l) = \"de\") }", "SELECT 'kg:document/' || doc_id AS d FROM documents WHERE lang = 'de'")
 sparql("b34_cast_filter", "SELECT ?p WHERE { ?p :retailprice ?r FILTER(xsd:integer(?r) > 950) }", "SELECT 'kg:part/' || p_partkey AS p FROM part WHERE trunc(p_retailprice) > 950")
 
@@ -245,6 +246,7 @@ def _g14(spark, sf_dir):
 
 # ---- I: scalar functions
 sparql("i1_str_lang_datatype", "SELECT ?d (STR(?d) AS ?s) (LANG(?t) AS ?l) (DATATYPE(?n) AS ?k) WHERE { ?d :text ?t ; :n_chars ?n FILTER(LANG(?t) = \"fr\" && ?n < 600) }", "SELECT 'kg:document/' || doc_id AS d, 'kg:document/' || doc_id AS s, 'fr' AS l, 'http://www.w3.org/2001/XMLSchema#integer' AS k FROM documents WHERE lang = 'fr' AND n_chars < 600")
+sparql("i1_str_lang_datatype_all", "SELECT ?d (STR(?d) AS ?s) (LANG(?t) AS ?l) (DATATYPE(?n) AS ?k) WHERE { ?d :text ?t ; :n_chars ?n FILTER(LANG(?t) = \"fr\") }", "SELECT 'kg:document/' || doc_id AS d, 'kg:document/' || doc_id AS s, 'fr' AS l, 'http://www.w3.org/2001/XMLSchema#integer' AS k FROM documents WHERE lang = 'fr' AND text IS NOT NULL AND n_chars IS NOT NULL")
 sparql("i6_numbers", "SELECT ?s (ABS(?b) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) WHERE { ?s :acctbal ?b ; a :supplier }", "SELECT 'kg:supplier/' || s_suppkey AS s, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, floor(s_acctbal + 0.5) AS r FROM supplier")
 sparql("i8_strings", "SELECT ?n (STRLEN(?n) AS ?a) (UCASE(?n) AS ?b) (LCASE(?n) AS ?c) (SUBSTR(?n, 2, 3) AS ?d) (CONCAT(?n, \"!\") AS ?e) WHERE { ?x :in_region ?r ; :name ?n }", "SELECT n_name AS n, length(n_name)::BIGINT AS a, upper(n_name) AS b, lower(n_name) AS c, substr(n_name, 2, 3) AS d, n_name || '!' AS e FROM nation")
 sparql("i9_encode", "SELECT ?u (ENCODE_FOR_URI(?u) AS ?e) WHERE { ?p :url ?u }", "SELECT url AS u, url_encode(url) AS e FROM pages")

@@ -61,3 +61,10 @@ def test_every_order_is_labelled(spark, sf_dir):
     rows = Q.QUERIES["c11_label_batch_all"](spark, sf_dir).collect()
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     assert sum(r.node.startswith("kg:order/") and r.label is None for r in rows) == orders > 50
+
+
+def test_documents_of_any_length_are_answers(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert max(len(r.x) for r in Q.QUERIES["b32_answer_filter_all"](spark, sf_dir).collect()) == max(len(r.text) for r in docs if r.lang == "en") >= 400
+    long = {f"kg:document/{r.doc_id}" for r in docs if r.lang == "fr" and r.n_chars >= 600}
+    assert long and long <= {r.d for r in Q.QUERIES["i1_str_lang_datatype_all"](spark, sf_dir).collect()}
