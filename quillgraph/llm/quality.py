@@ -29,13 +29,17 @@ MEASURES = (
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Upper bounds on shares of a text's characters; the usual published values."""
+    """Upper bounds on shares of a text's characters or lines, and on symbols a word; the usual published values.
+
+    The covered shares leave out the first copy of what repeats.
+    """
 
     base_n: int = 3
     top: dict[int, float] = field(default_factory=lambda: {2: 0.20, 3: 0.18, 4: 0.16})
     covered: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    dup_lines: float = 0.30
     dup_line_chars: float = 0.20
-    symbols_per_word: float = 1.0
+    symbols_per_word: float = 0.10
     min_words: int = 50
 
 
@@ -115,6 +119,7 @@ def measure(data: np.ndarray, off: np.ndarray, rules: RepetitionRules) -> dict[s
     out["n_dup_lines"] = by_doc(line_doc[again], None)
     out["dup_line_chars"] = by_doc(line_doc[again], line_chars[again])
     out["n_chars_counted"] = by_doc(line_doc, line_chars)
+    np.maximum(excess, out["n_dup_lines"] / np.maximum(out["n_lines"], 1) / rules.dup_lines, out=excess)
     np.maximum(excess, out["dup_line_chars"] / np.maximum(out["n_chars_counted"], 1) / rules.dup_line_chars, out=excess)
     np.maximum(excess, out["n_symbols"] / np.maximum(per, 1) / rules.symbols_per_word, out=excess)
 

@@ -414,3 +414,12 @@ def test_longer_context_tells_texts_apart(spark, tmp_path):
     assert two[1].log_score == pytest.approx(two[2].log_score)
     assert three[1].n_known == 5 and three[2].n_known == 2  # a y a, a w a
     assert three[1].log_score > three[2].log_score
+
+
+def test_symbols_and_short_repeated_lines(spark):
+    """Texts past the bound of one rule alone, and one within all bounds."""
+    words = " ".join(f"w{i}" for i in range(100))
+    lines = "\n".join(f"longer line number {i} of words u{i} v{i} x{i} y{i} z{i}" for i in range(10))
+    data = [(1, words), (2, words + " #" * 20), (3, words + " #" * 5), (4, lines + "\nab" * 10), (5, lines)]
+    kept = {r.doc_id: r.kept for r in quality.score(spark.createDataFrame(data, SCHEMA), keep=["doc_id"], rules=quality.RepetitionRules(top={}, covered={})).collect()}
+    assert kept == {1: True, 2: False, 3: True, 4: False, 5: True}
