@@ -196,12 +196,18 @@ def is_contaminated(n_hit, n_words, share: int = 20):
     return (n_hit > 0) & (share * n_hit >= n_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with its own columns alone."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: int | None = None, **how) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, with its own columns alone.
+
+    A leaked passage spoils a long document as well as a short one, so any hit drops the row; with
+    ``share`` only rows go of whose words at least one in ``share`` is hit.  Null and empty texts stay;
+    repeated rows are judged each for itself; an empty benchmark drops nothing.
+    """
     columns = docs.columns
     found = contamination(docs, benchmark, text_col, **how)
     n_words, n_hit = found.columns[len(columns) : len(columns) + 2]
-    return found.filter(~is_contaminated(F.col(n_hit), F.col(n_words))).select(*columns)
+    gone = F.col(n_hit) > 0 if share is None else is_contaminated(F.col(n_hit), F.col(n_words), share)
+    return found.filter(~gone).select(*columns)
 
 
 def items_digest(items: list) -> str:
