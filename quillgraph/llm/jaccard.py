@@ -16,12 +16,19 @@ documents that share content.  So:
    another region are replicated there, and those far from all pivots form a region of their own.  These
    are joined in the same way, pivots being done.
 
-Distances are set intersections of 40-bit hashes.  Equal sets (by 128 bits) are one component at once,
+A pair is first held against parity sketches (a bit for each hash value modulo the sketch's length, set when an
+odd number of shingles falls on it): the bits in which two sketches differ are at most the shingles in which
+the sets differ, so a pair with too many of them is no link, and only the others bring their sets together.
+Distances are set intersections of 64-bit hashes.  Equal sets (by 128 bits) are one component at once,
 before any comparison.
+
+No key is bound to one task: tokens that may be frequent are dealt by token and id and take their pivot from an
+aggregate, and joins on a key that many rows share spread these rows (see :mod:`.spread`).
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import zlib
 from functools import reduce
@@ -33,7 +40,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
 from quillgraph.llm.graph import connected
-from quillgraph.llm.runtime import cut, discard, prepare
+from quillgraph.llm.runtime import cut, discard, prepare, unclash
+from quillgraph.llm.spread import spread_join
 
 #: Sets of a bucket that are compared with each other directly.
 SMALL = 8
@@ -44,10 +52,13 @@ REGION = 4 << 20
 #: Counters for the rarity of shingles, and the pieces in which they are summed.
 COUNTERS = 1 << 21
 PIECES = 64
-#: Bytes kept of a shingle's hash where two sets are compared.
-SHORT = 5
-#: Bits of the filter that keeps texts without a partner from being shuffled: 8 MB, whatever the corpus.
-FILTER_BITS = 1 << 26
+#: A token is taken for frequent when its counter holds at least one in FREQUENT of all rows.
+FREQUENT = 256
+#: Marks a frequent token's row, above centrality and size.
+_HOT = 1 << 62
+#: Bits of the filter that keeps texts without a partner from being shuffled: 16 an id, between these bounds
+#: (128 KB and 128 MB).  With more ids it lets more texts pass, which the join behind it drops.
+FILTER_BITS = (1 << 20, 1 << 30)
 #: Signatures that a task remembers to leave out further copies of a set.
 MEMORY = 1 << 18
 
@@ -91,8 +102,32 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
+def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """The parity sketch of each set: 2 to 4 bits a shingle, a power of two; none for an empty set."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if a == b:
+            out.append(None)
+            continue
+        bits = max(64, 1 << (2 * (b - a) - 1).bit_length())
+        odd = np.bincount((grams[a:b] & tx.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has."""
+    p, q = (x, y) if len(x) <= len(y) else (y, x)
+    n = int.from_bytes(q, "big")
+    size = len(q)
+    while size > len(p):  # shingles modulo half the length: both halves, added modulo 2
+        size //= 2
+        n = (n >> (8 * size)) ^ (n & ((1 << (8 * size)) - 1))
+    return (n ^ int.from_bytes(p, "big")).bit_count()
+
+
 def _survey(src: DataFrame, k: int) -> DataFrame:
-    """Per row id, h1, h2, n; and, with a piece number, packed counters of all shingles of a task."""
+    """Per row id, h1, h2, n, sketch; and, with a piece number, packed counters of all shingles of a task."""
 
     def run(batches):
         counters = np.zeros(COUNTERS, np.uint32)
@@ -103,14 +138,15 @@ def _survey(src: DataFrame, k: int) -> DataFrame:
                 counters += np.bincount((grams % tx.U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 h1, h2 = signatures(grams, first)
                 none = pa.nulls(hi - lo)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(h1), pa.array(h2), pa.array(np.diff(first)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+                made = pa.array(sketches(grams, first), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(h1), pa.array(h2), pa.array(np.diff(first)), made, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for p, part in enumerate(np.split(counters, PIECES)):
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([p], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
 
-    names = ["id", "h1", "h2", "n", "piece", "counts"]
-    return src.mapInArrow(run, "id long, h1 long, h2 long, n long, piece int, counts binary")
+    names = ["id", "h1", "h2", "n", "sketch", "piece", "counts"]
+    return src.mapInArrow(run, "id long, h1 long, h2 long, n long, sketch binary, piece int, counts binary")
 
 
 def _rarity(survey: DataFrame) -> np.ndarray:
@@ -134,8 +170,9 @@ def _rarity(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(src: DataFrame, k: int, share: int, rarity) -> DataFrame:
-    """(token, id, rank) for the rarest shingles of each set; rank holds its centrality above its size."""
+def _postings(src: DataFrame, k: int, share: int, rarity, rows: int) -> DataFrame:
+    """(token, id, rank) for the rarest shingles of each set; rank holds its centrality above its size, and
+    ``_HOT`` where the token may be frequent among ``rows`` rows."""
 
     def run(batches):
         table = rarity.value
@@ -162,7 +199,8 @@ def _postings(src: DataFrame, k: int, share: int, rarity) -> DataFrame:
                 place = np.arange(len(doc)) - first[doc]
                 take = fresh[doc] & (place < (size - (share * size + 99) // 100 + 1)[doc])
                 of = doc[take]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[order][take].view(np.int64)), pa.array(ids[lo:hi][of]), pa.array(rank[of])], names=["token", "id", "rank"])
+                marked = rank[of] | np.where(load[order][take] * FREQUENT >= max(rows, FREQUENT * SMALL), _HOT, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[order][take].view(np.int64)), pa.array(ids[lo:hi][of]), pa.array(marked)], names=["token", "id", "rank"])
 
     return src.filter("id is not null and text is not null").mapInArrow(run, "token long, id long, rank long")
 
@@ -182,7 +220,7 @@ def _size_ok(r1: np.ndarray, r2: np.ndarray, share: int) -> np.ndarray:
 
 
 def _buckets(batches, share: int):
-    """Streams postings sorted by (token, rank descending, id).
+    """Streams postings sorted by (token, rank descending, id); those of frequent tokens pass as they are.
 
     Gives pairs (a, b) to compare: all of a small bucket, else each member with the first, its pivot;
     and the members of large buckets but for their pivots, with the pivot as token: its region.
@@ -220,7 +258,12 @@ def _buckets(batches, share: int):
                 open_token, pivot = token[at], p
 
     for batch in batches:
-        cols = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(hold, ("token", "id", "rank"), strict=True)]
+        new = [batch.column(c).to_numpy() for c in ("token", "id", "rank")]
+        hot = new[2] >= _HOT
+        if hot.any():
+            yield _batch(new[1][hot], None, new[0][hot], new[2][hot])
+            new = [c[~hot] for c in new]
+        cols = [np.concatenate([h, c]) for h, c in zip(hold, new, strict=True)]
         if not len(cols[0]):
             continue
         cut_at = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
@@ -232,31 +275,23 @@ def _buckets(batches, share: int):
         yield from close(*hold, True)
 
 
-def _short(grams: np.ndarray) -> bytes:
-    return np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
-
-
 def _long(raw) -> np.ndarray:
-    a = np.zeros((len(raw) // SHORT, 8), np.uint8)
-    a[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
-    return a.view(tx.U).reshape(-1)
-
-
-def _place(ids: np.ndarray) -> np.ndarray:
-    return (tx.mix(ids.astype(np.int64).view(tx.U)) % tx.U(FILTER_BITS)).astype(np.int64)
+    return np.frombuffer(raw, tx.U)
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, of a fixed size: an id without its bit is not among them."""
-    step = FILTER_BITS // PIECES
+    """A bitmap of hashed ids: an id without its bit is not among them."""
+    low, high = FILTER_BITS
+    bits = min(high, max(low, 1 << (16 * ids.count()).bit_length()))
+    step = bits // PIECES
 
     def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_place(batch.column("id").to_numpy())] = True
-        for p in range(PIECES):
-            part = bits[p * step : (p + 1) * step]
-            if part.any():
+        at = [_place(batch.column("id").to_numpy(), bits) for batch in batches]
+        at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
+        for p, own in enumerate(np.split(at, np.searchsorted(at, np.arange(1, PIECES) * step))):
+            if len(own):
+                part = np.zeros(step, np.uint8)
+                part[own - p * step] = 1
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)])], names=["piece", "bits"])
 
     def join(batches):
@@ -269,33 +304,57 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["piece", "bits"])
 
     rows = ids.mapInArrow(mark, "piece int, bits binary").repartition("piece").mapInArrow(join, "piece int, bits binary")
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows.collect():  # at most PIECES rows
         out[r.piece * step // 8 : (r.piece + 1) * step // 8] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
     return out
 
 
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (tx.mix(ids.astype(np.int64).view(tx.U)) % tx.U(bits)).astype(np.int64)
+
+
+def _present(ids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = _place(ids, 8 * len(bitmap))
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _set_table(src: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, n, grams (packed hashes without order) of the texts of ``ids``."""
-    present = src.sparkSession.sparkContext.broadcast(_id_filter(ids))  # FILTER_BITS bits
+    """id, n, grams (packed hashes) of the texts of ``ids``."""
+    present = src.sparkSession.sparkContext.broadcast(_id_filter(ids))  # at most FILTER_BITS[1] bits
 
     def sift(batches):
-        bits = present.value
         for batch in batches:
-            at = _place(batch.column("id").to_numpy())
-            yield batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+            yield batch.filter(pa.array(_present(batch.column("id").to_numpy(), present.value)))
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in tx.rounds(batch.column("text")):
                 grams, first = shingle_sets(data, off, k)
-                packed = [_short(grams[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                packed = [grams[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(packed, pa.binary())], names=["id", "n", "grams"])
 
     likely = src.filter("id is not null and text is not null").mapInArrow(sift, "id long, text string")
     return likely.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, n long, grams binary")
 
 
+def _likely(pairs: DataFrame, sketched: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out; none that is a link is lost."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(batch.column(c) for c in ("na", "nb", "sa", "sb")), strict=True):
+                # a link's sets differ in at most (1 - s) / (1 + s) of the sum of their sizes
+                ok.append((100 + share) * sketch_distance(x.as_py(), y.as_py()) <= (100 - share) * (n.as_py() + m.as_py()))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = sketched.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketched.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = spread_join(spread_join(pairs, left, "a", pairs, "b"), right, "b", pairs, "a")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, inter, uni: the exact sizes of intersection and union of each pair."""
 
@@ -305,7 +364,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
                 p, q = (_long(z.as_buffer()) for z in (x, y))
                 both = np.concatenate([p, q])
-                both.sort()
+                both.sort(kind="stable")  # two ascending runs
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 inter.append(same)
                 uni.append(len(p) + len(q) - same)
@@ -313,26 +372,30 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    # by key at every size: what is broadcast at a small size would be shuffled at a large one
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, inter long, uni long")
+    both = spread_join(spread_join(pairs, left, "a", pairs, "b"), right, "b", pairs, "a")
+    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, inter long, uni long")
 
 
-def _recurse(batches, k: int):
-    """Streams members of large regions, most central first: each member with the first k, its pivots.
-    Pivots come back with their token."""
-    token, first = None, []
+def _central(batches, k: int):
+    """The first k rows of each token (by rank descending, id) that this task sees."""
+    held: dict[int, list] = {}
     for batch in batches:
-        ids, tokens = (batch.column(c).to_pylist() for c in ("id", "token"))
-        out = []
-        for i, t in zip(ids, tokens, strict=True):
-            if t != token:
-                token, first = t, []
-            out += [(i, p, None, None) for p in first if p != i]
-            if len(first) < k and i not in first:
-                first.append(i)
-                out.append((i, None, t, None))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=_NAMES)
+        for t, r, i in zip(*(batch.column(c).to_pylist() for c in ("token", "rank", "id")), strict=True):
+            best = held.setdefault(t, [])
+            if len(best) < k or (-r, i) < best[-1]:
+                if (-r, i) not in best:
+                    bisect.insort(best, (-r, i))
+                    del best[k:]
+    rows = [(t, -r, i) for t, best in held.items() for r, i in best]
+    for at in range(0, len(rows), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 10_000], strict=True)], names=["token", "rank", "id"])
+
+
+def _pivots(members: DataFrame, k: int) -> DataFrame:
+    """token, pivot: the k most central members of each region, picked in two steps."""
+    ddl = "token long, rank long, id long"
+    near = members.select("token", "rank", "id").mapInArrow(lambda b: _central(b, k), ddl)
+    return near.repartition("token").mapInArrow(lambda b: _central(b, k), ddl).select("token", F.col("id").alias("pivot"))
 
 
 def join_region(ids: list[int], comps: list[int], sets: list[np.ndarray], share: int) -> list[tuple[int, int, int, int]]:
@@ -393,35 +456,56 @@ def _ordered(a: str = "a", b: str = "b"):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _stars(hot: DataFrame, share: int) -> DataFrame:
+    """Of frequent tokens' postings (token, id, rank): a, b (the pivot), token, rank as :func:`_buckets` gives
+    them, in one row each; b is null where the sizes forbid a link."""
+    best = hot.groupBy("token").agg(F.max(F.struct("rank", (-F.col("id")).alias("less"))).alias("top"))
+    pivots = best.select("token", (-F.col("top.less")).alias("pivot"), F.col("top.rank").alias("top"))
+    near = spread_join(hot, pivots, "token", hot, "id").filter("id <> pivot")
+    n, m = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in ("rank", "top"))
+    pair = F.when(100 * F.least(n, m) >= share * F.greatest(n, m), F.col("pivot"))
+    return near.select(F.col("id").alias("a"), pair.alias("b"), F.col("pivot").alias("token"), "rank")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 75) -> DataFrame:
     """id, n_shingles, component_id for each row of ``docs`` (the last two as stated in the query contract).
 
     Sets are compared whole.  Null and empty texts have no shingles and link with nothing; a row whose id
-    is null has no component.  Rows that repeat an id are one node: their links are joined.
+    is null has no component.  Rows that repeat an id are one node: their links are joined.  Ids are taken
+    as 64-bit integers; an id that is none raises.
     """
     spark = docs.sparkSession
     prepare(spark)
     src = _source(docs, id_col, text_col)
     survey = cut(_survey(src, k), "survey")
     rarity = spark.sparkContext.broadcast(_rarity(survey))  # COUNTERS numbers of 4 bytes: 8 MB always
-    signed = survey.filter("piece is null").select("id", "h1", "h2", "n")
+    signed = survey.filter("piece is null").select("id", "h1", "h2", "n", "sketch")
     named = signed.filter("n > 0 and id is not null")
-    same = named.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
-    copies = named.join(same, ["h1", "h2"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    same = named.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("h1", "h2", "rep")
+    signs = named.select("id", "h1", "h2")
+    copies = cut(spread_join(signs, same, ["h1", "h2"], signs, "id").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), "copies")
 
-    dealt = _postings(src, k, share, rarity).repartition("token").sortWithinPartitions("token", F.desc("rank"), "id")
+    dealt = _postings(src, k, share, rarity, signed.count())
+    dealt = dealt.repartition(F.when(F.col("rank") >= _HOT, F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token", F.desc("rank"), "id")
     first = cut(dealt.mapInArrow(lambda b: _buckets(b, share), _BUCKET_OUT), "buckets")
-    pairs = cut(first.filter("token is null").select(*_ordered()).distinct(), "pairs")
-    members = cut(first.filter("token is not null").groupBy("token", F.col("a").alias("id")).agg(F.max("rank").alias("rank")), "members")
-    holders = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
+    hot = first.filter(F.col("rank") >= _HOT).select("token", F.col("a").alias("id"), F.col("rank").bitwiseXOR(_HOT).alias("rank"))
+    stars = cut(_stars(hot, share), "stars")
+    pairs = cut(first.filter("token is null").union(stars.filter("b is not null")).select(*_ordered()).distinct(), "pairs")
+    grouped = first.filter(F.col("token").isNotNull() & (F.col("rank") < _HOT)).union(stars).groupBy("token", F.col("a").alias("id"))
+    members = cut(grouped.agg(F.max("rank").alias("rank")), "members")
+    asked = cut(_likely(pairs, named.select("id", "n", "sketch"), share), "likely")
+    holders = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
     sets = cut(_set_table(src, holders, k), "sets")
-    known = [cut(_overlaps(pairs, sets), "overlaps")]
+    known = [cut(_overlaps(asked, sets), "overlaps")]
+    discard(first, stars, pairs, asked, sets)
     comps = cut(connected(_links(known, share).unionByName(copies)), "comps")
     if not members.isEmpty():
-        comps = _join_regions(members, sets, known, copies, comps, share)
-    discard(first, pairs, members, sets, *known)
+        comps = _join_regions(src, k, members, known, copies, comps, share)
     node = comps.select(F.col("node").alias("id"), "comp")
-    return signed.join(node, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
+    labelled = signed.select("id", "n").join(node.hint("merge"), "id", "left")
+    out = cut(labelled.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")), "components")
+    discard(survey, members, copies, comps, *known)
+    return out
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -432,53 +516,85 @@ def _links(known: list[DataFrame], share: int) -> DataFrame:
     return _all(known).filter(f"100 * inter >= {share} * uni").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _join_regions(members: DataFrame, sets: DataFrame, known: list[DataFrame], copies: DataFrame, comps: DataFrame, share: int) -> DataFrame:
+def _join_regions(src: DataFrame, shingle: int, members: DataFrame, known: list[DataFrame], copies: DataFrame, comps: DataFrame, share: int) -> DataFrame:
     """Joins the regions until none holds two components that might link."""
     eps, tiny = 1 - share / 100, 1e-9
-    k = PIVOTS
+    k, sets = PIVOTS, None
+
+    def again(old: DataFrame) -> DataFrame:
+        new = cut(connected(_links(known, share).unionByName(copies)), "comps")
+        discard(old)
+        return new
+
     while True:
-        at = members.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        at = members.join(comps.select(F.col("node").alias("id"), "comp").hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         size = F.sum(F.col("rank").bitwiseAND(0xFFFFFFFF))
         state = at.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), size.alias("size")).filter("c0 <> c1").select("token", "size")
-        live = cut(at.join(state, "token"), "regions")
+        live = cut(spread_join(at, state, "token", members, "id"), "regions")
         small, large = live.filter(F.col("size") <= REGION), live.filter(F.col("size") > REGION)
         if live.isEmpty():
-            return comps
-        loaded = small.join(sets.select("id", "grams"), "id").select("token", "id", "comp", "grams")
+            break
+        if sets is None:  # later regions have no other members
+            sets = cut(_set_table(src, live.select("id").distinct(), shingle), "sets")
+        loaded = small.join(sets.select("id", "grams").hint("merge"), "id").select("token", "id", "comp", "grams")
+        # a region here has at most REGION shingles
         dealt = loaded.repartition("token").sortWithinPartitions("token", "id")
         known.append(cut(dealt.mapInArrow(lambda b: _join_small(b, share), "a long, b long, inter long, uni long"), "overlaps"))
         if large.isEmpty():
-            found = not known[-1].isEmpty()
-            return cut(connected(_links(known, share).unionByName(copies)), "comps") if found else comps
+            comps = again(comps) if not known[-1].isEmpty() else comps
+            break
 
-        order = large.repartition("token").sortWithinPartitions("token", F.desc("rank"), "id")
-        step = cut(order.mapInArrow(lambda b, k=k: _recurse(b, k), _BUCKET_OUT), "step")
-        asked = step.filter("token is null").select(*_ordered()).distinct()
+        pivots = cut(_pivots(large, k), "pivots")
+        big = large.select("token", "id", "rank")
+        near = cut(spread_join(big, pivots, "token", big, "id").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}), "near")
+        asked = near.filter("a <> b").select("a", "b").distinct()
         for old in known:
-            asked = asked.join(old.select("a", "b"), ["a", "b"], "left_anti")
+            asked = asked.join(old.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        asked = cut(asked, "asked")
         known.append(cut(_overlaps(asked, sets), "overlaps"))
-        comps = cut(connected(_links(known, share).unionByName(copies)), "comps")
+        comps = again(comps)
 
-        pivots = step.filter("token is not null").select("token", F.col("a").alias("pivot"))
-        rest = large.join(pivots.select("token", F.col("pivot").alias("id")), ["token", "id"], "left_anti")
         # several texts under one id: the nearest counts
         apart = _all(known).groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("uni")).alias("d"))
-        near = rest.join(pivots, "token").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")).join(apart, ["a", "b"]).select("token", "id", "rank", "pivot", "d")
-        home = near.groupBy("token", "id", "rank").agg(F.min("d").alias("r"))
-        inner = near.join(home, ["token", "id", "rank"]).filter((F.col("r") <= 2 * eps + tiny) & (F.col("d") <= F.least(F.lit(3 * eps), F.col("r") + 2 * eps) + tiny))
+        done = near.filter("a = b").select("token", "id").distinct()
+        near = near.join(done.hint("merge"), ["token", "id"], "left_anti")
+        far_off = cut(near.join(apart.hint("merge"), ["a", "b"]).select("token", "id", "rank", "pivot", "d"), "distances")
+        home = far_off.groupBy("token", "id", "rank").agg(F.min("d").alias("r"))
+        inner = far_off.join(home.hint("merge"), ["token", "id", "rank"]).filter((F.col("r") <= 2 * eps + tiny) & (F.col("d") <= F.least(F.lit(3 * eps), F.col("r") + 2 * eps) + tiny))
         inner = inner.select(F.xxhash64("token", "pivot").alias("token"), "id", "rank")
         far = home.filter(F.col("r") > eps - tiny).select(F.xxhash64("token", F.lit("far")).alias("token"), "id", "rank")
         then = cut(inner.unionByName(far), "members")
-        discard(members, live, step)
+        discard(members, live, pivots, asked, far_off)
         members, k = then, 2 * k
+    discard(members, live, *([sets] if sets is not None else []))
+    return comps
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component, with all its columns.
+    """One row of each component of ``docs``, that with the smallest id, with all its columns.
 
-    Of rows that repeat an id one stays.  Rows with a null id stay.
+    Rows with a null id, and null, empty and blank texts, stay.  Rows that repeat an id that stays all stay,
+    but of those with the same text only that whose columns, as JSON, come first.  Only rows whose id may go
+    or is repeated (by a bitmap of at most 128 MB) are shuffled.
     """
+    spark = docs.sparkSession
     found = components(docs, id_col, text_col, **how)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id_")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("kept_id_"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    key, gone = unclash(docs, "key_", "gone_")
+    ids = found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(key), (F.col(id_col) != F.col("component_id")).alias(gone))
+    marked = cut(ids.groupBy(key).agg(F.max(gone).alias(gone), F.count("*").alias("n")).filter(F.col(gone) | (F.col("n") > 1)).drop("n"), "marked")
+    present = spark.sparkContext.broadcast(_id_filter(marked.select(F.col(key).alias("id"))))
+
+    @F.pandas_udf("boolean")
+    def may(x):
+        import pandas as pd
+
+        return pd.Series(_present(x.to_numpy(), present.value))
+
+    named = F.col(id_col).isNotNull()
+    clear = docs.filter(~named | ~may(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))))
+    rest = docs.filter(named).withColumn(key, F.col(id_col).cast("long")).filter(may(F.col(key)))
+    left = spread_join(rest, marked, key, ids, text_col, "left")
+    free = left.filter(F.col(gone).isNull()).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    again = left.filter(~F.col(gone)).groupBy(key, F.col(text_col).alias(gone + "t")).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return clear.unionByName(free).unionByName(again)

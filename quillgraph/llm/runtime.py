@@ -61,9 +61,9 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def unclash(df: DataFrame, *names: str) -> list[str]:
+def unclash(df: DataFrame | list[str], *names: str) -> list[str]:
     """Internal column names based on ``names`` that no column of ``df`` has (case does not count)."""
-    taken = {c.lower() for c in df.columns}
+    taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}
     out = []
     for name in names:
         while name.lower() in taken:
