@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import text as tx
 from quillgraph.llm.graph import connected
 from quillgraph.llm.runtime import cut, discard, prepare, unclash
-from quillgraph.llm.spread import spread_join
+from quillgraph.llm.spread import frequent, spread_join
 
 #: Sets of a bucket that are compared with each other directly.
 SMALL = 8
@@ -103,13 +103,13 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes | None]:
-    """The parity sketch of each set: 2 to 4 bits a shingle, a power of two; none for an empty set."""
+    """The parity sketch of each set: 1 to 2 bits a shingle, a power of two; none for an empty set."""
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if a == b:
             out.append(None)
             continue
-        bits = max(64, 1 << (2 * (b - a) - 1).bit_length())
+        bits = max(64, 1 << (b - a - 1).bit_length())
         odd = np.bincount((grams[a:b] & tx.U(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
@@ -222,8 +222,8 @@ def _size_ok(r1: np.ndarray, r2: np.ndarray, share: int) -> np.ndarray:
 def _buckets(batches, share: int):
     """Streams postings sorted by (token, rank descending, id); those of frequent tokens pass as they are.
 
-    Gives pairs (a, b) to compare: all of a small bucket, else each member with the first, its pivot;
-    and the members of large buckets but for their pivots, with the pivot as token: its region.
+    Gives pairs (a, b) to compare, b coming before a in that order: all of a small bucket, else each member
+    with the first, its pivot; and the members of large buckets but for their pivots, with the pivot as token: its region.
     """
     hold = [np.zeros(0, np.int64)] * 3
     open_token = pivot = None
@@ -250,7 +250,7 @@ def _buckets(batches, share: int):
                 i, j = (np.array(c) for c in zip(*itertools.combinations(range(s), 2), strict=True))
                 x, y = (at[:, None] + i).reshape(-1), (at[:, None] + j).reshape(-1)
                 ok = (ids[x] != ids[y]) & _size_ok(ranks[x], ranks[y], share)
-                yield _batch(ids[x[ok]], ids[y[ok]])
+                yield _batch(ids[y[ok]], ids[x[ok]])
         for at, s in zip(head[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             p = (ids[at], ranks[at])
             yield from star(ids[at : at + s], ranks[at : at + s], p)
@@ -275,10 +275,6 @@ def _buckets(batches, share: int):
         yield from close(*hold, True)
 
 
-def _long(raw) -> np.ndarray:
-    return np.frombuffer(raw, tx.U)
-
-
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids: an id without its bit is not among them."""
     low, high = FILTER_BITS
@@ -319,23 +315,23 @@ def _present(ids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _set_table(src: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, n, grams (packed hashes) of the texts of ``ids``."""
-    present = src.sparkSession.sparkContext.broadcast(_id_filter(ids))  # at most FILTER_BITS[1] bits
+def _texts(src: DataFrame, needs: DataFrame) -> DataFrame:
+    """The rows of ``needs`` (id and others) with the texts of their ids; other texts are mostly not shuffled."""
+    present = src.sparkSession.sparkContext.broadcast(_id_filter(needs.select("id").distinct()))  # at most FILTER_BITS[1] bits
 
     def sift(batches):
         for batch in batches:
             yield batch.filter(pa.array(_present(batch.column("id").to_numpy(), present.value)))
 
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, off in tx.rounds(batch.column("text")):
-                grams, first = shingle_sets(data, off, k)
-                packed = [grams[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(packed, pa.binary())], names=["id", "n", "grams"])
-
     likely = src.filter("id is not null and text is not null").mapInArrow(sift, "id long, text string")
-    return likely.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, n long, grams binary")
+    return likely.join(needs.hint("merge"), "id")
+
+
+def _sets(batch: pa.RecordBatch, k: int):
+    """The shingle set of each text of a batch."""
+    for _, _, data, off in tx.rounds(batch.column("text")):
+        grams, first = shingle_sets(data, off, k)
+        yield from (grams[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
 
 
 def _likely(pairs: DataFrame, sketched: DataFrame, share: int) -> DataFrame:
@@ -349,31 +345,111 @@ def _likely(pairs: DataFrame, sketched: DataFrame, share: int) -> DataFrame:
                 ok.append((100 + share) * sketch_distance(x.as_py(), y.as_py()) <= (100 - share) * (n.as_py() + m.as_py()))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sketched.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sketched.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = spread_join(spread_join(pairs, left, "a", pairs, "b"), right, "b", pairs, "a")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    left = sketched.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("rep").alias("ra"))
+    right = sketched.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("rep").alias("rb"))
+    both = spread_join(spread_join(pairs, left, "a", pairs, "b"), right, "b", pairs, "a").filter("ra <> rb")
+    return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
 
+def _overlaps(src: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
+    """a < b, inter, uni: the exact sizes of intersection and union of each stored pair (a, b).
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, inter, uni: the exact sizes of intersection and union of each pair."""
+    Each text goes to the hubs, b, that it is to be compared with; a hub's set is held while the others pass.
+    A hub with many partners is repeated, and they are dealt over its copies.
+    """
+    hot = frequent(pairs, "b")
+    with_share = pairs.withColumn("share", F.lit(0))
+    if hot:
+        listed = F.broadcast(pairs.sparkSession.createDataFrame(hot, "b long, shares int"))  # a bounded list
+        with_share = pairs.join(listed, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("shares")), F.lit(0)).cast("int").alias("share"))
+    needs = with_share.select(F.col("a").alias("id"), F.col("b").alias("hub"), "share")
+    needs = needs.union(with_share.select("b", "b", "share").distinct())
+    dealt = _texts(src, needs).repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("id") != F.col("hub"))
 
     def run(batches):
+        at, held, marks = None, [], set()
         for batch in batches:
-            inter, uni = [], []
-            for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
-                p, q = (_long(z.as_buffer()) for z in (x, y))
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")  # two ascending runs
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                inter.append(same)
-                uni.append(len(p) + len(q) - same)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(uni, pa.int64())], names=["a", "b", "inter", "uni"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    both = spread_join(spread_join(pairs, left, "a", pairs, "b"), right, "b", pairs, "a")
-    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, inter long, uni long")
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("id", "hub", "share")), strict=True)
+            for (i, hub, part), own in zip(keys, _sets(batch, k), strict=True):
+                if (hub, part) != at:
+                    at, held, marks = (hub, part), [], set()
+                if i == hub:  # several only where rows repeat an id
+                    mark = signatures(own, np.array([0, len(own)]))
+                    mark = (int(mark[0][0]), int(mark[1][0]))
+                    if mark not in marks:
+                        marks.add(mark)
+                        held.append(own)
+                    continue
+                for other in held:
+                    place = np.searchsorted(other, own)
+                    place[place == len(other)] = 0
+                    same = int(np.count_nonzero(other[place] == own)) if len(other) else 0
+                    out.append((min(i, hub), max(i, hub), same, len(own) + len(other) - same))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "inter", "uni"])
+
+    return dealt.mapInArrow(run, "a long, b long, inter long, uni long")
+
+
+def sketch_region(ids: list[int], comps: list[int], sizes: list[int], marks: list[bytes], share: int, most: int) -> list[tuple[int, int]] | None:
+    """The pairs of a region in different components whose sketches allow a link; None if above ``most``."""
+    order = np.argsort(np.array(sizes), kind="stable")
+    ids_, comp, size = (np.array(c, np.int64)[order] for c in (ids, comps, sizes))
+    width = np.array([len(marks[i]) // 8 for i in order])
+    # sketches of one length are a matrix; the next length up is folded once to be compared with it
+    heads = np.flatnonzero(np.concatenate([[True], width[1:] != width[:-1]])).tolist() + [len(width)]
+    parts = {int(width[a]): (a, np.frombuffer(b"".join(marks[i] for i in order[a:b]), np.uint64).reshape(b - a, -1)) for a, b in itertools.pairwise(heads)}
+    folded = {w // 2: (a, m[:, : w // 2] ^ m[:, w // 2 :]) for w, (a, m) in parts.items() if w > 1}
+    out: list[tuple[int, int]] = []
+    last = np.searchsorted(size * share, size * 100, "right")
+    for i in range(len(size)):
+        w = int(width[i])
+        own = parts[w][1][i - parts[w][0]]
+        for source in (parts, folded):
+            a, m = source.get(w, (0, None))
+            if m is None:
+                continue
+            lo, hi = max(i + 1, a), min(int(last[i]), a + len(m))
+            if lo >= hi:
+                continue
+            js = lo + np.flatnonzero(comp[lo:hi] != comp[i])
+            if not len(js):
+                continue
+            apart = np.bitwise_count(m[js - a] ^ own).sum(axis=1, dtype=np.int64)
+            ok = js[(100 + share) * apart <= (100 - share) * (size[js] + size[i])]
+            out += [(int(ids_[i]), int(ids_[j])) for j in ok if ids_[j] != ids_[i]]
+        if len(out) > most:
+            return None
+    return out
+
+
+#: Sets of a region whose sketches are all compared, and pairs a set that may come of it; else the region's texts are joined.
+SKETCHED, LIKELY = 1 << 14, 8
+
+
+def _sketch_small(batches, share: int):
+    """Streams (token, id, comp, n, sketch) sorted by token.  Gives the pairs (a, b) of each region that may be
+    links, or its token alone where they are too many."""
+    token, held = None, []
+
+    def done():
+        if len(held) < 2:
+            return
+        found = sketch_region(*(list(c) for c in zip(*held, strict=True)), share, LIKELY * len(held)) if len(held) <= SKETCHED else None
+        if found is None:
+            yield _batch([0], None, [token])
+        elif found:
+            yield _batch(*zip(*found, strict=True))
+
+    for batch in batches:
+        for t, i, c, n, x in zip(*(batch.column(y) for y in ("token", "id", "comp", "n", "sketch")), strict=True):
+            t = t.as_py()
+            if t != token:
+                yield from done()
+                token, held = t, []
+            held.append((i.as_py(), c.as_py(), n.as_py(), x.as_py()))
+    yield from done()
 
 
 def _central(batches, k: int):
@@ -433,8 +509,8 @@ def join_region(ids: list[int], comps: list[int], sets: list[np.ndarray], share:
                 comp[comp == comp[j]] = comp[at]
 
 
-def _join_small(batches, share: int):
-    """Streams (token, id, comp, grams) sorted by token; joins each region in memory."""
+def _join_small(batches, k: int, share: int):
+    """Streams (token, id, comp, text) sorted by token; joins each region in memory."""
     token, held = None, []
 
     def done():
@@ -443,19 +519,15 @@ def _join_small(batches, share: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "inter", "uni"])
 
     for batch in batches:
-        for t, i, c, g in zip(*(batch.column(x) for x in ("token", "id", "comp", "grams")), strict=True):
-            t = t.as_py()
+        keys = zip(*(batch.column(x).to_pylist() for x in ("token", "id", "comp")), strict=True)
+        for (t, i, c), own in zip(keys, _sets(batch, k), strict=True):
             if t != token:
                 yield from done()
                 token, held = t, []
-            held.append((i.as_py(), c.as_py(), _long(g.as_py())))
+            held.append((i, c, own))
     yield from done()
 
 
-def _ordered(a: str = "a", b: str = "b"):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-
 def _stars(hot: DataFrame, share: int) -> DataFrame:
     """Of frequent tokens' postings (token, id, rank): a, b (the pivot), token, rank as :func:`_buckets` gives
     them, in one row each; b is null where the sizes forbid a link."""
@@ -482,29 +554,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = survey.filter("piece is null").select("id", "h1", "h2", "n", "sketch")
     named = signed.filter("n > 0 and id is not null")
     same = named.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("h1", "h2", "rep")
-    signs = named.select("id", "h1", "h2")
-    copies = cut(spread_join(signs, same, ["h1", "h2"], signs, "id").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), "copies")
+    # equal sets stand for each other: rep has the smallest id
+    known_sets = cut(spread_join(named, same, ["h1", "h2"], named.select("h1", "h2"), "id", "left").select("id", "n", "sketch", F.coalesce("rep", "id").alias("rep")), "signatures")
+    copies = known_sets.filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     dealt = _postings(src, k, share, rarity, signed.count())
     dealt = dealt.repartition(F.when(F.col("rank") >= _HOT, F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token", F.desc("rank"), "id")
     first = cut(dealt.mapInArrow(lambda b: _buckets(b, share), _BUCKET_OUT), "buckets")
     hot = first.filter(F.col("rank") >= _HOT).select("token", F.col("a").alias("id"), F.col("rank").bitwiseXOR(_HOT).alias("rank"))
     stars = cut(_stars(hot, share), "stars")
-    pairs = cut(first.filter("token is null").union(stars.filter("b is not null")).select(*_ordered()).distinct(), "pairs")
+    pairs = cut(first.filter("token is null").union(stars.filter("b is not null")).select("a", "b").distinct(), "pairs")
     grouped = first.filter(F.col("token").isNotNull() & (F.col("rank") < _HOT)).union(stars).groupBy("token", F.col("a").alias("id"))
     members = cut(grouped.agg(F.max("rank").alias("rank")), "members")
-    asked = cut(_likely(pairs, named.select("id", "n", "sketch"), share), "likely")
-    holders = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
-    sets = cut(_set_table(src, holders, k), "sets")
-    known = [cut(_overlaps(asked, sets), "overlaps")]
-    discard(first, stars, pairs, asked, sets)
+    asked = cut(_likely(pairs, known_sets, share), "likely")
+    known = [cut(_overlaps(src, k, asked), "overlaps")]
+    discard(first, stars, pairs, asked)
     comps = cut(connected(_links(known, share).unionByName(copies)), "comps")
     if not members.isEmpty():
-        comps = _join_regions(src, k, members, known, copies, comps, share)
+        comps = _join_regions(src, k, known_sets, members, known, copies, comps, share)
     node = comps.select(F.col("node").alias("id"), "comp")
     labelled = signed.select("id", "n").join(node.hint("merge"), "id", "left")
     out = cut(labelled.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")), "components")
-    discard(survey, members, copies, comps, *known)
+    discard(survey, known_sets, members, comps, *known)
     return out
 
 
@@ -516,12 +587,14 @@ def _links(known: list[DataFrame], share: int) -> DataFrame:
     return _all(known).filter(f"100 * inter >= {share} * uni").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _join_regions(src: DataFrame, shingle: int, members: DataFrame, known: list[DataFrame], copies: DataFrame, comps: DataFrame, share: int) -> DataFrame:
+def _join_regions(src: DataFrame, shingle: int, known_sets: DataFrame, members: DataFrame, known: list[DataFrame], copies: DataFrame, comps: DataFrame, share: int) -> DataFrame:
     """Joins the regions until none holds two components that might link."""
     eps, tiny = 1 - share / 100, 1e-9
-    k, sets = PIVOTS, None
+    k = PIVOTS
 
     def again(old: DataFrame) -> DataFrame:
+        if known[-1].isEmpty():
+            return old
         new = cut(connected(_links(known, share).unionByName(copies)), "comps")
         discard(old)
         return new
@@ -534,39 +607,46 @@ def _join_regions(src: DataFrame, shingle: int, members: DataFrame, known: list[
         small, large = live.filter(F.col("size") <= REGION), live.filter(F.col("size") > REGION)
         if live.isEmpty():
             break
-        if sets is None:  # later regions have no other members
-            sets = cut(_set_table(src, live.select("id").distinct(), shingle), "sets")
-        loaded = small.join(sets.select("id", "grams").hint("merge"), "id").select("token", "id", "comp", "grams")
-        # a region here has at most REGION shingles
-        dealt = loaded.repartition("token").sortWithinPartitions("token", "id")
-        known.append(cut(dealt.mapInArrow(lambda b: _join_small(b, share), "a long, b long, inter long, uni long"), "overlaps"))
+        # a small region has at most REGION shingles; its sketches come to one task, and its texts only if they decide little
+        marked = small.join(known_sets.select("id", "n", "sketch").hint("merge"), "id").select("token", "id", "comp", "n", "sketch")
+        dealt = marked.repartition("token").sortWithinPartitions("token", "id")
+        sketched = cut(dealt.mapInArrow(lambda b: _sketch_small(b, share), _BUCKET_OUT), "sketched")
+        asked = cut(sketched.filter("token is null").select("a", "b").distinct(), "asked")
+        known.append(cut(_overlaps(src, shingle, asked), "overlaps"))
+        comps = again(comps)
+        unclear = sketched.filter("token is not null").select("token")
+        if not unclear.isEmpty():
+            texts = _texts(src, small.join(unclear.hint("merge"), "token").select("id", "token", "comp"))
+            dealt = texts.repartition("token").sortWithinPartitions("token", "id")
+            known.append(cut(dealt.mapInArrow(lambda b: _join_small(b, shingle, share), "a long, b long, inter long, uni long"), "overlaps"))
+            comps = again(comps)
+        discard(sketched, asked)
         if large.isEmpty():
-            comps = again(comps) if not known[-1].isEmpty() else comps
             break
 
         pivots = cut(_pivots(large, k), "pivots")
         big = large.select("token", "id", "rank")
         near = cut(spread_join(big, pivots, "token", big, "id").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}), "near")
-        asked = near.filter("a <> b").select("a", "b").distinct()
+        asked = near.filter("a <> b").groupBy("a", "b").agg(F.min("pivot").alias("hub"))
         for old in known:
             asked = asked.join(old.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        asked = cut(asked, "asked")
-        known.append(cut(_overlaps(asked, sets), "overlaps"))
+        asked = cut(asked.select((F.col("a") + F.col("b") - F.col("hub")).alias("a"), F.col("hub").alias("b")), "asked")
+        known.append(cut(_overlaps(src, shingle, asked), "overlaps"))
         comps = again(comps)
 
         # several texts under one id: the nearest counts
         apart = _all(known).groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("uni")).alias("d"))
         done = near.filter("a = b").select("token", "id").distinct()
-        near = near.join(done.hint("merge"), ["token", "id"], "left_anti")
-        far_off = cut(near.join(apart.hint("merge"), ["a", "b"]).select("token", "id", "rank", "pivot", "d"), "distances")
+        others = near.join(done.hint("merge"), ["token", "id"], "left_anti")
+        far_off = cut(others.join(apart.hint("merge"), ["a", "b"]).select("token", "id", "rank", "pivot", "d"), "distances")
         home = far_off.groupBy("token", "id", "rank").agg(F.min("d").alias("r"))
         inner = far_off.join(home.hint("merge"), ["token", "id", "rank"]).filter((F.col("r") <= 2 * eps + tiny) & (F.col("d") <= F.least(F.lit(3 * eps), F.col("r") + 2 * eps) + tiny))
         inner = inner.select(F.xxhash64("token", "pivot").alias("token"), "id", "rank")
         far = home.filter(F.col("r") > eps - tiny).select(F.xxhash64("token", F.lit("far")).alias("token"), "id", "rank")
         then = cut(inner.unionByName(far), "members")
-        discard(members, live, pivots, asked, far_off)
+        discard(members, live, pivots, asked, near, far_off)
         members, k = then, 2 * k
-    discard(members, live, *([sets] if sets is not None else []))
+    discard(members, live)
     return comps
 
 
