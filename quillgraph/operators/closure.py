@@ -7,26 +7,12 @@ shared checkpoint folder.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN:
-        _OWN[key] = tempfile.mkdtemp(prefix="quillgraph-paths-")
-        atexit.register(shutil.rmtree, _OWN[key], ignore_errors=True)
-    return "file://" + _OWN[key]
+from quillgraph.scratch import shared_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
