@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
+from quillgraph.llm.bitmap import bitmap, may_hold, present
 from quillgraph.llm.graph import connected
 from quillgraph.llm.runtime import cut, discard, prepare, unclash
 from quillgraph.llm.spread import frequent, spread_join
@@ -56,9 +57,6 @@ PIECES = 64
 FREQUENT = 256
 #: Marks a frequent token's row, above centrality and size.
 _HOT = 1 << 62
-#: Bits of the filter that keeps texts without a partner from being shuffled: 16 an id, between these bounds
-#: (128 KB and 128 MB).  With more ids it lets more texts pass, which the join behind it drops.
-FILTER_BITS = (1 << 20, 1 << 30)
 #: Signatures that a task remembers to leave out further copies of a set.
 MEMORY = 1 << 18
 
@@ -275,53 +273,13 @@ def _buckets(batches, share: int):
         yield from close(*hold, True)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids: an id without its bit is not among them."""
-    low, high = FILTER_BITS
-    bits = min(high, max(low, 1 << (16 * ids.count()).bit_length()))
-    step = bits // PIECES
-
-    def mark(batches):
-        at = [_place(batch.column("id").to_numpy(), bits) for batch in batches]
-        at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
-        for p, own in enumerate(np.split(at, np.searchsorted(at, np.arange(1, PIECES) * step))):
-            if len(own):
-                part = np.zeros(step, np.uint8)
-                part[own - p * step] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)])], names=["piece", "bits"])
-
-    def join(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, raw in zip(batch.column("piece").to_pylist(), batch.column("bits"), strict=True):
-                part = np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
-                total[p] = total[p] | part if p in total else part
-        for p, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["piece", "bits"])
-
-    rows = ids.mapInArrow(mark, "piece int, bits binary").repartition("piece").mapInArrow(join, "piece int, bits binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows.collect():  # at most PIECES rows
-        out[r.piece * step // 8 : (r.piece + 1) * step // 8] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
-    return out
-
-
-def _place(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (tx.mix(ids.astype(np.int64).view(tx.U)) % tx.U(bits)).astype(np.int64)
-
-
-def _present(ids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = _place(ids, 8 * len(bitmap))
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
 def _texts(src: DataFrame, needs: DataFrame) -> DataFrame:
     """The rows of ``needs`` (id and others) with the texts of their ids; other texts are mostly not shuffled."""
-    present = src.sparkSession.sparkContext.broadcast(_id_filter(needs.select("id").distinct()))  # at most FILTER_BITS[1] bits
+    marked = src.sparkSession.sparkContext.broadcast(bitmap(needs.select("id").distinct()))  # of bounded size
 
     def sift(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_present(batch.column("id").to_numpy(), present.value)))
+            yield batch.filter(pa.array(present(batch.column("id").to_numpy(), marked.value)))
 
     likely = src.filter("id is not null and text is not null").mapInArrow(sift, "id long, text string")
     return likely.join(needs.hint("merge"), "id")
@@ -662,14 +620,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     key, gone = unclash(docs, "key_", "gone_")
     ids = found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(key), (F.col(id_col) != F.col("component_id")).alias(gone))
     marked = cut(ids.groupBy(key).agg(F.max(gone).alias(gone), F.count("*").alias("n")).filter(F.col(gone) | (F.col("n") > 1)).drop("n"), "marked")
-    present = spark.sparkContext.broadcast(_id_filter(marked.select(F.col(key).alias("id"))))
-
-    @F.pandas_udf("boolean")
-    def may(x):
-        import pandas as pd
-
-        return pd.Series(_present(x.to_numpy(), present.value))
-
+    may = may_hold(spark, bitmap(marked.select(key)))
     named = F.col(id_col).isNotNull()
     clear = docs.filter(~named | ~may(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))))
     rest = docs.filter(named).withColumn(key, F.col(id_col).cast("long")).filter(may(F.col(key)))

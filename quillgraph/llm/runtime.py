@@ -1,44 +1,30 @@
 """Session plumbing shared by the corpus operators.
 
-Lineage is cut with ordinary Parquet tables below ``spark.checkpoint.dir``: the one folder that the
-driver and every executor can reach, so a lost executor costs a re-read and never a recomputation of
-the whole chain.  Only where a session names no such folder (tests) is a private one made.
+Lineage is cut with ordinary Parquet tables in the folder that the driver and every executor can reach, so
+a lost executor costs a re-read and never a recomputation of the whole chain.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch.  Documents are long, so the default of 10,000 would make batches of unbounded size.
-BATCH_ROWS = 1000
+from quillgraph.scratch import shared_folder
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN:
-        _OWN[key] = tempfile.mkdtemp(prefix="quillgraph-")
-        atexit.register(shutil.rmtree, _OWN[key], ignore_errors=True)
-    return "file://" + _OWN[key]
+#: Rows and bytes of an Arrow batch: texts are long, so the bytes bound the memory of a batch of them, and the
+#: rows that of narrow tables.  A row that is longer is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Bounds the size of the Arrow batches that this session hands to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -56,9 +42,13 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_cut_path", None)
         if path:
-            spark = t.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of :func:`fresh`."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def unclash(df: DataFrame | list[str], *names: str) -> list[str]:
