@@ -13,12 +13,16 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.runtime import cut, file_system, fresh, prepare, unclash
+from quillgraph.llm.bitmap import bitmap, may_hold
+from quillgraph.llm.runtime import cut, discard, file_system, fresh, prepare, remove
+from quillgraph.llm.spread import spread_join
 
 #: Bytes of records that go to Spark in one batch, and about the size of an archive file.
 BATCH_BYTES = 8 << 20
@@ -54,7 +58,7 @@ def format_capture(page_id, url: str | None, payload: bytes, digest: str, first)
         out = [format_record([("WARC-Type", "revisit"), *common, *refers], http)]
     for kind, mime, block in (
         ("request", "application/http; msgtype=request", f"GET {_clean(url or '/')} HTTP/1.1\r\n\r\n".encode()),
-        ("metadata", "application/warc-fields", f"page-id: {'' if page_id is None else page_id}\r\n".encode()),
+        ("metadata", "application/warc-fields", b"" if page_id is None else f"page-id: {quote(str(page_id), safe='')}\r\n".encode()),
     ):
         own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, page_id, digest)), ("WARC-Date", _DATE), *target]
         out.append(format_record([*own, ("WARC-Concurrent-To", main), ("Content-Type", mime)], block))
@@ -62,7 +66,10 @@ def format_capture(page_id, url: str | None, payload: bytes, digest: str, first)
 
 
 def parse_records(stream: io.BufferedIOBase):
-    """(fields, block) of each record of an uncompressed stream; fields are lists by lower-case name."""
+    """(fields, block) of each record of an uncompressed stream; fields are lists by lower-case name.
+
+    A record that does not begin as one, has no length or is cut short raises ValueError.
+    """
     while True:
         line = stream.readline()
         if not line:
@@ -80,7 +87,10 @@ def parse_records(stream: io.BufferedIOBase):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             last = name.strip().lower()
             fields.setdefault(last, []).append(value.strip())
-        size = int(fields["content-length"][0])
+        said = fields.get("content-length", [""])[0]
+        if not said.isdecimal():
+            raise ValueError("a WARC record has no length")
+        size = int(said)
         block = stream.read(size)
         if len(block) != size:
             raise ValueError("a WARC record is cut short")
@@ -102,11 +112,19 @@ def write_archives(pages: DataFrame, where: str, id_col: str = "page_id", url_co
     """
     spark = pages.sparkSession
     prepare(spark)
-    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    keys = src.filter(F.octet_length("html") >= min_bytes).select("id", "sha")
+    text = F.coalesce(F.col(html_col), F.lit(""))
+    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("html"), F.unhex(F.sha1(text)).alias("sha"))
+    keys = cut(src.filter(F.octet_length("html") >= min_bytes).select("id", "sha"), "payloads")
     first = keys.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("sha", "first")
-    again = keys.distinct().join(first, "sha").filter(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), "first")
-    full = src.join(again, F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2")), "left").select("id", "url", "html", "first")
+    again = spread_join(keys, first, "sha", keys, "id").filter(~F.col("id").eqNullSafe(F.col("first"))).distinct()
+    again = cut(again.select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), "first"), "revisits")
+    # only payloads of rows that may be revisits are shuffled
+    mark = lambda i, sha: F.xxhash64(F.col(i), F.col(sha))
+    may = may_hold(spark, bitmap(again.select(mark("id2", "sha2").alias("key"))))
+    clear = src.filter(~may(mark("id", "sha"))).select("id", "url", "html", F.lit(None).cast(pages.schema[id_col].dataType).alias("first"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2"))
+    rest = src.filter(may(mark("id", "sha"))).join(again.hint("merge"), same, "left").select("id", "url", "html", "first")
+    full = clear.unionByName(rest)
 
     def run(batches):
         sink, done, n, size = None, [], 0, 0
@@ -133,7 +151,9 @@ def write_archives(pages: DataFrame, where: str, id_col: str = "page_id", url_co
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["path", "captures", "bytes"])
 
-    return cut(full.mapInArrow(run, "path string, captures long, bytes long"), "archives")
+    manifest = cut(full.mapInArrow(run, "path string, captures long, bytes long"), "archives")
+    discard(keys, again)
+    return manifest
 
 
 _RECORD = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("fields", pa.string()), ("payload", pa.binary())])
@@ -154,10 +174,15 @@ def _record(fields: dict[str, list[str]], block: bytes, payloads: bool) -> tuple
     return (one("warc-record-id"), kind, one("warc-target-uri"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), digest, size, text, body if payloads and kind == "response" else None)
 
 
-def read_archives(manifest: DataFrame, path_col: str = "path", payloads: bool = True) -> DataFrame:
-    """Every record of the listed files (plain or gzipped): its ids, type, payload figures and payload."""
-    n = max(1, manifest.count())
-    paths = manifest.select(F.col(path_col).alias("path")).repartition(n)
+def read_archives(manifest: DataFrame, path_col: str = "path", payloads: bool = True, strict: bool = False) -> DataFrame:
+    """Every record of the listed files (plain or gzipped): its ids, type, payload figures and payload.
+
+    A damaged record (no version line, no length, cut short, or broken gzip data) ends its file: the
+    records before it are given, then one row of kind "damaged" with the file as uri and the reason as
+    fields; with ``strict`` it raises instead.  Null paths are left out.
+    """
+    paths = manifest.select(F.col(path_col).alias("path")).filter("path is not null")
+    paths = paths.repartition(max(1, paths.count()))
 
     def run(batches):
         for batch in batches:
@@ -168,12 +193,17 @@ def read_archives(manifest: DataFrame, path_col: str = "path", payloads: bool =
                     stream = io.BufferedReader(raw, 1 << 20)
                     if stream.peek(2)[:2] == b"\x1f\x8b":
                         stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
-                    for fields, block in parse_records(stream):
-                        rows.append(_record(fields, block, payloads))
-                        held += len(block) if payloads else 500
-                        if held >= BATCH_BYTES:
-                            yield _pack(rows)
-                            rows, held = [], 0
+                    try:
+                        for fields, block in parse_records(stream):
+                            rows.append(_record(fields, block, payloads))
+                            held += len(block) if payloads else 500
+                            if held >= BATCH_BYTES:
+                                yield _pack(rows)
+                                rows, held = [], 0
+                    except (ValueError, EOFError, gzip.BadGzipFile, zlib.error) as e:
+                        if strict:
+                            raise
+                        rows.append((None, "damaged", uri, [], None, None, None, str(e), None))
                 if rows:
                     yield _pack(rows)
 
@@ -197,13 +227,14 @@ def assemble(records: DataFrame) -> DataFrame:
     shape = F.struct("record_id", "kind", "uri", "fields").alias("side")
     named = side.select(F.explode("concurrent_to").alias("main_id"), shape)
     naming = main.select(F.explode("concurrent_to").alias("side_id"), F.col("record_id").alias("main_id"))
-    back = naming.join(side, naming["side_id"] == side["record_id"]).select("main_id", shape)
-    sides = named.unionByName(back).distinct()
+    back = naming.join(side.hint("merge"), naming["side_id"] == side["record_id"]).select("main_id", shape)
+    sides = named.unionByName(back)
     grouped = sides.groupBy("main_id").agg(
         F.min(F.when(F.col("side.kind") == "request", F.col("side"))).alias("request"),
-        F.array_sort(F.collect_list(F.when(F.col("side.kind") == "metadata", F.col("side")))).alias("metadata"),
+        F.array_sort(F.collect_set(F.when(F.col("side.kind") == "metadata", F.col("side")))).alias("metadata"),
     )
-    whole = main.join(grouped, main["record_id"] == grouped["main_id"], "left").drop("main_id")
+    # by key at every size: Spark knows nothing of what a task reads from archives
+    whole = main.join(grouped.hint("merge"), main["record_id"] == grouped["main_id"], "left").drop("main_id")
     return whole.withColumn("metadata", F.coalesce("metadata", F.expr("cast(array() as array<struct<record_id:string,kind:string,uri:string,fields:string>>)")))
 
 
@@ -211,15 +242,28 @@ def round_trip(pages: DataFrame, where: str | None = None, payloads: bool = True
     """Writes the archives of ``pages``, reads them back and assembles the captures.
 
     Gives page_id, uri, payload_bytes, payload_digest, record_type, refers_to (the page id of the response
-    that a revisit names), request, metadata and payload.
+    that a revisit names), request, metadata and payload.  Ids of any simple type keep it; a null id comes
+    back null.  Without ``where`` the archives go again once they are read.
     """
-    manifest = write_archives(pages, where or fresh(pages.sparkSession, "warc"), **columns)
-    captures = assemble(read_archives(manifest, payloads=payloads))
-    said = F.regexp_extract(F.element_at(F.col("metadata.fields"), 1), r"(?m)^page-id: (.*?)\r?$", 1)
-    page = F.when(said != "", said).try_cast("long")
-    captures = captures.withColumn("page_id", page)
-    # every revisit's target: one row for each response that has revisits
-    target = captures.filter("kind = 'response'").select(F.col("record_id").alias("target_id"), F.col("page_id").alias("target_page"))
-    revisits = captures.filter("kind = 'revisit'").join(target, F.col("refers_to") == F.col("target_id"), "left")
-    shape = lambda df, refers: df.select("page_id", "uri", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), refers.alias("refers_to"), "request", "metadata", "payload")
-    return shape(captures.filter("kind = 'response'"), F.lit(None).cast("long")).unionByName(shape(revisits, F.col("target_page")))
+    spark = pages.sparkSession
+    folder = where or fresh(spark, "warc")
+    records = cut(read_archives(write_archives(pages, folder, **columns), payloads=payloads, strict=True), "records")
+    if where is None:
+        remove(spark, folder)
+    kind = pages.schema[columns.get("id_col", "page_id")].dataType
+    # the page of each capture, as its metadata record names it
+    noted = records.filter("kind = 'metadata'").select(F.explode("concurrent_to").alias("key"), "fields")
+    line = r"(?m)^page-id: (.*?)\r?$"
+    page = F.when(F.col("fields").rlike(line), F.url_decode(F.regexp_extract("fields", line, 1))).cast(kind)
+    noted = noted.groupBy("key").agg(F.min(page).alias("key_page"))
+    # a revisit is joined to the response that it names, a response to itself
+    key = F.when(F.col("kind") == "revisit", F.col("refers_to")).otherwise(F.col("record_id")).alias("key")
+    captures = assemble(records).withColumn("key", key).drop("refers_to")
+    named = records.filter(F.col("kind").isin("response", "revisit")).select(key)
+    placed = spread_join(captures, noted, "key", named, "record_id", "left")
+    revisit = F.col("kind") == "revisit"
+    own = F.element_at(F.col("metadata.fields"), 1)
+    own = F.when(own.rlike(line), F.url_decode(F.regexp_extract(own, line, 1))).cast(kind)
+    return placed.select(
+        F.when(revisit, own).otherwise(F.col("key_page")).alias("page_id"), "uri", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.when(revisit, F.col("key_page")).alias("refers_to"), "request", "metadata", "payload"
+    )

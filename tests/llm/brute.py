@@ -82,25 +82,28 @@ def token_ids(docs, tokenizer_json):
     return out
 
 
-def backoff(docs, alpha=0.4):
+def backoff(docs, alpha=0.4, order=3):
     words = [SPACED.findall(t or "") for _, t in docs]
-    c1 = collections.Counter(w for ws in words for w in ws)
-    c2 = collections.Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
-    total, out = sum(c1.values()), []
+    grams = lambda ws, n: collections.Counter(zip(*(ws[i:] for i in range(n)), strict=False))
+    every = {n: sum((grams(ws, n) for ws in words), collections.Counter()) for n in range(1, order + 1)}
+    corpus, out = sum(every[1].values()), []
     for (d, _), ws in zip(docs, words, strict=True):
-        o1, o2 = collections.Counter(ws), collections.Counter(zip(ws, ws[1:], strict=False))
-        score, known = 0.0, 0
-        for i, w in enumerate(ws):
-            s = math.log(max(c1[w] - o1[w], 0.5) / max(total - len(ws), 1))
-            if i:
-                pair = c2[ws[i - 1], w] - o2[ws[i - 1], w]
-                if pair > 0:
-                    s = math.log(pair / max(c1[ws[i - 1]] - o1[ws[i - 1]], 1))
-                    known += 1
+        own = {n: grams(ws, n) for n in every}
+        other = lambda g, own=own: every[len(g)][g] - own[len(g)][g]
+        score = known = 0
+        for i in range(len(ws)):
+            for n in range(min(order, i + 1), 0, -1):
+                g = tuple(ws[i - n + 1 : i + 1])
+                if n == 1:
+                    score += math.log(max(other(g), 0.5) / max(corpus - len(ws), 1))
+                    known += order == 1 and other(g) > 0
+                elif other(g) > 0:
+                    score += math.log(other(g) / max(other(g[:-1]), 1))
+                    known += n == order
+                    break
                 else:
-                    s += math.log(alpha)
-            score += s
-        out.append((d, len(ws), round(score, 6), known))
+                    score += math.log(alpha)
+        out.append((d, len(ws), score, score / len(ws) if ws else None, known))
     return out
 
 
