@@ -6,6 +6,9 @@ text that follow each other mostly share their anchor, so Spark shuffles one row
 packed hashes of its windows, and the windows of one anchor are counted together, documents ascending: a
 window is removed when a smaller document has shown it before.  Consecutive removed windows are merged
 into intervals before they leave the counting task, and once more for each document.
+
+Windows of frequent anchors are not brought together: they become rows of their own, the smallest document
+of each window is an aggregate that is combined within tasks first, and it is joined back by a spread join.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
 from quillgraph.llm.runtime import cut, discard, prepare, unclash
+from quillgraph.llm.spread import spread_join
 
 #: Words in an anchor gram.
 ANCHOR = 8
@@ -26,6 +30,11 @@ HASH_BYTES = 6
 STATE = 1 << 21
 #: Parts into which such an anchor is split.
 SPLIT = 64
+#: Counters that find frequent anchors, and the share of all rows (one in FREQUENT) that makes a counter frequent.
+SLOTS = 1 << 14
+FREQUENT = 512
+#: The part of a frequent anchor's rows.
+_HOT = -1
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -81,7 +90,7 @@ _OUT_DDL = "id long, digest long, start long, stop long, anchor long, part int,
 
 
 def _count(batches, width: int, state: int):
-    """Streams rows sorted by (anchor, part, id, digest, start).
+    """Streams rows sorted by (anchor, part, id, digest, start); those of frequent anchors pass as they are.
 
     Gives intervals of removed words (hashes null).  Where an anchor has more than ``state`` windows, the
     hashes seen so far (id null) and its remaining rows come back, with their hashes, to be dealt again.
@@ -101,6 +110,9 @@ def _count(batches, width: int, state: int):
         anchors, parts, ids, digests, starts = (c.to_pylist() for c in cols[:5])
         for i in range(len(at)):
             k, d = (anchors[i], parts[i]), ids[i]
+            if k[1] == _HOT:
+                out.append((d, digests[i], starts[i], None, k[0], _HOT, cols[5][i].as_py()))
+                continue
             if k != key:
                 key, current, seen, new, spilt = k, None, set(), [], False
             if spilt:
@@ -139,6 +151,8 @@ def removals(docs: DataFrame, id_col: str, text_col: str, width: int, state: int
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("digest")).filter("id is not null and text is not null")
 
+    hot = _frequent(src, width)
+
     def explode(batches):
         for batch in batches:
             ids, digests = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "digest"))
@@ -148,24 +162,78 @@ def removals(docs: DataFrame, id_col: str, text_col: str, width: int, state: int
                     continue
                 doc, start, anchor, packed, offsets = got
                 hashes = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).cast(pa.binary())
+                part = np.where(hot[anchor & (SLOTS - 1)], _HOT, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(np.zeros(len(doc), np.int32)), pa.array(ids[lo:hi][doc]), pa.array(digests[lo:hi][doc]), pa.array(start.astype(np.int64)), hashes],
+                    [pa.array(anchor), pa.array(part), pa.array(ids[lo:hi][doc]), pa.array(digests[lo:hi][doc]), pa.array(start.astype(np.int64)), hashes],
                     names=["anchor", "part", "id", "digest", "start", "hashes"],
                 )
 
     rows = src.mapInArrow(explode, "anchor long, part int, id long, digest long, start long, hashes binary")
-    done = None
+    done, tables = None, []
     while True:
-        dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.col("id").asc_nulls_first(), "digest", "start")
+        spread = F.when(F.col("part") == _HOT, F.xxhash64("id", "start")).otherwise(0)
+        dealt = rows.repartition(F.col("anchor"), F.col("part"), spread).sortWithinPartitions("anchor", "part", F.col("id").asc_nulls_first(), "digest", "start")
         found = cut(dealt.mapInArrow(lambda b: _count(b, width, state), _OUT_DDL), "windows")
+        tables.append(found)
         part = found.filter("hashes is null").select("id", "digest", "start", "stop")
+        if done is None:
+            common = cut(found.filter(F.col("hashes").isNotNull() & (F.col("part") == _HOT)).select("anchor", "id", "digest", "start", "hashes").mapInArrow(_single, _SINGLE_DDL), "common")
+            tables.append(common)
+            part = part.unionByName(_common(common, width))
         done = part if done is None else done.unionByName(part)
-        rest = found.filter("hashes is not null")
+        rest = found.filter(F.col("hashes").isNotNull() & (F.col("part") != _HOT))
         if rest.isEmpty():
             break
         rows = rest.select("anchor", "part", "id", "digest", "start", "hashes").mapInArrow(_split, "anchor long, part int, id long, digest long, start long, hashes binary")
     # the spans of one text are bounded by its own length
-    return done.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    out = cut(done.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    discard(*tables)
+    return out
+
+
+def _frequent(src: DataFrame, width: int) -> np.ndarray:
+    """For each of SLOTS hash values of anchors whether at least one in FREQUENT of all rows has it."""
+
+    def count(batches):
+        slots = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, data, off in tx.rounds(batch.column("text")):
+                got = runs(data, off, width)
+                if got is not None:
+                    slots += np.bincount(got[2] & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(slots)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(slots[at])], names=["slot", "n"])
+
+    counted = cut(src.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = np.zeros(SLOTS, bool)
+    if total > FREQUENT:
+        for r in counted.filter(F.col("n") * FREQUENT >= total).collect():  # at most FREQUENT rows
+            hot[r.slot] = True
+    discard(counted)
+    return hot
+
+
+_SINGLE_DDL = "anchor long, hash long, id long, digest long, start long"
+
+
+def _single(batches):
+    """One row for each window of rows with packed hashes."""
+    for batch in batches:
+        raw = batch.column("hashes").to_pylist()
+        n = np.array([len(r) // HASH_BYTES for r in raw])
+        if not n.sum():
+            continue
+        anchor, ids, digest, start = (np.repeat(batch.column(c).to_numpy(), n) for c in ("anchor", "id", "digest", "start"))
+        place = np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, _unpack(b"".join(raw)).view(np.int64), ids, digest, start + place)], names=["anchor", "hash", "id", "digest", "start"])
+
+
+def _common(windows: DataFrame, width: int) -> DataFrame:
+    """The windows that a smaller id has as well, as intervals of words."""
+    least = windows.groupBy("anchor", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
+    late = spread_join(windows, least, ["anchor", "hash"], windows, "id").filter("least < id")
+    return late.select("id", "digest", "start", (F.col("start") + width).alias("stop"))
 
 
 def _split(batches):
@@ -192,7 +260,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A word goes when a window over it also starts in a row with a smaller id; windows are judged on the
     input.  Rows with a null id have no order: they lose nothing and cause no loss.  Null and empty
-    texts have no words.  Rows with the same id do not remove each other's words.
+    texts have no words.  Rows with the same id do not remove each other's words.  Ids are taken as 64-bit
+    integers; an id that is none raises.
     """
     keep = docs.columns if keep is None else keep
     base = docs.select(*{c: None for c in [*keep, id_col, text_col]})
