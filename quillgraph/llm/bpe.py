@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from quillgraph.llm.chunks import ChunkEncoder, spelled_out
 from quillgraph.llm.runtime import prepare, unclash
 
-#: Entries of each memo; when full it starts anew.
-MEMO = 400_000
+#: Entries of each memo, which starts anew when it is full, and chunks of a generation: some 150 MB in all.
+MEMO, CHUNKS = 200_000, 250_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -45,7 +45,7 @@ class Bpe:
         self.shorter: dict[int, int | None] = {}
         self.whole: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
-        self.chunks = ChunkEncoder(self._encode_chunks)
+        self.chunks = ChunkEncoder(self._encode_chunks, CHUNKS)
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of a short byte string by repeated merging of the pair of lowest rank, the leftmost first."""
