@@ -6,6 +6,7 @@ every perturbation; the scores are joins and aggregates over these two results.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -104,10 +105,8 @@ def two_part_score(engine: Engine, golden: str | A.Query, constructed: str | A.Q
         sizes = a.join(b, "v", "full_outer").agg(F.count("g").alias("ng"), F.count("c").alias("nc"), F.count("*").alias("nu"), F.count(F.when(F.col("g").isNotNull() & F.col("c").isNotNull(), 1)).alias("ni"))
         parts.append(sizes.select(F.when((F.col("ng") == 0) | (F.col("nc") == 0), 0.0).otherwise(F.col("ni") / F.col("nu")).alias("j")))
     s1 = reduce(DataFrame.unionByName, parts).agg(F.avg("j").alias("s1"))
-    # the first `limit` of each constant's common values by hash are enough for `limit` combinations
-    common = [gv[x].join(cv[x], "v", "left_semi").orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(limit).select(F.col("v").alias(n)) for x, n in chosen.items()]
     names = list(chosen.values())
-    combos = reduce(lambda p, q: p.crossJoin(q), common).orderBy(F.xxhash64(*names, F.lit(seed)), *names).limit(limit)
+    combos = _combinations([gv[x].join(cv[x], "v", "left_semi") for x in chosen], names, limit, seed)
     left, right = answers(engine, g, chosen), answers(engine, c, chosen)
     scored = combos.join(left.withColumnRenamed("answers", "ga"), names, "left").join(right.withColumnRenamed("answers", "ca"), names, "left")
     empty = lambda x: F.coalesce(F.size(x), F.lit(0)) <= 0
@@ -116,6 +115,24 @@ def two_part_score(engine: Engine, golden: str | A.Query, constructed: str | A.Q
     return s1.crossJoin(s2).select("s1", "s2", (F.col("s1") * F.col("s2")).alias("score"))
 
 
+def _combinations(values: list[DataFrame], names: list[str], limit: int, seed: int) -> DataFrame:
+    """At most ``limit`` different combinations of one value (column v) of each table.
+
+    The first ``limit`` values of each table, in the order of a seeded hash, are enough for so many; a
+    combination is a number in the mixed base of their counts, and the numbers are spread evenly.
+    """
+    rows = [[r.v for r in t.orderBy(F.md5(F.concat("v", F.lit(f":{seed}")).cast("binary")), "v").limit(limit).collect()] for t in values]  # at most limit rows each
+    total = math.prod(len(r) for r in rows)
+    picked = []
+    for i in range(min(total, limit)):
+        at, cells = i * total // min(total, limit), []
+        for r in rows:
+            at, k = divmod(at, len(r))
+            cells.append(r[k])
+        picked.append(tuple(cells))
+    return values[0].sparkSession.createDataFrame(picked, ", ".join(f"`{n}` string" for n in names))
+
+
 def build_suite(engine: Engine, golden: str | A.Query, items: list[A.Term], limit: int = 50, seed: int = SEED) -> DataFrame:
     """Test cases of a query: case, replace columns, answers; the original constants come first.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import metrics
+from quillgraph.functions import text as words
 
 
 def method_means(rows: DataFrame, method: str, scores: list[str], order: list[str] | None = None) -> DataFrame:
@@ -84,3 +85,23 @@ def per_gold_mean(scores: DataFrame, golden: DataFrame, qid: str, score: str, mi
     own = scores.groupBy(qid).agg(best(score).alias(score))
     joined = golden.select(qid).distinct().join(own, qid, "left")
     return joined.agg(F.avg(F.coalesce(score, F.lit(missing))).alias("mean"), F.count(F.when(F.col(score).isNull(), 1)).alias("n_missing"))
+
+
+def first_of_each(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each group; every task keeps no more than n of a group before they meet."""
+    k = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return rows.withColumn("k_", k).filter(F.col("k_") <= n).drop("k_")
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows in the order of a seeded hash of their key: the same on every run, and whatever the partitions."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)
+
+
+def match_texts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str) -> DataFrame:
+    """left_id, right_id of equal query texts: with white space evened out, and of the others without any."""
+    a = left.select(left_id, words.match_form(F.col(text)).alias("k_"))
+    b = right.select(right_id, words.match_form(F.col(text)).alias("k_"))
+    bare = lambda df: df.withColumn("k_", F.regexp_replace("k_", " ", ""))
+    first = a.join(b, "k_").select(left_id, right_id)
+    return first.unionByName(bare(a.join(first, left_id, "left_anti")).join(bare(b), "k_").select(left_id, right_id))

@@ -59,7 +59,7 @@ def is_legal(precision: float, recall: float) -> bool:
 def atoms(engine: Engine, answers: DataFrame, constants: list[str], params: SearchParams) -> list[QueryGraph]:
     """Graphs of one constant that some answers have: an edge, an edge through an n-ary node, or a comparison."""
     g = engine.graph
-    sample = answers.select(F.col("answer").alias("node")).distinct().orderBy("node").limit(params.sample_answers)
+    sample = explore.sample_nodes(answers, params.sample_answers)
     n = sample.count()
     relations = [r.relation for r in explore.common_relations(explore.next_relations(g, sample), n).orderBy("relation").collect()]
     out: list[QueryGraph] = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scalar import Unsupported, compile_expr, literal
-from quillgraph.functions.terms import VType, coerce, number_of, text_of, to_term, truth, unify
+from quillgraph.functions.terms import NUMERIC, VType, coerce, number_of, text_of, to_term, truth, unify
 from quillgraph.operators.closure import reachable
 from quillgraph.plans import ast as A
 from quillgraph.plans.parser import parse
@@ -27,11 +28,15 @@ RDF_TYPE = A.RDF + "type"
 
 @dataclass
 class Solutions:
-    """Bindings: a column for each variable, its type, and which may be unbound."""
+    """Bindings: a column for each variable, its type, and which may be unbound.
+
+    ``patterns``, where known, are the sets of variables that some row leaves unbound together.
+    """
 
     df: DataFrame
     types: dict[str, VType] = field(default_factory=dict)
     maybe: frozenset = frozenset()
+    patterns: frozenset | None = None
 
     def lookup(self, name: str) -> tuple[Column, VType] | None:
         return (self.df[name], self.types[name]) if name in self.types else None
@@ -41,7 +46,7 @@ class Solutions:
 
     def retype(self, wanted: dict[str, VType]) -> Solutions:
         changes = {n: coerce(self.df[n], self.types[n], t) for n, t in wanted.items() if n in self.types and self.types[n] != t}
-        return Solutions(self.df.withColumns(changes), {**self.types, **{n: wanted[n] for n in changes}}, self.maybe) if changes else self
+        return Solutions(self.df.withColumns(changes), {**self.types, **{n: wanted[n] for n in changes}}, self.maybe, self.patterns) if changes else self
 
     def keep(self, names: list[str]) -> Solutions:
         have = [n for n in names if n in self.types]
@@ -64,30 +69,115 @@ def renamed(b: Solutions, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
     return b.df.select(*(F.col(f"`{n}`").alias(to.get(n, n)) for n in b.types)), to
 
 
+def _unbound_parts(side: Solutions, names: list[str]) -> list[tuple[DataFrame, set[str]]]:
+    """A side's rows by which of some names, that may be unbound, are."""
+    parts = [(side.df, set())]
+    for n in names:
+        if n in side.maybe:
+            c = F.col(f"`{n}`")
+            parts = [(df.filter(test), none | more) for df, none in parts for test, more in ((c.isNotNull(), set()), (c.isNull(), {n}))]
+    known = None if side.patterns is None else [set(p) & set(names) for p in side.patterns]
+    return parts if known is None else [(df, none) for df, none in parts if none in known]
+
+
+#: Names that may be unbound, of both sides, up to which a join is taken apart by which of them are.
+_APART = 4
+
+
+def _by_bound(a: Solutions, b: Solutions, names: list[str], need: bool = False):
+    """Pairs of a part of ``a`` and the parts of ``b`` with the names that are bound in both: equi-keys all.
+
+    ``need`` leaves out parts that share no bound name.
+    """
+    for left, none_a in _unbound_parts(a, names):
+        rights = []
+        for right, none_b in _unbound_parts(b, names):
+            keys = [n for n in names if n not in none_a | none_b]
+            if keys or not need:
+                rights.append((Solutions(right, b.types, frozenset()), keys))
+        yield left, rights
+
+
+def _on(keys: list[str], to: dict[str, str]) -> Column:
+    return reduce(lambda p, q: p & q, (F.col(f"`{n}`") == F.col(f"`{to[n]}`") for n in keys), F.lit(True))
+
+
 def join(a: Solutions, b: Solutions, how: str = "inner", extra=None) -> Solutions:
     """Joins on shared variables; an unbound one is compatible with anything.
 
-    ``extra`` compiles a further condition over both sides (the filter of an OPTIONAL).
+    ``extra`` compiles a further condition over both sides (the filter of an OPTIONAL).  Rows are taken apart by
+    which shared variables are unbound, so that each part joins by equality of those that are bound.
     """
     a, b, names = aligned(a, b)
     loose = [n for n in names if n in a.maybe or n in b.maybe]
-    right, to = renamed(b, names)
-    cond = [
-        (F.col(f"`{n}`") == F.col(f"`{to[n]}`")) | F.col(f"`{n}`").isNull() | F.col(f"`{to[n]}`").isNull() if n in loose else F.col(f"`{n}`") == F.col(f"`{to[n]}`")
-        for n in names
-    ]
-    if extra is not None:
-        types = {**b.types, **a.types}
-        cond.append(extra(lambda n: (F.col(f"`{n}`"), types[n]) if n in types else None))
-    if how in ("left_semi", "left_anti"):
-        return Solutions(a.df.join(right, reduce(lambda p, q: p & q, cond) if cond else F.lit(True), how), a.types, a.maybe)
-    df = a.df.join(right, reduce(lambda p, q: p & q, cond) if cond else F.lit(True), how) if cond else a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how)
-    cols = [F.coalesce(f"`{n}`", f"`{to[n]}`").alias(n) if n in loose else F.col(f"`{n}`") for n in a.types] + [F.col(f"`{n}`") for n in b.types if n not in a.types]
+    types = {**b.types, **a.types}
+    test = None if extra is None else extra(lambda n: (F.col(f"`{n}`"), types[n]) if n in types else None)
     maybe = (a.maybe | b.maybe) - {n for n in names if n not in loose or (n not in a.maybe or n not in b.maybe)}
     if how == "left":
         maybe |= {n for n in b.types if n not in a.types}
         maybe |= {n for n in names if n in a.maybe}
-    return Solutions(df.select(*cols), {**b.types, **a.types} | {n: a.types[n] for n in a.types}, frozenset(maybe))
+    apart = loose and sum((n in a.maybe) + (n in b.maybe) for n in loose) <= _APART
+    if not apart:
+        return _join_at_once(a, b, names, loose, how, test, types, maybe)
+    if how == "inner":
+        parts = [_join_at_once(Solutions(left, a.types), right, names, [], how, test, types, maybe, keys).df for left, rights in _by_bound(a, b, names) for right, keys in rights]
+        return Solutions(reduce(DataFrame.unionByName, parts), types, frozenset(maybe))
+    if how == "left":
+        pairs, alone = join(a, b, "inner", extra), join(a, b, "left_anti", extra)
+        rest = alone.df.select(*(F.col(f"`{n}`") if n in a.types else F.lit(None).cast(pairs.df.schema[n].dataType).alias(n) for n in types))
+        return Solutions(pairs.df.select(*(F.col(f"`{n}`") for n in types)).unionByName(rest), types, frozenset(maybe))
+    parts = []
+    for left, rights in _by_bound(a, b, names):
+        if how == "left_anti":
+            for right, keys in rights:
+                left = _join_at_once(Solutions(left, a.types), right, names, [], how, test, types, maybe, keys).df
+            parts.append(left)
+        else:  # a row that one part has matched is not looked for in the next
+            for right, keys in rights:
+                parts.append(_join_at_once(Solutions(left, a.types), right, names, [], how, test, types, maybe, keys).df)
+                left = _join_at_once(Solutions(left, a.types), right, names, [], "left_anti", test, types, maybe, keys).df
+    return Solutions(reduce(DataFrame.unionByName, parts), a.types, a.maybe)
+
+
+def _join_at_once(a: Solutions, b: Solutions, names: list[str], loose: list[str], how: str, test, types: dict[str, VType], maybe, keys: list[str] | None = None) -> Solutions:
+    """One join: by equality of ``keys`` (default: all shared names that are not loose), and loosely of the loose ones."""
+    right, to = renamed(b, names)
+    keys = [n for n in names if n not in loose] if keys is None else keys
+    cond = [F.col(f"`{n}`") == F.col(f"`{to[n]}`") for n in keys]
+    cond += [(F.col(f"`{n}`") == F.col(f"`{to[n]}`")) | F.col(f"`{n}`").isNull() | F.col(f"`{to[n]}`").isNull() for n in loose]
+    if test is not None:
+        cond.append(test)
+    on = reduce(lambda p, q: p & q, cond) if cond else F.lit(True)
+    if how in ("left_semi", "left_anti"):
+        return Solutions(a.df.join(right, on, how), a.types, a.maybe)
+    df = a.df.join(right, on, how) if cond or how != "inner" else a.df.crossJoin(right)
+    whole = [n for n in names if n in keys and n not in loose]
+    cols = [F.col(f"`{n}`") if n in whole or n not in to else F.coalesce(f"`{n}`", f"`{to[n]}`").alias(n) for n in a.types] + [F.col(f"`{n}`") for n in b.types if n not in a.types]
+    return Solutions(df.select(*cols).select(*(F.col(f"`{n}`") for n in types)), types, frozenset(maybe))
+
+
+#: What a filter on the kind of a term says of the edges that can have bound it.
+_KIND_TESTS = {
+    ("ISIRI", True): lambda g, e: g.is_class(e.target), ("ISIRI", False): lambda g, e: not g.is_class(e.target),
+    ("ISLITERAL", True): lambda g, e: not g.is_class(e.target), ("ISLITERAL", False): lambda g, e: g.is_class(e.target),
+    ("ISNUMERIC", True): lambda g, e: e.target in NUMERIC,
+}
+
+
+def kind_tests(g: A.Group) -> dict[str, Callable[[Graph, Edge], bool]]:
+    """The kinds that the filters of a group demand of its variables."""
+    out = {}
+    waiting = [p.expr for p in g.parts if isinstance(p, A.Filter)]
+    while waiting:
+        e, wanted = waiting.pop(), True
+        if isinstance(e, A.Op) and e.name == "&&":
+            waiting += e.args
+            continue
+        if isinstance(e, A.Op) and e.name == "!":
+            e, wanted = e.args[0], False
+        if isinstance(e, A.Call) and (e.name, wanted) in _KIND_TESTS and isinstance(e.args[0], A.Var):
+            out[e.args[0].name] = _KIND_TESTS[e.name, wanted]
+    return out
 
 
 class Compiler:
@@ -96,6 +186,7 @@ class Compiler:
         self.spark: SparkSession = graph.spark
         self.checkpoint = checkpoint
         self.count = itertools.count()
+        self.kinds: dict[str, Callable[[Graph, Edge], bool]] = {}
 
     # ---- terms
     def node_key(self, iri: A.Iri, cls: str | None) -> Column | None:
@@ -249,7 +340,7 @@ class Compiler:
         if isinstance(t.p, A.PathAlt):
             return reduce(union, (self.bgp([A.Triple(t.s, p, t.o)], {}) for p in t.p.parts))
         if isinstance(t.p, A.PathMod):
-            return self.closure(t)
+            return self.closure(t, classes)
         if isinstance(t.p, A.PathNot):
             return self.negated(t)
         if isinstance(t.p, A.Iri):  # rdf:type
@@ -278,27 +369,38 @@ class Compiler:
         return reduce(union, parts) if parts else self.empty({x.name: VType("str") for x in (t.s, t.o) if isinstance(x, A.Var)})
 
     def any_predicate(self, t: A.Triple, classes: dict[A.Term, set[str]], edges: list[Edge] | None = None) -> Solutions:
-        """A variable predicate: the triples of every edge that fits."""
+        """A variable predicate: the triples of every edge that fits.  Constant nodes are native keys in the scan."""
         fit = [e for e in (self.graph.edges if edges is None else edges) if (t.s not in classes or e.cls in classes[t.s]) and (t.o not in classes or e.target in classes[t.o])]
-        if not fit:
+        if isinstance(t.o, A.Var) and t.o.name in self.kinds:
+            fit = [e for e in fit if self.kinds[t.o.name](self.graph, e)]
+        subject = obj = None
+        if isinstance(t.s, A.Iri):
+            subject = self.node_key(t.s, self.class_of(t.s))
+            fit = [e for e in fit if subject is not None and e.cls == self.class_of(t.s)]
+        if isinstance(t.o, A.Iri):
+            obj = self.node_key(t.o, self.class_of(t.o))
+            fit = [e for e in fit if obj is not None and e.target == self.class_of(t.o)]
+        if isinstance(t.o, A.Lit):
+            fit = [e for e in fit if not self.graph.is_class(e.target)]
+        if not fit or isinstance(t.s, A.Lit):
             return self.empty({x.name: VType("str") for x in (t.s, t.p, t.o) if isinstance(x, A.Var)})
-        df = self.graph.triples(fit)
+        df = self.graph.triples(fit, subject, obj)
         cols: dict[str, Column] = {}
         types: dict[str, VType] = {}
-        conds = []
+        conds = [F.lit(True)]
         objects = all(self.graph.is_class(e.target) for e in fit)
         o_type = VType("iri") if objects else VType("term")
         for x, c, vt in ((t.s, F.col("s"), VType("iri")), (t.p, F.col("p"), VType("iri")), (t.o, F.col("o.lex") if objects else F.col("o"), o_type)):
-            if not isinstance(x, A.Var):
-                conds.append(self.equals(c, vt, x) if isinstance(x, A.Iri | A.Lit) else F.lit(True))
+            if isinstance(x, A.Lit):
+                conds.append(self.equals(c, vt, x))
+            elif isinstance(x, A.Iri):
+                continue
             elif x.name in cols:
                 u = unify(types[x.name], vt)
                 conds.append(coerce(cols[x.name], types[x.name], u) == coerce(c, vt, u))
             else:
                 cols[x.name], types[x.name] = c, vt
-        if isinstance(t.o, A.Iri):
-            conds = [c for c in conds]
-        df = df.filter(reduce(lambda p, q: p & q, conds, F.lit(True)))
+        df = df.filter(reduce(lambda p, q: p & q, conds))
         return Solutions(df.select(*(c.alias(n) for n, c in cols.items())), types)
 
     def negated(self, t: A.Triple) -> Solutions:
@@ -315,11 +417,20 @@ class Compiler:
         names = [x.name for x in (t.s, t.o) if isinstance(x, A.Var)]
         return reduce(union, (p.keep(names) for p in parts))
 
-    def closure(self, t: A.Triple) -> Solutions:
-        """``p?``, ``p*`` and ``p+``: pairs without repeats, safe on cycles."""
+    def closure(self, t: A.Triple, classes: dict[A.Term, set[str]]) -> Solutions:
+        """``p?``, ``p*`` and ``p+``: pairs without repeats, safe on cycles.
+
+        A path of no step joins every node of the graph with itself; where other patterns allow an end only
+        some classes, their nodes do.
+        """
         a, b = A.Var("_from"), A.Var("_to")
         step = self.bgp([A.Triple(a, t.p.path, b)], {})
         ty = unify(step.types["_from"], step.types["_to"])
+        zero = t.p.mod in ("*", "?")
+        free = zero and isinstance(t.s, A.Var) and isinstance(t.o, A.Var)
+        some = [classes[x] for x in (t.s, t.o) if x in classes and classes[x] <= set(self.graph.classes)]
+        if free:
+            ty = unify(ty, VType("iri") if some else VType("term"))
         step = step.retype({"_from": ty, "_to": ty})
         pairs = step.df.select(F.col("_from").alias("src"), F.col("_to").alias("dst")).distinct()
 
@@ -332,15 +443,18 @@ class Compiler:
             return coerce(*literal(x), ty)
 
         s, o = fixed(t.s), fixed(t.o)
-        zero = t.p.mod in ("*", "?")
         if t.p.mod == "?":
             found = pairs
         else:
             found = reachable(pairs, s, o, self.checkpoint)
         if zero:
-            nodes = pairs.select(F.col("src").alias("n")).union(pairs.select("dst")).distinct()
-            own = [self.spark.range(1).select(x.alias("n")) for x in (s, o) if x is not None]
-            nodes = reduce(DataFrame.union, own, nodes).distinct()
+            if free:
+                every = self.graph.nodes(set.intersection(*some) if some else None)
+                nodes = every.select(F.col("n.lex") if ty.kind == "iri" else F.col("n"))
+                nodes = nodes.toDF("n")
+            else:
+                own = [self.spark.range(1).select(x.alias("n")) for x in (s, o) if x is not None]
+                nodes = reduce(DataFrame.union, own).distinct()
             found = found.union(nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"))).distinct()
         if s is not None:
             found = found.filter(F.col("src") == s)
@@ -358,11 +472,14 @@ class Compiler:
         waiting: list[A.Triple] = []
         filters: list = []
         known = dict(known or {})
+        tests = kind_tests(g)
 
         def flush() -> None:
             nonlocal done
             if waiting:
+                before, self.kinds = self.kinds, tests
                 part = self.bgp(list(waiting), {**known, **(done.types if done else {})})
+                self.kinds = before
                 done = part if done is None else join(done, part)
                 waiting.clear()
 
@@ -384,9 +501,7 @@ class Compiler:
             elif isinstance(part, A.MinusP):
                 done = self.minus(done or self.unit(), self.group(part.group, {**known, **have}))
             elif isinstance(part, A.Bind):
-                base = done or self.unit()
-                c, t = compile_expr(part.expr, base.by_name, self.exists_flag(base, part.expr))
-                done = Solutions(base.df.withColumn(part.var.name, c), {**base.types, part.var.name: t}, base.maybe | {part.var.name})
+                done = self.extended(done or self.unit(), part.expr, part.var.name)
             else:
                 right = self.sub(part, {**known, **have})
                 done = right if done is None else join(done, right)
@@ -443,7 +558,8 @@ class Compiler:
             columns.append([F.lit(None) if c is None else coerce(c[0], c[1], types[x.name]) for c in cells])
         rows = F.array(*(F.struct(*(c[k].alias(x.name) for x, c in zip(v.vars, columns, strict=True))) for k in range(len(v.rows))))
         df = self.spark.range(1).select(F.explode(rows).alias("r")).select(*(F.col(f"r.`{x.name}`").alias(x.name) for x in v.vars))
-        return Solutions(df, types, frozenset(x.name for i, x in enumerate(v.vars) if any(r[i] is None for r in v.rows)))
+        patterns = frozenset(frozenset(x.name for x, c in zip(v.vars, r, strict=True) if c is None) for r in v.rows)
+        return Solutions(df, types, frozenset().union(*patterns), patterns)
 
     def constant(self, t: A.Term) -> tuple[Column, VType]:
         cls = self.class_of(t)
@@ -457,12 +573,13 @@ class Compiler:
         a2, b2, names = aligned(a, b)
         if not (a2.maybe | b2.maybe) & set(names):
             return join(a2, b2.keep(names), "left_anti")
-        # with unbound variables at least one shared one must be bound on both sides
-        right, to = renamed(b2.keep(names), names)
-        c = lambda n: (F.col(f"`{n}`"), F.col(f"`{to[n]}`"))
-        fits = reduce(lambda p, q: p & q, ((x == y) | x.isNull() | y.isNull() for x, y in map(c, names)))
-        some = reduce(lambda p, q: p | q, ((x == y).eqNullSafe(True) for x, y in map(c, names)))
-        return Solutions(a2.df.join(right, fits & some, "left_anti"), a2.types, a2.maybe)
+        # what shares no variable that is bound on both sides takes nothing away
+        parts = []
+        for left, rights in _by_bound(a2, b2.keep(names), names, need=True):
+            for right, keys in rights:
+                left = _join_at_once(Solutions(left, a2.types), right.keep(keys), keys, [], "left_anti", None, a2.types, a2.maybe).df
+            parts.append(left)
+        return Solutions(reduce(DataFrame.unionByName, parts), a2.types, a2.maybe)
 
     # ---- filters
     def filter(self, sol: Solutions, e: object) -> Solutions:
@@ -499,9 +616,12 @@ class Compiler:
         get = (lambda x: (F.col(names[x]).isNotNull()) if not x.negated else F.col(names[x]).isNull()) if tests else None
         return sol, get
 
-    def exists_flag(self, sol: Solutions, e: object):
-        if any(isinstance(x, A.Exists) for x in A.walk(e)):
-            raise Unsupported("EXISTS inside BIND or a projection")
+    def extended(self, sol: Solutions, e: object, name: str) -> Solutions:
+        """The solutions with a further variable, which is unbound where the expression is an error."""
+        flagged, flags = self.with_flags(sol, e)
+        c, t = compile_expr(e, flagged.by_name, flags)
+        df = flagged.df.select(*(F.col(f"`{n}`") for n in sol.types if n != name), c.alias(name))
+        return Solutions(df, {**{n: v for n, v in sol.types.items() if n != name}, name: t}, sol.maybe | {name})
 
     # ---- modifiers
     def select(self, q: A.Query) -> Solutions:
@@ -520,8 +640,7 @@ class Compiler:
         extended = sol
         for p in projection:
             if p.expr != p.var or p.var.name not in extended.types:
-                c, t = compile_expr(p.expr, extended.by_name, self.exists_flag(extended, p.expr))
-                extended = Solutions(extended.df.withColumn(p.var.name, c), {**extended.types, p.var.name: t}, extended.maybe | {p.var.name})
+                extended = self.extended(extended, p.expr, p.var.name)
         for h in having:
             extended = self.filter(extended, h)
         names = list(dict.fromkeys(p.var.name for p in projection))

@@ -19,6 +19,7 @@ from quillgraph.plans import querygraph, sexpr
 from quillgraph.plans import rewrite as rewrites
 from quillgraph.plans.compiler import Engine
 from quillgraph.plans.parser import parse
+from quillgraph.sources import files
 from quillgraph.sources.registry import sales_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,13 +71,13 @@ sparql("b16_arithmetic", "SELECT ?s (?b - 10 - 5 AS ?x) (-?b / 4 AS ?y) WHERE {
 sparql("b17_bind", "SELECT ?l ?net WHERE { ?x :of_order <kg:order/3> ; :extendedprice ?p ; :discount ?d ; :linestatus ?l BIND(?p * (1 - ?d) AS ?net) }", "SELECT l_linestatus AS l, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_orderkey = 3")
 sparql("b18_values", "SELECT ?n ?x WHERE { VALUES (?r ?x) { (<kg:region/1> 10) (<kg:region/2> UNDEF) } ?n :in_region ?r }", "SELECT 'kg:nation/' || n_nationkey AS n, v.x AS x FROM nation JOIN (VALUES (1, 10::BIGINT), (2, NULL)) v(r, x) ON n_regionkey = v.r")
 sparql("b18_values_undef_join", "SELECT ?n ?label WHERE { ?n :in_region <kg:region/1> ; :name ?label } VALUES (?n ?label) { (<kg:nation/1> UNDEF) (UNDEF \"NATION_6\") }", "SELECT 'kg:nation/' || n_nationkey AS n, n_name AS label FROM nation JOIN (VALUES (1, NULL), (NULL, 'NATION_6')) v(k, l) ON (n_nationkey = k OR k IS NULL) AND (n_name = l OR l IS NULL) WHERE n_regionkey = 1")
+sparql("b17_bind_exists", "SELECT ?c ?open WHERE { ?c :mktsegment ?m BIND(EXISTS { ?o :placed_by ?c ; :status \"P\" } AS ?open) }", "SELECT 'kg:customer/' || c_custkey AS c, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS open FROM customer")
 sparql("b20_graph", "SELECT ?g ?n WHERE { GRAPH ?g { ?n :in_region <kg:region/0> } }", "SELECT 'kg:graph' AS g, 'kg:nation/' || n_nationkey AS n FROM nation WHERE n_regionkey = 0")
 sparql("b21_service_silent", "SELECT ?n WHERE { ?n a :region SERVICE SILENT <http://nowhere> { ?n :x ?y } }", "SELECT 'kg:region/' || r_regionkey AS n FROM region")
 sparql("b22_namespace", "SELECT DISTINCT ?p WHERE { <kg:customer/1> ?p ?o FILTER(STRSTARTS(STR(?p), \"kg:\")) }", "SELECT unnest(['kg:name', 'kg:acctbal', 'kg:mktsegment', 'kg:of_nation']) AS p")
 sparql("b23_ignored", "SELECT DISTINCT ?p WHERE { <kg:customer/1> ?p ?o FILTER(!REGEX(STR(?p), \"^kg:of_\")) }", "SELECT unnest(['kg:name', 'kg:acctbal', 'kg:mktsegment']) AS p")
 sparql("b25_distinct_variables", "SELECT ?a ?b WHERE { ?a :in_region ?r . ?b :in_region ?r . FILTER(?a != ?b) }", "SELECT 'kg:nation/' || x.n_nationkey AS a, 'kg:nation/' || y.n_nationkey AS b FROM nation x JOIN nation y USING (n_regionkey) WHERE x.n_nationkey <> y.n_nationkey")
-sparql("b32_answer_filter", "SELECT ?x WHERE { ?d :text ?x FILTER(!ISLITERAL(?x) OR LANG(?x) = '' OR LANGMATCHES(LANG(?x), 'en')) ?d :n_chars ?n FILTER(?n < 400) }", "SELECT text AS x FROM documents WHERE lang = 'en' AND n_chars < 400")
-sparql("b32_answer_filter_all", "SELECT ?x WHERE { ?d a :document ; :text ?x FILTER(!ISLITERAL(?x) OR LANG(?x) = '' OR LANGMATCHES(LANG(?x), 'en')) }", "SELECT text AS x FROM documents WHERE lang = 'en' AND text IS NOT NULL")
+sparql("b32_answer_filter", "SELECT ?x WHERE { ?d a :document ; :text ?x FILTER(!ISLITERAL(?x) OR LANG(?x) = '' OR LANGMATCHES(LANG(?x), 'en')) }", "SELECT text AS x FROM documents WHERE lang = 'en' AND text IS NOT NULL")
 sparql("b33_lexical", "SELECT ?d WHERE { ?d :language ?l FILTER(ISLITERAL(?l) && STR(?l) = \"de\") }", "SELECT 'kg:document/' || doc_id AS d FROM documents WHERE lang = 'de'")
 sparql("b34_cast_filter", "SELECT ?p WHERE { ?p :retailprice ?r FILTER(xsd:integer(?r) > 950) }", "SELECT 'kg:part/' || p_partkey AS p FROM part WHERE trunc(p_retailprice) > 950")
 
@@ -92,6 +93,8 @@ sparql("c4_statement_star", "SELECT ?q WHERE { ?l :of_part <kg:part/5> ; :of_sup
 sparql("c5_optional_label", "SELECT ?d ?q WHERE { ?d :source ?s OPTIONAL { ?d :quality ?q FILTER(?q > 0) } }", "SELECT 'kg:document/' || d.doc_id AS d, CASE WHEN quality > 0 THEN quality END::BIGINT AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 sparql("c6_minus", "SELECT ?d WHERE { ?d :source ?s MINUS { ?d :toxic 1 } }", "SELECT 'kg:document/' || doc_id AS d FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 sparql("c6_minus_disjoint", "SELECT ?n WHERE { ?n a :region MINUS { ?x a :nation } }", "SELECT 'kg:region/' || r_regionkey AS n FROM region")
+sparql("c5_optional_chain", "SELECT ?d ?q WHERE { ?d :source ?s OPTIONAL { ?d :quality ?q } OPTIONAL { ?d :toxic ?q } }", "SELECT 'kg:document/' || d.doc_id AS d, coalesce(quality, toxic)::BIGINT AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+sparql("c6_minus_unbound", "SELECT ?d ?q WHERE { ?d :source ?s OPTIONAL { ?d :quality ?q } MINUS { ?e :toxic ?q FILTER(?q = 1) } }", "SELECT 'kg:document/' || d.doc_id AS d, quality::BIGINT AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NULL OR quality <> 1 OR NOT EXISTS (SELECT 1 FROM labels WHERE toxic = 1)")
 sparql("c7_exists", "SELECT ?c WHERE { ?c :mktsegment ?m FILTER EXISTS { ?o :placed_by ?c ; :orderpriority \"1-URGENT\" } }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 sparql("c8_not_exists", "SELECT ?c WHERE { ?c :mktsegment ?m FILTER NOT EXISTS { ?o :placed_by ?c ; :status \"P\" } }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 sparql("c8_correlated_filter", "SELECT ?c WHERE { ?c :acctbal ?b ; :mktsegment ?m FILTER NOT EXISTS { ?o :placed_by ?c ; :totalprice ?t FILTER(?t > ?b * 50) } }", "SELECT 'kg:customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)")
@@ -103,17 +106,8 @@ sparql("c15_class_closure", "SELECT ?x WHERE { ?x :of_nation/:in_region* <kg:reg
 sparql("c20_intermediate_compare", "SELECT DISTINCT ?p WHERE { ?p ^:of_part/:quantity ?q FILTER(?q >= 49) }", "SELECT DISTINCT 'kg:part/' || l_partkey AS p FROM lineitem WHERE l_quantity >= 49")
 
 
-@query("c11_label_batch", "SELECT 'kg:customer/' || c_custkey AS node, c_name AS label FROM customer UNION ALL SELECT 'kg:order/' || o_orderkey, NULL FROM orders WHERE o_orderkey <= 50")
+@query("c11_label_batch", "SELECT 'kg:customer/' || c_custkey AS node, c_name AS label FROM customer UNION ALL SELECT 'kg:order/' || o_orderkey, NULL FROM orders")
 def _c11(spark, sf_dir):
-    g = sales_graph(spark, sf_dir)
-    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("kg:customer/"), F.col("c_custkey").cast("string")).alias("node"))
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey <= 50").select(F.concat(F.lit("kg:order/"), F.col("o_orderkey").cast("string")).alias("node"))
-    return explore.labels(g, nodes.unionByName(orders))
-
-
-@query("c11_label_batch_all", "SELECT 'kg:customer/' || c_custkey AS node, c_name AS label FROM customer UNION ALL SELECT 'kg:order/' || o_orderkey, NULL FROM orders")
-def _c11_all(spark, sf_dir):
-    """Every order and not the first alone."""
     return explore.labels(sales_graph(spark, sf_dir), _every(spark, sf_dir, "customer", "c_custkey").unionByName(_every(spark, sf_dir, "orders", "o_orderkey", "order")))
 
 
@@ -121,7 +115,7 @@ def _c11_all(spark, sf_dir):
 def _c16(spark, sf_dir):
     g = sales_graph(spark, sf_dir)
     # three customers that have orders and events
-    some = engine(spark, sf_dir).sparql("SELECT DISTINCT ?c WHERE { ?o :placed_by ?c . ?e :by_user ?c }").select(F.col("c").alias("node")).orderBy("node").limit(3)
+    some = explore.sample_nodes(engine(spark, sf_dir).sparql("SELECT DISTINCT ?c WHERE { ?o :placed_by ?c . ?e :by_user ?c }"), 3)
     return explore.common_relations(explore.next_relations(g, some), 3)
 
 
@@ -188,6 +182,32 @@ sparql("e3_inverse", "SELECT ?n WHERE { <kg:region/1> ^:in_region ?n }", "SELECT
 sparql("e4_optional_path", "SELECT ?x WHERE { <kg:nation/1> :in_region? ?x }", "SELECT 'kg:region/' || n_regionkey AS x FROM nation WHERE n_nationkey = 1 UNION SELECT 'kg:nation/1'")
 sparql("e5_closure", "SELECT ?a ?b WHERE { ?a (:in_region|^:in_region)+ ?b . FILTER(?a = <kg:nation/2>) }", "SELECT 'kg:nation/2' AS a, 'kg:region/' || n_regionkey AS b FROM nation WHERE n_nationkey = 2 UNION SELECT 'kg:nation/2', 'kg:nation/' || n_nationkey FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 2)")
 sparql("e5_closure_star", "SELECT ?x WHERE { <kg:customer/1> (:of_nation|:in_region)* ?x }", "SELECT 'kg:customer/1' AS x UNION SELECT 'kg:nation/' || c_nationkey FROM customer WHERE c_custkey = 1 UNION SELECT 'kg:region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1")
+sparql(
+    "e5_deep_closure",
+    "SELECT (COUNT(?x) AS ?n) WHERE { <kg:order/1> (:of_order|^:of_order|:of_part|^:of_part)+ ?x }",
+    """WITH RECURSIVE l AS (SELECT 'o' || l_orderkey AS o, 'p' || l_partkey AS p, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, epoch_us(l_shipdate), l_extendedprice, l_quantity) AS k FROM lineitem),
+  e AS (SELECT k AS a, o AS b FROM l UNION SELECT o, k FROM l UNION SELECT k, p FROM l UNION SELECT p, k FROM l),
+  r AS (SELECT b FROM e WHERE a = 'o1' UNION SELECT e.b FROM r JOIN e ON r.b = e.a)
+SELECT count(*) AS n FROM r""",
+)
+sparql(
+    "e5_zero_length",
+    "SELECT (COUNT(*) AS ?n) WHERE { ?x :in_region* ?y }",
+    """WITH s AS (SELECT r_name FROM region UNION SELECT n_name FROM nation UNION SELECT c_name FROM customer UNION SELECT c_mktsegment FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part UNION SELECT p_brand FROM part
+    UNION SELECT p_type FROM part UNION SELECT o_orderstatus FROM orders UNION SELECT o_orderpriority FROM orders UNION SELECT l_returnflag FROM lineitem UNION SELECT l_linestatus FROM lineitem UNION SELECT event_type FROM events
+    UNION SELECT lang FROM documents UNION SELECT source FROM documents UNION SELECT role FROM conversations UNION SELECT text FROM conversations UNION SELECT url FROM pages UNION SELECT text FROM benchmark),
+  i AS (SELECT p_size::BIGINT AS v FROM part UNION SELECT n_chars FROM documents UNION SELECT quality FROM labels UNION SELECT toxic FROM labels UNION SELECT turn FROM conversations),
+  f AS (SELECT c_acctbal AS v FROM customer UNION SELECT s_acctbal FROM supplier UNION SELECT p_retailprice FROM part UNION SELECT o_totalprice FROM orders UNION SELECT l_quantity FROM lineitem UNION SELECT l_extendedprice FROM lineitem
+    UNION SELECT l_discount FROM lineitem UNION SELECT l_tax FROM lineitem UNION SELECT value FROM events),
+  t AS (SELECT date_trunc('second', o_orderdate) AS v FROM orders UNION SELECT date_trunc('second', l_shipdate) FROM lineitem UNION SELECT date_trunc('second', ts) FROM events),
+  g AS (SELECT DISTINCT text, lower(lang) AS l FROM documents WHERE text IS NOT NULL),
+  n AS (SELECT 'r' AS c, r_regionkey::VARCHAR AS k FROM region UNION SELECT 'r', n_regionkey::VARCHAR FROM nation UNION SELECT 'n', n_nationkey::VARCHAR FROM nation UNION SELECT 'n', c_nationkey::VARCHAR FROM customer
+    UNION SELECT 'n', s_nationkey::VARCHAR FROM supplier UNION SELECT 'c', c_custkey::VARCHAR FROM customer UNION SELECT 'c', o_custkey::VARCHAR FROM orders UNION SELECT 'c', user_id::VARCHAR FROM events UNION SELECT 's', s_suppkey::VARCHAR FROM supplier
+    UNION SELECT 's', l_suppkey::VARCHAR FROM lineitem UNION SELECT 'p', p_partkey::VARCHAR FROM part UNION SELECT 'p', l_partkey::VARCHAR FROM lineitem UNION SELECT 'o', o_orderkey::VARCHAR FROM orders UNION SELECT 'o', l_orderkey::VARCHAR FROM lineitem
+    UNION SELECT 'l', concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, epoch_us(l_shipdate), l_extendedprice, l_quantity) FROM lineitem UNION SELECT 'e', event_id::VARCHAR FROM events UNION SELECT 'd', doc_id::VARCHAR FROM documents
+    UNION SELECT 'd', doc_id::VARCHAR FROM labels UNION SELECT 'v', conv_id::VARCHAR FROM conversations UNION SELECT 'u', concat_ws('-', conv_id, turn) FROM conversations UNION SELECT 'w', page_id::VARCHAR FROM pages UNION SELECT 'i', item_id::VARCHAR FROM benchmark)
+SELECT (SELECT count(*) FROM s WHERE r_name IS NOT NULL) + (SELECT count(v) FROM i) + (SELECT count(v) FROM f) + (SELECT count(v) FROM t) + (SELECT count(*) FROM g) + (SELECT count(k) FROM n) + (SELECT count(*) FROM nation) AS n""",
+)
 sparql("e6_negated_set", "SELECT ?o WHERE { <kg:order/2> !(:status|:orderdate|:totalprice) ?o }", "SELECT 'kg:customer/' || o_custkey AS o FROM orders WHERE o_orderkey = 2 UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderkey = 2")
 sparql("e7_grouping", "SELECT ?n WHERE { <kg:customer/5> (:of_nation/:in_region)/:name ?n }", "SELECT r_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey = 5")
 
@@ -211,19 +231,10 @@ sparql("g4_argmax", "SELECT ?o WHERE { ?o :placed_by ?c ; :totalprice ?t } ORDER
 sparql("g6_max_subquery", "SELECT ?p WHERE { ?p :retailprice ?r { SELECT (MAX(?x) AS ?m) WHERE { ?y :retailprice ?x } } FILTER(?r = ?m) }", "SELECT 'kg:part/' || p_partkey AS p FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part)")
 
 
-@query("g8_similarity_topk", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 5), s AS (
+@query("g8_similarity_topk", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (
   SELECT q.vec_id AS query, e.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings e)
 SELECT query, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10""")
 def _g8(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    return similarity.top_k(q, e, "query", "qv", "vec_id", "embedding", 10)
-
-
-@query("g8_similarity_topk_all", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (
-  SELECT q.vec_id AS query, e.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings e)
-SELECT query, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10""")
-def _g8_all(spark, sf_dir):
     """The stated query set: every id divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
@@ -245,8 +256,7 @@ def _g14(spark, sf_dir):
 
 
 # ---- I: scalar functions
-sparql("i1_str_lang_datatype", "SELECT ?d (STR(?d) AS ?s) (LANG(?t) AS ?l) (DATATYPE(?n) AS ?k) WHERE { ?d :text ?t ; :n_chars ?n FILTER(LANG(?t) = \"fr\" && ?n < 600) }", "SELECT 'kg:document/' || doc_id AS d, 'kg:document/' || doc_id AS s, 'fr' AS l, 'http://www.w3.org/2001/XMLSchema#integer' AS k FROM documents WHERE lang = 'fr' AND n_chars < 600")
-sparql("i1_str_lang_datatype_all", "SELECT ?d (STR(?d) AS ?s) (LANG(?t) AS ?l) (DATATYPE(?n) AS ?k) WHERE { ?d :text ?t ; :n_chars ?n FILTER(LANG(?t) = \"fr\") }", "SELECT 'kg:document/' || doc_id AS d, 'kg:document/' || doc_id AS s, 'fr' AS l, 'http://www.w3.org/2001/XMLSchema#integer' AS k FROM documents WHERE lang = 'fr' AND text IS NOT NULL AND n_chars IS NOT NULL")
+sparql("i1_str_lang_datatype", "SELECT ?d (STR(?d) AS ?s) (LANG(?t) AS ?l) (DATATYPE(?n) AS ?k) WHERE { ?d :text ?t ; :n_chars ?n FILTER(LANG(?t) = \"fr\") }", "SELECT 'kg:document/' || doc_id AS d, 'kg:document/' || doc_id AS s, 'fr' AS l, 'http://www.w3.org/2001/XMLSchema#integer' AS k FROM documents WHERE lang = 'fr' AND text IS NOT NULL AND n_chars IS NOT NULL")
 sparql("i6_numbers", "SELECT ?s (ABS(?b) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) WHERE { ?s :acctbal ?b ; a :supplier }", "SELECT 'kg:supplier/' || s_suppkey AS s, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, floor(s_acctbal + 0.5) AS r FROM supplier")
 sparql("i8_strings", "SELECT ?n (STRLEN(?n) AS ?a) (UCASE(?n) AS ?b) (LCASE(?n) AS ?c) (SUBSTR(?n, 2, 3) AS ?d) (CONCAT(?n, \"!\") AS ?e) WHERE { ?x :in_region ?r ; :name ?n }", "SELECT n_name AS n, length(n_name)::BIGINT AS a, upper(n_name) AS b, lower(n_name) AS c, substr(n_name, 2, 3) AS d, n_name || '!' AS e FROM nation")
 sparql("i9_encode", "SELECT ?u (ENCODE_FOR_URI(?u) AS ?e) WHERE { ?p :url ?u }", "SELECT url AS u, url_encode(url) AS e FROM pages")
@@ -462,91 +472,90 @@ def _m12(spark, sf_dir):
     return engine(spark, sf_dir).sparql(g.to_query())
 
 
-@query("m13_pr_pair", "SELECT count(DISTINCT c_custkey) AS n_pred, count(DISTINCT c_custkey) FILTER (c_custkey <= 100) AS n_hit FROM customer WHERE c_nationkey = 3")
+@query("m13_pr_pair", "SELECT count(DISTINCT c_custkey) AS n_pred, count(DISTINCT c_custkey) FILTER (c_mktsegment = 'BUILDING') AS n_hit FROM customer WHERE c_nationkey = 3")
 def _m13(spark, sf_dir):
+    e = engine(spark, sf_dir)
     g = querygraph.QueryGraph("x", [("of_nation", "x", "kg:nation/3")], types={"x": ["customer"]})
-    answers = spark.range(1, 101).select(F.concat(F.lit("kg:customer/"), F.col("id").cast("string")).alias("answer"))
-    return synthesis.hits(engine(spark, sf_dir), {0: g}, answers).select("n_pred", "n_hit")
+    return synthesis.hits(e, {0: g}, e.sparql("SELECT ?c WHERE { ?c :mktsegment \"BUILDING\" }").toDF("answer")).select("n_pred", "n_hit")
 
 
-# ---- N: exploration
-_ANCHOR = "SELECT 'kg:customer/' || c_custkey AS node FROM customer WHERE c_custkey <= 20"
+# ---- N: exploration, with every node of a class as anchor
+def _every(spark, sf_dir, name, key, cls=None):
+    return table(spark, sf_dir, name).select(F.concat(F.lit(f"kg:{cls or name}/"), F.col(key).cast("string")).alias("node"))
 
 
-def _anchors(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_custkey <= 20").select(F.concat(F.lit("kg:customer/"), F.col("c_custkey").cast("string")).alias("node"))
+def _customers(spark, sf_dir):
+    return _every(spark, sf_dir, "customer", "c_custkey")
 
 
-@query("n2_classes", "SELECT 'kg:customer/' || c_custkey AS node, 'customer' AS cls FROM customer WHERE c_custkey <= 20")
-def _n2(spark, sf_dir):
-    return explore.classes_of(sales_graph(spark, sf_dir), _anchors(spark, sf_dir))
+def _suppliers(spark, sf_dir):
+    return _every(spark, sf_dir, "supplier", "s_suppkey")
 
 
-@query("n6_meets", "SELECT 'lineitem' AS cls")
-def _n6(spark, sf_dir):
-    return explore.meets(sales_graph(spark, sf_dir), "of_part", "of_supplier")
+def _nations(spark, sf_dir):
+    return _every(spark, sf_dir, "nation", "n_nationkey")
 
 
-@query("n9_expand", """WITH a AS (SELECT c_custkey AS k, c_nationkey FROM customer WHERE c_custkey <= 20)
-SELECT unnest(['name', 'acctbal', 'mktsegment', 'of_nation']) AS relation, count(*) AS n_anchors, count(*) AS n_pairs FROM a
-UNION ALL SELECT '^placed_by', count(DISTINCT o_custkey), count(*) FROM orders WHERE o_custkey <= 20 HAVING count(*) > 0
-UNION ALL SELECT '^by_user', count(DISTINCT user_id), count(*) FROM events WHERE user_id IN (SELECT k FROM a) HAVING count(*) > 0""")
-def _n9(spark, sf_dir):
-    return explore.next_relations(sales_graph(spark, sf_dir), _anchors(spark, sf_dir))
+def _orders(spark, sf_dir):
+    return _every(spark, sf_dir, "orders", "o_orderkey", "order")
 
 
-@query("n9_expand_cvt", """WITH l AS (SELECT * FROM lineitem WHERE l_suppkey <= 3)
-SELECT '^of_supplier/' || p AS relation, count(DISTINCT l_suppkey) AS n_anchors, count(*) AS n_pairs FROM l, (SELECT unnest(['of_order', 'of_part', 'quantity', 'extendedprice', 'discount', 'tax', 'shipdate', 'returnflag', 'linestatus']) AS p) GROUP BY 1""")
-def _n9c(spark, sf_dir):
-    a = table(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("kg:supplier/"), F.col("s_suppkey").cast("string")).alias("node"))
-    return explore.next_relations(sales_graph(spark, sf_dir), a).filter("contains(relation, '/')")
+_VALUES_OF_LINE = "['quantity', 'extendedprice', 'discount', 'tax', 'shipdate', 'returnflag', 'linestatus']"
 
 
-@query("n10_neighbors", "SELECT DISTINCT 'kg:customer/' || c_custkey AS anchor, 'kg:nation/' || n_nationkey AS item, n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 20")
-def _n10(spark, sf_dir):
-    return explore.next_items(sales_graph(spark, sf_dir), _anchors(spark, sf_dir), "of_nation", with_label=True)
+@query("n2_classes", "SELECT 'kg:customer/' || c_custkey AS node, 'customer' AS cls FROM customer UNION ALL SELECT 'kg:order/' || o_orderkey, 'order' FROM orders")
+def _n2(spark, sf_dir):
+    return explore.classes_of(sales_graph(spark, sf_dir), _customers(spark, sf_dir).unionByName(_orders(spark, sf_dir)))
 
 
-# the same with every customer (every supplier) as anchor
-def _every(spark, sf_dir, name, key, cls=None):
-    return table(spark, sf_dir, name).select(F.concat(F.lit(f"kg:{cls or name}/"), F.col(key).cast("string")).alias("node"))
+@query("n3_friendly_name", "SELECT 'kg:supplier/' || s_suppkey AS node, s_name AS label FROM supplier UNION ALL SELECT 'kg:order/' || o_orderkey, o_orderpriority FROM orders")
+def _n3(spark, sf_dir):
+    return explore.labels(sales_graph(spark, sf_dir), _suppliers(spark, sf_dir).unionByName(_orders(spark, sf_dir)), fallback="orderpriority")
 
 
-def _customers(spark, sf_dir):
-    return _every(spark, sf_dir, "customer", "c_custkey")
+@query("n6_meets", "SELECT 'lineitem' AS cls FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL HAVING count(*) > 0")
+def _n6(spark, sf_dir):
+    return explore.meets(sales_graph(spark, sf_dir), "of_part", "of_supplier")
 
 
-@query("n2_classes_all", "SELECT 'kg:customer/' || c_custkey AS node, 'customer' AS cls FROM customer")
-def _n2_all(spark, sf_dir):
-    return explore.classes_of(sales_graph(spark, sf_dir), _customers(spark, sf_dir))
+@query("n7_third_relations", f"SELECT 'S' AS side, unnest(['of_order', 'of_part', 'of_supplier'] || {_VALUES_OF_LINE}) AS relation")
+def _n7(spark, sf_dir):
+    return explore.third_relations(sales_graph(spark, sf_dir), "of_part", "of_supplier", "S-S")
 
 
-@query("n9_expand_all", """SELECT unnest(['name', 'acctbal', 'mktsegment', 'of_nation']) AS relation, count(*) AS n_anchors, count(*) AS n_pairs FROM customer
+@query("n9_expand", """SELECT unnest(['name', 'acctbal', 'mktsegment', 'of_nation']) AS relation, count(*) AS n_anchors, count(*) AS n_pairs FROM customer
 UNION ALL SELECT '^placed_by', count(DISTINCT o_custkey), count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) HAVING count(*) > 0
 UNION ALL SELECT '^by_user', count(DISTINCT user_id), count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer) HAVING count(*) > 0""")
-def _n9_all(spark, sf_dir):
+def _n9(spark, sf_dir):
     return explore.next_relations(sales_graph(spark, sf_dir), _customers(spark, sf_dir))
 
 
-@query("n9_expand_cvt_all", """WITH l AS (SELECT * FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier))
-SELECT '^of_supplier/' || p AS relation, count(DISTINCT l_suppkey) AS n_anchors, count(*) AS n_pairs FROM l, (SELECT unnest(['of_order', 'of_part', 'quantity', 'extendedprice', 'discount', 'tax', 'shipdate', 'returnflag', 'linestatus']) AS p) GROUP BY 1""")
-def _n9c_all(spark, sf_dir):
-    return explore.next_relations(sales_graph(spark, sf_dir), _every(spark, sf_dir, "supplier", "s_suppkey")).filter("contains(relation, '/')")
+_OVER_LINES = f"""WITH l AS (SELECT * FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier))
+SELECT '^of_supplier/' || p AS relation, count(DISTINCT l_suppkey)::BIGINT AS n_anchors, count(*) AS n_pairs FROM l, (SELECT unnest(['of_order', 'of_part'] || {_VALUES_OF_LINE}) AS p) GROUP BY 1"""
+
+
+@query("n9_expand_cvt", _OVER_LINES)
+def _n9c(spark, sf_dir):
+    return explore.next_relations(sales_graph(spark, sf_dir), _suppliers(spark, sf_dir)).filter("contains(relation, '/')")
 
 
-@query("n10_neighbors_all", "SELECT DISTINCT 'kg:customer/' || c_custkey AS anchor, 'kg:nation/' || n_nationkey AS item, n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey")
-def _n10_all(spark, sf_dir):
+@query("n10_neighbors", "SELECT DISTINCT 'kg:customer/' || c_custkey AS anchor, 'kg:nation/' || n_nationkey AS item, n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _n10(spark, sf_dir):
     return explore.next_items(sales_graph(spark, sf_dir), _customers(spark, sf_dir), "of_nation", with_label=True)
 
 
-@query("n14_literal_paths_all", "SELECT DISTINCT 'acctbal' AS relation, unnest(CASE WHEN c_acctbal > 1000 THEN ['GE', 'GT'] WHEN c_acctbal < 1000 THEN ['LE', 'LT'] ELSE ['GE', 'EQ', 'LE'] END) AS comparator FROM customer")
-def _n14_all(spark, sf_dir):
-    return explore.paths_to_literal(sales_graph(spark, sf_dir), _customers(spark, sf_dir), '"1000.0"')
+@query("n10_neighbors_cvt", "SELECT DISTINCT 'kg:supplier/' || l_suppkey AS anchor, 'kg:part/' || l_partkey AS item FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)")
+def _n10c(spark, sf_dir):
+    return explore.next_items(sales_graph(spark, sf_dir), _suppliers(spark, sf_dir), "^of_supplier/of_part")
 
 
-@query("n16_node_paths_all", "SELECT 'kg:customer/' || c_custkey AS anchor, 'of_nation' AS relation FROM customer WHERE c_nationkey = 3")
-def _n16_all(spark, sf_dir):
-    return explore.paths_to_node(sales_graph(spark, sf_dir), _customers(spark, sf_dir), "kg:nation/3")
+@query("n11_two_phase", _OVER_LINES)
+def _n11(spark, sf_dir):
+    """Of the first hops from orders, parts and suppliers one is blacklisted, and of the others the more similar stays."""
+    g = sales_graph(spark, sf_dir)
+    anchors = _orders(spark, sf_dir).unionByName(_suppliers(spark, sf_dir)).unionByName(_every(spark, sf_dir, "part", "p_partkey"))
+    similarity_ = spark.createDataFrame([("of_part", 0.2), ("of_supplier", 0.7), ("of_order", 0.9)], "relation string, similarity double")
+    return explore.two_phase_relations(g, anchors, ("order",), 1, similarity_)
 
 
 @query("n12_properties", "SELECT * FROM (VALUES ('orderdate', 'ts'), ('shipdate', 'ts'), ('at', 'ts')) v(predicate, \"range\")")
@@ -554,20 +563,73 @@ def _n12(spark, sf_dir):
     return explore.properties_of_type(sales_graph(spark, sf_dir), ["ts"])
 
 
-@query("n14_literal_paths", "WITH v AS (SELECT c_acctbal AS b FROM customer WHERE c_custkey <= 20) SELECT DISTINCT 'acctbal' AS relation, unnest(CASE WHEN b > 1000 THEN ['GE', 'GT'] WHEN b < 1000 THEN ['LE', 'LT'] ELSE ['GE', 'EQ', 'LE'] END) AS comparator FROM v")
+@query("n13_coexists", "SELECT 'of_part' AS main, 'returnflag' AS qualifier, count(*) > 0 AS existence FROM lineitem WHERE l_partkey IS NOT NULL AND l_returnflag IS NOT NULL UNION ALL SELECT 'of_part', 'placed_by', false")
+def _n13(spark, sf_dir):
+    g = sales_graph(spark, sf_dir)
+    return explore.coexists(g, "of_part", "returnflag").unionByName(explore.coexists(g, "of_part", "placed_by"))
+
+
+@query("n14_literal_paths", "SELECT DISTINCT 'acctbal' AS relation, unnest(CASE WHEN c_acctbal > 1000 THEN ['GE', 'GT'] WHEN c_acctbal < 1000 THEN ['LE', 'LT'] ELSE ['GE', 'EQ', 'LE'] END) AS comparator FROM customer")
 def _n14(spark, sf_dir):
-    return explore.paths_to_literal(sales_graph(spark, sf_dir), _anchors(spark, sf_dir), '"1000.0"')
+    return explore.paths_to_literal(sales_graph(spark, sf_dir), _customers(spark, sf_dir), '"1000.0"')
+
 
+@query("n15_reversed_paths", "SELECT 'kg:nation/' || c_nationkey AS anchor, '^of_nation' AS relation FROM customer WHERE c_custkey = 1")
+def _n15(spark, sf_dir):
+    return explore.paths_to_node(sales_graph(spark, sf_dir), _nations(spark, sf_dir), "kg:customer/1")
 
-@query("n16_node_paths", "SELECT 'kg:customer/' || c_custkey AS anchor, 'of_nation' AS relation FROM customer WHERE c_custkey <= 20 AND c_nationkey = 3")
+
+@query("n16_node_paths", "SELECT 'kg:customer/' || c_custkey AS anchor, 'of_nation' AS relation FROM customer WHERE c_nationkey = 3")
 def _n16(spark, sf_dir):
-    return explore.paths_to_node(sales_graph(spark, sf_dir), _anchors(spark, sf_dir), "kg:nation/3")
+    return explore.paths_to_node(sales_graph(spark, sf_dir), _customers(spark, sf_dir), "kg:nation/3")
+
+
+@query("n16_relations", "SELECT 'kg:supplier/' || s_suppkey AS node, 'of_nation' AS relation, 1::BIGINT AS n FROM supplier UNION ALL SELECT 'kg:supplier/' || l_suppkey, '^of_supplier', count(*) FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY l_suppkey")
+def _n16r(spark, sf_dir):
+    return explore.paths_from_nodes(sales_graph(spark, sf_dir), _suppliers(spark, sf_dir))
+
+
+@query("n17_arg_relations", """SELECT 'acctbal' AS relation, 'QUANTITY' AS special, count(*) AS n_anchors FROM supplier
+UNION ALL SELECT '^of_supplier/' || p, CASE WHEN p = 'shipdate' THEN 'TEMPORAL' ELSE 'QUANTITY' END, count(DISTINCT l_suppkey) FROM lineitem, (SELECT unnest(['quantity', 'extendedprice', 'discount', 'tax', 'shipdate']) AS p) WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY p""")
+def _n17(spark, sf_dir):
+    return explore.arg_relations(sales_graph(spark, sf_dir), _suppliers(spark, sf_dir))
 
 
-@query("n19_statement_patterns", "SELECT 'of_part' AS first, 'of_supplier' AS second, count(*) AS n FROM lineitem WHERE l_partkey = 5 AND l_suppkey = (SELECT min(l_suppkey) FROM lineitem WHERE l_partkey = 5) UNION ALL SELECT 'of_supplier', 'of_part', count(*) FROM lineitem WHERE l_partkey = 5 AND l_suppkey = (SELECT min(l_suppkey) FROM lineitem WHERE l_partkey = 5)")
+_LEAST_LINE = "(SELECT arg_min(l_orderkey, (l_orderkey, l_partkey, l_suppkey)) AS o, arg_min(l_partkey, (l_orderkey, l_partkey, l_suppkey)) AS p, arg_min(l_suppkey, (l_orderkey, l_partkey, l_suppkey)) AS s FROM lineitem)"
+
+
+def _least_line(spark, sf_dir):
+    """The part, supplier and order of one line, as a table of one row."""
+    least = table(spark, sf_dir, "lineitem").agg(F.min(F.struct("l_orderkey", "l_partkey", "l_suppkey")).alias("l"))
+    iri = lambda cls, c: F.concat(F.lit(f"kg:{cls}/"), F.col(f"l.{c}").cast("string"))
+    return least.select(iri("part", "l_partkey").alias("a"), iri("supplier", "l_suppkey").alias("b"), iri("order", "l_orderkey").alias("c"))
+
+
+@query("n18_statement_triples", f"SELECT 'of_part' AS p0, 'of_supplier' AS p1, 'of_order' AS p2, count(*) AS n FROM lineitem, {_LEAST_LINE} WHERE l_partkey = p AND l_suppkey = s AND l_orderkey = o")
+def _n18(spark, sf_dir):
+    return explore.statement_patterns(sales_graph(spark, sf_dir), "lineitem", _least_line(spark, sf_dir))
+
+
+@query("n19_statement_patterns", f"SELECT 'of_part' AS p0, 'of_supplier' AS p1, count(*) AS n FROM lineitem, {_LEAST_LINE} WHERE l_partkey = p AND l_suppkey = s")
 def _n19(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").filter("l_partkey = 5").agg(F.min("l_suppkey")).first()[0]
-    return explore.statement_patterns(sales_graph(spark, sf_dir), "lineitem", ["kg:part/5", f"kg:supplier/{s}"])
+    return explore.statement_patterns(sales_graph(spark, sf_dir), "lineitem", _least_line(spark, sf_dir).select("a", "b"))
+
+
+@query("n20_statement_steps", f"""WITH o AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), s AS (SELECT * FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier))
+SELECT 'nn' AS way, 'p:of_part/' || CASE WHEN q = 'of_part' THEN 'ps:' ELSE 'pq:' END || q AS relation, count(DISTINCT l_orderkey) AS n_anchors FROM o, (SELECT unnest(['of_part', 'of_supplier'] || {_VALUES_OF_LINE}) AS q) GROUP BY q
+UNION ALL SELECT 'rn', '^pq:of_supplier/' || CASE WHEN q = 'of_part' THEN 'ps:' ELSE 'pq:' END || q, count(DISTINCT l_suppkey) FROM s, (SELECT unnest(['of_part'] || {_VALUES_OF_LINE}) AS q) GROUP BY q
+UNION ALL SELECT 'rr', '^pq:of_supplier/^p:of_part', count(DISTINCT l_suppkey) FROM s HAVING count(*) > 0""")
+def _n20(spark, sf_dir):
+    return explore.statement_steps(sales_graph(spark, sf_dir), _orders(spark, sf_dir).unionByName(_suppliers(spark, sf_dir)), "lineitem", "of_order", "of_part")
+
+
+@query("n20_direct_steps", """SELECT 'nn' AS way, unnest(['p:name/ps:name', 'p:in_region/ps:in_region']) AS relation, count(*) AS n_anchors FROM nation
+UNION ALL SELECT 'rr', '^ps:of_nation/^p:of_nation', count(DISTINCT n)::BIGINT FROM (SELECT c_nationkey AS n FROM customer) HAVING count(*) > 0""")
+def _n20d(spark, sf_dir):
+    """Nations are in no statement, so their own edges stand in; those of customers alone lead back to them here."""
+    g = sales_graph(spark, sf_dir)
+    g.edges = [e for e in g.edges if not (e.cls == "supplier" and e.predicate == "of_nation")]
+    return explore.statement_steps(g, _nations(spark, sf_dir), "lineitem", "of_order", "of_part")
 
 
 # ---- O: synthesis
@@ -606,18 +668,22 @@ sparql("i12_zones", "SELECT (TZ(\"2011-01-10T14:45:13-05:00\"^^xsd:dateTime) AS
 sparql("i29_function_call", "SELECT ?s (<http://www.w3.org/2001/XMLSchema#integer>(?b) AS ?k) WHERE { ?s :acctbal ?b ; a :supplier }", "SELECT 'kg:supplier/' || s_suppkey AS s, trunc(s_acctbal)::BIGINT AS k FROM supplier")
 
 
-@query("a12_formats", "SELECT * FROM (VALUES ('1', 0, 'a'), ('1', 1, 'b'), ('2', 0, 'c')) v(qid, position, sparql)")
+@query("a12_formats", "SELECT * FROM (VALUES ('1', 0, 'a'), ('1', 1, 'b'), ('2', 0, 'c'), ('3', 0, 'd'), ('4', 0, 'e')) v(qid, position, sparql)")
 def _a12(spark, sf_dir):
-    """Result items of the two names of their list, exploded."""
-    rows = spark.createDataFrame([("1", ["a", "b"], None), ("2", None, ["c"])], "qid string, search_results array<string>, searched_queries array<string>")
-    return rows.select("qid", F.posexplode(F.coalesce("search_results", "searched_queries")).alias("position", "sparql"))
+    """Result files of the three forms, and of both names of their list."""
+    texts = [
+        '{"results": [{"qid": "1", "search_results": [{"sparql": "a"}, {"sparql": "b"}]}, {"qid": "2", "searched_queries": [{"sparql": "c"}]}]}',
+        '{"3": {"qid": "3", "search_results": [{"sparql": "d"}]}}', '[{"qid": "4", "search_results": [{"sparql": "e"}]}]',
+    ]
+    return files.parse_results(spark.createDataFrame([(t,) for t in texts], "value string")).select("qid", "position", "sparql")
 
 
-@query("b26_answer_substituted", "SELECT (count(*) > 0)::INT AS answer FROM customer WHERE c_custkey = 1 AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 1)")
+@query("b26_answer_substituted", "SELECT (count(*) > 0)::INT AS answer FROM customer WHERE c_custkey = 1 AND c_nationkey = 3 UNION ALL SELECT (count(*) > 0)::INT FROM customer WHERE c_custkey = 1 AND c_nationkey IN (SELECT n_nationkey FROM nation)")
 def _b26(spark, sf_dir):
-    nation = table(spark, sf_dir, "customer").filter("c_custkey = 1").select("c_nationkey").first()[0]
-    g = querygraph.QueryGraph("x", [("of_nation", "x", f"kg:nation/{nation}")])
-    return engine(spark, sf_dir).sparql(g.with_answer("kg:customer/1"))
+    e = engine(spark, sf_dir)
+    graphs = [querygraph.QueryGraph("x", [("of_nation", "x", "kg:nation/3")]), querygraph.QueryGraph("x", [("of_nation", "x", "n"), ("name", "n", "label")])]
+    first, second = (e.sparql(g.with_answer("kg:customer/1")) for g in graphs)
+    return first.unionByName(second)
 
 
 @query("b31_valid_annotations", "SELECT event_id, user_id FROM events WHERE event_type <> 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)")
@@ -633,27 +699,19 @@ def _c18(spark, sf_dir):
     return engine(spark, sf_dir).sparql(a.attach(b).to_query())
 
 
-@query("e10_pruned_inverses", "SELECT unnest(['a/c', '^b/a']) AS relation")
+@query("e10_pruned_inverses", "SELECT unnest(['a/c', '^b/a', 'd']) AS relation")
 def _e10(spark, sf_dir):
-    """Two-hop relations without those that go there and back."""
-    rows = spark.createDataFrame([("a/^a",), ("a/c",), ("^b/a",), ("^b/b",)], "relation string")
-    first, second = F.split("relation", "/")[0], F.split("relation", "/")[1]
-    undone = (F.concat(F.lit("^"), first) == second) | (first == F.concat(F.lit("^"), second))
-    return rows.filter(~undone)
+    return explore.without_round_trips(spark.createDataFrame([("a/^a",), ("a/c",), ("^b/a",), ("^b/b",), ("d",)], "relation string"))
 
 
 @query("g12_first_answers", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 3")
 def _g12(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    k = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", k.alias("k")).filter("k <= 3").select("lang", "doc_id")
+    return reports.first_of_each(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 3)
 
 
-@query("g13_seeded_sample")
+@query("g13_seeded_sample", "SELECT c_custkey FROM customer ORDER BY md5(c_custkey || ':374'), c_custkey LIMIT 50")
 def _g13(spark, sf_dir):
-    """The first 50 in the order of a seeded hash: the same on every run."""
-    return table(spark, sf_dir, "customer").orderBy(F.xxhash64("c_custkey", F.lit(equivalence.SEED)), "c_custkey").limit(50).select("c_custkey")
+    return reports.seeded_sample(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 50, equivalence.SEED)
 
 
 @query("j6_rendered_constants", "SELECT * FROM (VALUES ('uri', 'm.01', 'm.01'), ('typed-literal', '5', '\"5\"^^<t>'), ('literal', 'x', '\"x\"@en')) v(kind, value, shown)")
@@ -675,13 +733,9 @@ def _j13(spark, sf_dir):
 
 @query("j15_matched_texts", "SELECT * FROM (VALUES (1, 10), (2, 20)) v(a, b)")
 def _j15(spark, sf_dir):
-    """Query texts joined by their form with even spaces, then without any."""
-    left = spark.createDataFrame([(1, "SELECT  ?x\n{ ?x :p 1 }"), (2, "ASK{?x :q 2}")], "a int, t string").withColumn("k", words.match_form(F.col("t")))
-    right = spark.createDataFrame([(10, "SELECT ?x { ?x :p 1 }"), (20, "ASK { ?x :q 2 }")], "b int, t string").withColumn("k", words.match_form(F.col("t")))
-    first = left.join(right, "k").select("a", "b")
-    bare = lambda df: df.withColumn("k", F.regexp_replace("k", " ", ""))
-    rest = bare(left.join(first, "a", "left_anti")).join(bare(right), "k").select("a", "b")
-    return first.unionByName(rest)
+    left = spark.createDataFrame([(1, "SELECT  ?x\n{ ?x :p 1 }"), (2, "ASK{?x :q 2}")], "a int, t string")
+    right = spark.createDataFrame([(10, "SELECT ?x { ?x :p 1 }"), (20, "ASK { ?x :q 2 }")], "b int, t string")
+    return reports.match_texts(left, right, "a", "b", "t")
 
 
 @query("k5_reground", "SELECT DISTINCT 'kg:nation/' || c_nationkey AS v FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -707,9 +761,20 @@ rewritten("l16_force_distinct", "SELECT ?n WHERE { ?p :brand ?b ; :name ?n }", r
 rewritten("l18_canonical", "SELECT ?c WHERE { ?n :has_customer ?c . ?n :in_region <kg:region/1> }", lambda q: rewrites.canonical(q, {"kg:of_nation": "kg:has_customer"}).with_(projection=(A.Projected(A.Agg("COUNT", None), A.Var("n")),)), "SELECT count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey WHERE n_regionkey = 1")
 
 
-@query("n1_domains", "SELECT * FROM (VALUES ('placed_by', 'order', 'customer'), ('in_region', 'nation', 'region'), ('size', 'part', 'int')) v(predicate, domain, \"range\")")
+_CATALOG = """(VALUES
+  ('name', 'region', 'str'), ('name', 'nation', 'str'), ('in_region', 'nation', 'region'), ('name', 'customer', 'str'), ('acctbal', 'customer', 'dbl'), ('mktsegment', 'customer', 'str'),
+  ('of_nation', 'customer', 'nation'), ('name', 'supplier', 'str'), ('acctbal', 'supplier', 'dbl'), ('of_nation', 'supplier', 'nation'), ('name', 'part', 'str'), ('brand', 'part', 'str'),
+  ('type', 'part', 'str'), ('size', 'part', 'int'), ('retailprice', 'part', 'dbl'), ('placed_by', 'order', 'customer'), ('status', 'order', 'str'), ('totalprice', 'order', 'dbl'),
+  ('orderdate', 'order', 'ts'), ('orderpriority', 'order', 'str'), ('of_order', 'lineitem', 'order'), ('of_part', 'lineitem', 'part'), ('of_supplier', 'lineitem', 'supplier'), ('quantity', 'lineitem', 'dbl'),
+  ('extendedprice', 'lineitem', 'dbl'), ('discount', 'lineitem', 'dbl'), ('tax', 'lineitem', 'dbl'), ('shipdate', 'lineitem', 'ts'), ('returnflag', 'lineitem', 'str'), ('linestatus', 'lineitem', 'str'),
+  ('by_user', 'event', 'customer'), ('at', 'event', 'ts'), ('event_type', 'event', 'str'), ('value', 'event', 'dbl'), ('language', 'document', 'str'), ('source', 'document', 'str'),
+  ('n_chars', 'document', 'int'), ('text', 'document', 'lang'), ('quality', 'document', 'int'), ('toxic', 'document', 'int'), ('in_conversation', 'turn', 'conversation'), ('turn_no', 'turn', 'int'),
+  ('role', 'turn', 'str'), ('said', 'turn', 'str'), ('url', 'page', 'str'), ('text', 'item', 'str')) v(predicate, domain, "range")"""
+
+
+@query("n1_domains", f"SELECT * FROM {_CATALOG}")
 def _n1(spark, sf_dir):
-    return explore.domains(sales_graph(spark, sf_dir)).filter("predicate in ('placed_by', 'in_region', 'size')")
+    return explore.domains(sales_graph(spark, sf_dir))
 
 
 @query("n5_nary_relations", "SELECT unnest(['of_order', 'of_part', 'of_supplier']) AS predicate")
@@ -718,9 +783,9 @@ def _n5(spark, sf_dir):
     return g.catalog().filter(F.col("domain").isin(*explore.intermediate(g)) & F.col("is_object")).select("predicate").distinct()
 
 
-@query("n21_special_types", "SELECT * FROM (VALUES ('acctbal', 'QUANTITY'), ('orderdate', 'TEMPORAL'), ('status', 'NORMAL')) v(predicate, special)")
+@query("n21_special_types", f"SELECT DISTINCT predicate, CASE WHEN \"range\" = 'ts' THEN 'TEMPORAL' WHEN \"range\" IN ('int', 'dbl') THEN 'QUANTITY' ELSE 'NORMAL' END AS special FROM {_CATALOG}")
 def _n21(spark, sf_dir):
-    return explore.special_type(sales_graph(spark, sf_dir)).filter("predicate in ('acctbal', 'orderdate', 'status')")
+    return explore.special_type(sales_graph(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

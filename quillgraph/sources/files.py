@@ -16,7 +16,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     ``{"results": [...]}``, an object of items by question, or a list; ``searched_queries`` is another name
     of ``search_results``.  Each file is one JSON value.
     """
-    raw = spark.read.text(path, wholetext=True)
+    return parse_results(spark.read.text(path, wholetext=True))
+
+
+def parse_results(raw: DataFrame) -> DataFrame:
+    """The same of a table of whole files (value)."""
     whole = F.trim("value")
     as_list = F.from_json("value", f"array<{_ITEM}>")
     as_results = F.from_json("value", f"struct<results:array<{_ITEM}>>")["results"]

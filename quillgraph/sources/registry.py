@@ -8,6 +8,7 @@ one subject a single scan, and only a variable predicate needs the union of all
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,19 +69,38 @@ class Graph:
     def value(self, e: Edge) -> Column:
         return F.expr(e.column)
 
-    def triples(self, edges: list[Edge] | None = None) -> DataFrame:
-        """s (string), p (string), o (term) of the given edges; each table is read once."""
+    def triples(self, edges: list[Edge] | None = None, subject: Column | None = None, obj: Column | None = None) -> DataFrame:
+        """s (string), p (string), o (term) of the given edges; each table is read once.
+
+        ``subject`` and ``obj`` are native keys that the edges' nodes must have: they reach the scan as filters.
+        """
         groups: dict[tuple, list[Edge]] = {}
         for e in edges if edges is not None else self.edges:
             groups.setdefault((e.table, e.key, e.cls), []).append(e)
         out = None
         for (table, key, cls), es in groups.items():
-            cells = F.array(*(F.struct(F.lit(NS + e.predicate).alias("p"), to_term(self.value(e), self.value_type(e)).alias("o")) for e in es))
-            part = self.scan(table, key).select(F.concat(F.lit(f"{NS}{cls}/"), F.col("key_").cast("string")).alias("s"), F.explode(cells).alias("c"))
+            rows = self.scan(table, key)
+            if subject is not None:
+                rows = rows.filter(F.col("key_") == subject)
+            if obj is not None:
+                rows = rows.filter(reduce(lambda a, b: a | b, (self.value(e) == obj for e in es)))
+            fits = (lambda e, c: c) if obj is None else (lambda e, c: F.when(self.value(e) == obj, c))
+            cells = F.array(*(F.struct(F.lit(NS + e.predicate).alias("p"), fits(e, to_term(self.value(e), self.value_type(e))).alias("o")) for e in es))
+            part = rows.select(F.concat(F.lit(f"{NS}{cls}/"), F.col("key_").cast("string")).alias("s"), F.explode(cells).alias("c"))
             part = part.select("s", "c.p", "c.o").filter("o is not null")
             out = part if out is None else out.unionByName(part)
         return out
 
+    def nodes(self, classes: set[str] | None = None) -> DataFrame:
+        """n (term): every subject and object, or the nodes of some classes, each once."""
+        parts = []
+        for e in self.edges:
+            if classes is None or e.target in classes:
+                parts.append(self.table(e.table).select(to_term(self.value(e), self.value_type(e)).alias("n")))
+        seen = {(e.table, e.key, e.cls) for e in self.edges if classes is None or e.cls in classes}
+        parts += [self.scan(table, key).select(to_term(F.col("key_"), VType("iri", cls)).alias("n")) for table, key, cls in sorted(seen)]
+        return reduce(DataFrame.unionByName, parts).filter("n is not null").distinct()
+
     def catalog(self) -> DataFrame:
         """predicate, domain, range, is_object, reverse of every edge: a table of the schema's size."""
         rows = [(e.predicate, e.cls, e.target, self.is_class(e.target), e.reverse, self.classes[e.cls].named) for e in self.edges]
