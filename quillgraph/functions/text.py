@@ -18,6 +18,19 @@ COUNT_PHRASES = ("the count of", "how many", "how much", "amount of", "what numb
 SUPERLATIVE_PHRASES = (" most ", " first ", " maximum ", " minimum ", " max ", " min ")
 COMPARE_PHRASES = (" at most ", " equal ", " after ", " under ", " below ", " within ", " over ", " at least ", " exceeds ", " more ", " before ", " prior ")
 
+MOST_PHRASES = (" last ", "biggest", "tallest", "latest", "maximum", " most", "heaviest", "highest", "max", "largest", "greatest", "newest", "fastest", "longest", "ultimate", "brightest")
+LEAST_PHRASES = (
+    "lowest", "least", "first", "smallest", "shortest", "minimum", "earliest", "nearest", "skinniest", "skinnest", "closest", "fewest", "oldest", "tiniest", "lightest", "newest", "weakest", "darkest",
+)
+BELOW_PHRASES = (
+    "at most", "less than", "equal to or smaller", "less than or equal to", "less or equal to", "smaller than", "lower than", "same as or less than", "after", " under ", "below", "fewer than", "or less", "lesser value than",
+    "shorter than", "less that", "within",
+)
+ABOVE_PHRASES = (
+    "greater or equal to", " over ", "or greater", "at least", "larger than", "not sooner than", "more than", "more then", "no less than", "not less than", "greater than", "exceeds", "more that", "or more", "fatter than",
+    "longer than", "bigger than", "no less", "heavier than", "no earlier than", "larger amount than",
+)
+
 
 def tokens(c: Column) -> Column:
     """Lower-case tokens; the marks , . ; : # _ - ? part them as white space does."""
@@ -30,6 +43,53 @@ def has_token_overlap(a: Column, b: Column) -> Column:
     return F.arrays_overlap(F.array_except(tokens(a), stop), tokens(b))
 
 
+def argsort_similar(scores: Column) -> Column:
+    """The places (from 0) of an array of similarities, the highest first, equal ones in their order; null counts as lowest."""
+    pairs = F.transform(scores, lambda s, i: F.struct((-F.coalesce(s.cast("double"), F.lit(float("-inf")))).alias("s"), i.alias("i")))
+    return F.transform(F.array_sort(pairs), lambda p: p["i"])
+
+
+def operator_triggers(question: Column) -> Column:
+    """Array of COUNT, ARGMAX, ARGMIN, <=, <, >= and > that phrases of a question call for."""
+    q = F.lower(question)
+    some = lambda phrases, *names: [F.when(_any(q, phrases), n) for n in names]
+    return F.array_compact(F.array(*some(COUNT_PHRASES, "COUNT"), *some(MOST_PHRASES, "ARGMAX"), *some(LEAST_PHRASES, "ARGMIN"), *some(BELOW_PHRASES, "<=", "<"), *some(ABOVE_PHRASES, ">=", ">")))
+
+
+def from_global_id(value: Column) -> Column:
+    """A knowledge-graph id /m/06w as m.06w."""
+    return F.when(value.rlike(r"^/[a-z]/.+$"), F.regexp_replace(value, r"^/([a-z])/", "$1."))
+
+
+def to_global_id(mid: Column) -> Column:
+    """An id m.06w as /m/06w."""
+    return F.when(mid.rlike(r"^[a-z]\.[^.]+$"), F.regexp_replace(mid, r"^([a-z])\.", "/$1/"))
+
+
+def bare_literal(literal: Column) -> Column:
+    """A literal without quotes, angle brackets and the offset -08:00: value, or value^^datatype."""
+    value, kind = _literal_parts(literal)
+    return F.when(kind != "", F.concat(value, F.lit("^^"), kind)).otherwise(value)
+
+
+def literal_value(literal: Column) -> Column:
+    """The value of a literal with a datatype, a language or quotes; other text as it is."""
+    value, _ = _literal_parts(literal)
+    quoted = F.regexp_extract(literal, r'^"(.*)"$', 1)
+    return (
+        F.when(F.contains(literal, F.lit("http://www.w3.org/2001/XMLSchema")), value)
+        .when(F.endswith(literal, F.lit("@en")), F.regexp_extract(literal, r"^.(.*).@en$", 1))
+        .when(literal.rlike('^".*"$'), quoted)
+        .otherwise(literal)
+    )
+
+
+def _literal_parts(literal: Column) -> tuple[Column, Column]:
+    value = F.regexp_replace(F.regexp_replace(F.split(literal, r"\^\^")[0], r'^"(.*)"$', "$1"), "-08:00$", "")
+    kind = F.regexp_replace(F.coalesce(F.get(F.split(literal, r"\^\^"), F.lit(1)), F.lit("")), "^<(.*)>$", "$1")
+    return value, kind
+
+
 def constant_kind(c: Column) -> Column:
     """entity, class, quantity, time or string of a rendered constant, by its form alone."""
     xsd = lambda *names: "|".join(names)

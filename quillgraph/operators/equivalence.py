@@ -17,7 +17,7 @@ from quillgraph.plans import ast as A
 from quillgraph.plans.compiler import Engine
 from quillgraph.plans.parser import parse
 from quillgraph.plans.printer import query as show
-from quillgraph.plans.rewrite import abstract, contains_leaf, for_test_suite, replace_constant
+from quillgraph.plans.rewrite import abstract, capped, contains_leaf, for_test_suite, replace_constant
 
 TARGET = "target"
 SEED = 374
@@ -169,3 +169,32 @@ def bind(q: str | A.Query, binding: dict[A.Term, A.Term]) -> A.Query:
     for old, new in binding.items():
         out = replace_constant(out, old, new)
     return out
+
+
+def apply_perturbation(engine: Engine, q: str | A.Query, chosen: dict[A.Term, str], cap: int | None = 200_000) -> DataFrame:
+    """The answers of a query whose chosen constants are projected variables.
+
+    ``cap`` is a store's limit on rows, a feature of the scores that are published; it holds where the query has
+    no limit of its own, and None lifts it.
+    """
+    wide = abstract(_read(q), chosen)
+    return engine.sparql(wide if cap is None else capped(wide, cap))
+
+
+def build_suites(engine: Engine, golden: list[tuple[str, str, list[A.Term]]], limit: int = 50, seed: int = SEED) -> DataFrame:
+    """qid, binding (a map of constant to its value), answers, original of the test cases of many queries.
+
+    A query that cannot be edited or has no such constant has no cases; all share one seed.
+    """
+    parts = []
+    for qid, text, items in golden:
+        try:
+            names = [c for c in items if isinstance(c, A.Iri) and contains_leaf(_read(text), c)]
+            if names:
+                suite = build_suite(engine, text, names, limit, seed)
+                cells = [x for i, c in enumerate(names) for x in (F.lit(c.value), F.col(f"replace{i}"))]
+                parts.append(suite.select(F.lit(qid).alias("qid"), F.create_map(*cells).alias("binding"), "answers", "original"))
+        except ValueError:
+            continue
+    empty = engine.graph.spark.createDataFrame([], "qid string, binding map<string,string>, answers array<string>, original boolean")
+    return reduce(DataFrame.unionByName, parts, empty)

@@ -440,3 +440,48 @@ def statement_steps(g: Graph, anchors: DataFrame, cls: str, subject: str, main:
         none = found[place].agg(F.count("*").alias("some_"))
         found.append(other.join(F.broadcast(none.filter("some_ = 0")), F.lit(True), "left_semi"))
     return reduce(DataFrame.unionByName, found).select("way", "relation", "n_anchors")
+
+
+def relations_to(g: Graph, anchors: DataFrame, constant: str) -> DataFrame:
+    """relation, n_anchors, n_pairs: the relations of one step, or two over an n-ary node, that lead from anchors to a constant.
+
+    The constant is a node's IRI, or a literal whose text is compared.
+    """
+    over = set(intermediate(g))
+    node = constant.startswith(NS)
+    lex = constant[1:].rpartition('"')[0] if constant.startswith('"') else constant
+
+    def hit(e: Edge) -> Column | None:
+        if g.is_class(e.target) != node:
+            return None
+        if not node:
+            return _text(g, e) == lex
+        key = key_of(g, constant, e.target)
+        return None if key is None else g.value(e) == key
+
+    parts = []
+    for cls in classes_in(g, anchors):
+        keys = _keys(g, anchors, cls)
+        for e in g.edges:
+            if e.cls == cls and hit(e) is not None:
+                parts.append((_around(g.scan(e.table, e.key).filter(hit(e)), F.col("key_"), keys), {e.predicate: F.col("at_")}))
+            key = key_of(g, constant, e.cls) if node else None
+            if e.target == cls and key is not None:
+                parts.append((_around(g.scan(e.table, e.key).filter(F.col("key_") == key), g.value(e), keys), {f"^{e.predicate}": F.col("at_")}))
+            if e.target == cls and e.cls in over:
+                for x in g.edges:
+                    if x.cls == e.cls and x.table == e.table and x.predicate != e.predicate and hit(x) is not None:
+                        parts.append((_around(g.scan(e.table, e.key).filter(hit(x)), g.value(e), keys), {f"^{e.predicate}/{x.predicate}": F.col("at_")}))
+    return _counted(parts, g.spark)
+
+
+def shared_neighbours(g: Graph, anchors: DataFrame) -> DataFrame:
+    """item, label of the named nodes that every anchor has one step, or two over an n-ary node, away."""
+    n = anchors.select("node").distinct().count()
+    names = [r.relation for r in next_relations(g, anchors).select("relation").collect()]
+    objects = {e.predicate for e in g.edges if g.is_class(e.target)}
+    steps = [next_items(g, anchors, r) for r in sorted(names) if r.split("/")[-1].startswith("^") or r.split("/")[-1] in objects]
+    if not steps:
+        return g.spark.createDataFrame([], "item string, label string")
+    common = reduce(DataFrame.unionByName, steps).groupBy("item").agg(F.countDistinct("anchor").alias("k")).filter(F.col("k") == n)
+    return labels(g, common.select(F.col("item").alias("node"))).filter("label is not null").select(F.col("node").alias("item"), "label")

@@ -105,3 +105,19 @@ def match_texts(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     bare = lambda df: df.withColumn("k_", F.regexp_replace("k_", " ", ""))
     first = a.join(b, "k_").select(left_id, right_id)
     return first.unionByName(bare(a.join(first, left_id, "left_anti")).join(bare(b), "k_").select(left_id, right_id))
+
+
+def score_table(rows: DataFrame, method: str, dataset: str, score: str, datasets: list[str], digits: int = 3, lower: bool = True) -> DataFrame:
+    """A row for each method and a column of text for each data set: the mean score, **best** and <u>second</u> marked, -- where there is none."""
+    means = rows.groupBy(dataset, method).agg(F.avg(score).alias("mean_"))
+    marked = mark_best(means, dataset, "mean_", higher=not lower)
+    text = F.format_number("mean_", digits)
+    cell = F.when(F.col("mark") == 1, F.concat(F.lit("**"), text, F.lit("**"))).when(F.col("mark") == 2, F.concat(F.lit("<u>"), text, F.lit("</u>"))).otherwise(text)
+    wide = marked.groupBy(method).pivot(dataset, datasets).agg(F.first(cell))
+    return wide.select(method, *(F.coalesce(F.col(f"`{d}`"), F.lit("--")).alias(d) for d in datasets))
+
+
+def compare_published(ours: DataFrame, published: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """keys, ours, published, difference: recomputed scores beside published ones, whichever there is."""
+    a, b = ours.select(*keys, F.col(score).alias("ours")), published.select(*keys, F.col(score).alias("published"))
+    return a.join(b, keys, "full_outer").withColumn("difference", F.col("ours") - F.col("published"))

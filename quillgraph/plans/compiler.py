@@ -710,8 +710,12 @@ class Compiler:
         raise Unsupported(f"no aggregate {a.name}")
 
     # ---- forms
+    @staticmethod
+    def read(q: A.Query | str) -> A.Query:
+        return parse(q) if isinstance(q, str) else q
+
     def run(self, q: A.Query | str, terms: bool = False) -> DataFrame:
-        q = parse(q) if isinstance(q, str) else q
+        q = self.read(q)
         if q.form == "SELECT":
             return self.final(self.select(q), terms)
         if q.form == "ASK":

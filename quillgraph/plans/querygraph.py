@@ -10,6 +10,13 @@ from quillgraph.plans.printer import query as show
 from quillgraph.sources.registry import NS
 
 
+def path_edges(center: str, relation: str, end: str, middle: str) -> list[tuple[str, str, str]]:
+    """The edges of a relation p, ^p, or a/b over a middle node."""
+    first, _, second = relation.partition("/")
+    step = lambda r, a, b: (r[1:], b, a) if r.startswith("^") else (r, a, b)
+    return [step(first, center, middle), step(second, middle, end)] if second else [step(first, center, end)]
+
+
 def _term(x: str) -> A.Term:
     if x.startswith(NS):
         return A.Iri(x)
@@ -71,6 +78,49 @@ class QueryGraph:
         out += [f"{'largest' if self.arg[2] else 'smallest'} {name(self.arg[0])}"] if self.arg else []
         return ("number of " if self.count else "") + ", ".join(out)
 
+    def naturalised(self, labels: dict[str, str] | None = None) -> str:
+        """The graph as a line of text with its variables, as rankers are given it."""
+        name = lambda x: (labels or {}).get(x, x if x.startswith((NS, '"')) else f"?{x}")
+        words = {">=": "greater or equal", ">": "greater", "<=": "less or equal", "<": "smaller"}
+        out = f"COUNT (?{self.center}) " if self.count else f"SELECT ?{self.center} "
+        out += f" that has {'maximum' if self.arg[2] else 'minimum'} {self.arg[0]}, " if self.arg else ""
+        out += "".join(f"?{v} is a {c}, " for v, names in self.types.items() for c in names)
+        out += "".join(f" ( {name(a)}, {p}, {name(b)} ), " for p, a, b in self.edges)
+        return out + "".join(f"?{v} has {p} that {words[op]} than {lit}, " for p, v, op, lit in self.comparisons)
+
+    def middle_nodes(self) -> dict[str, tuple[str, bool]]:
+        """The variables one step from the centre that have further edges, with that step: predicate, and whether it leads to the centre."""
+        out = {}
+        for p, a, b in self.edges:
+            for v, back in ((b, False), (a, True)):
+                if (a if v == b else b) == self.center and not v.startswith((NS, '"')) and sum(v in e[1:] for e in self.edges) > 1:
+                    out[v] = (p, back)
+        return out
+
+    def at_middle(self, other: QueryGraph) -> QueryGraph | None:
+        """Another graph's constant at a middle node of this one, where both reach it by the same step."""
+        for node, step in self.middle_nodes().items():
+            for theirs, same in other.middle_nodes().items():
+                if step != same:
+                    continue
+                more = [(p, node if a == theirs else a, node if b == theirs else b) for p, a, b in other.edges if theirs in (a, b) and other.center not in (a, b)]
+                if more and not set(more) & set(self.edges) and not any(x in e[1:] for e in self.edges for m in more for x in m[1:] if x != node):
+                    return self.with_edge(*more)
+        return None
+
+    def compared(self, relation: str, op: str, literal: str) -> QueryGraph:
+        """A comparison of the centre's value, or of one over a middle node, which is shared where the step is the graph's."""
+        first, _, second = relation.partition("/")
+        if not second:
+            return replace(self, comparisons=[*self.comparisons, (first, self.center, op, literal)])
+        step = (first.lstrip("^"), first.startswith("^"))
+        for node, own in self.middle_nodes().items():
+            if own == step and not any(second == p and node in e for p, *e in self.edges):
+                return replace(self, comparisons=[*self.comparisons, (second, node, op, literal)])
+        node = f"m{len(self.edges)}_{len(self.comparisons)}"
+        edge = (step[0], node, self.center) if step[1] else (step[0], self.center, node)
+        return replace(self, edges=[*self.edges, edge], comparisons=[*self.comparisons, (second, node, op, literal)])
+
     def to_sexpr(self) -> str:
         return sexpr.from_query(self.to_query())
 

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import metrics
 from quillgraph.functions import text as words
-from quillgraph.operators import editdist, equivalence, explore, reports, similarity, synthesis
+from quillgraph.operators import editdist, equivalence, explore, questions, reports, similarity, synthesis, treesearch
 from quillgraph.plans import ast as A
 from quillgraph.plans import querygraph, sexpr
 from quillgraph.plans import rewrite as rewrites
 from quillgraph.plans.compiler import Engine
-from quillgraph.plans.parser import parse
-from quillgraph.sources import files
+from quillgraph.plans.parser import parse, parse_filter, parse_patterns
+from quillgraph.sources import access, files
 from quillgraph.sources.registry import sales_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,12 +419,12 @@ def _pairs(spark):
     return spark.createDataFrame(_PAIRS, "i int, g string, c string")
 
 
-@query("k9_ted")
+@query("k9_ted", "SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 1 / 3.0::DOUBLE), (2, 0.25), (3, 1.0)) v(i, ted)")
 def _k9(spark, sf_dir):
     return _pairs(spark).select("i", editdist.tree_distance_column(F.col("g"), F.col("c")).alias("ted"))
 
 
-@query("k11_ged")
+@query("k11_ged", "SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.4), (2, 2 / 3.0::DOUBLE), (3, 1.0)) v(i, ged)")
 def _k11(spark, sf_dir):
     return _pairs(spark).select("i", editdist.graph_distance_column(F.col("g"), F.col("c")).alias("ged"))
 
@@ -640,11 +640,16 @@ def _o10(spark, sf_dir):
     return synthesis.comparison_candidates(rel, lit)
 
 
-@query("o15_candidate_scores")
+@query("o15_candidate_scores", """WITH c AS (SELECT count(*) FILTER (c_nationkey = 3 AND c_mktsegment = 'BUILDING') AS a, count(*) FILTER (c_nationkey = 3) AS n, count(*) FILTER (c_mktsegment = 'BUILDING') AS m FROM customer),
+  g AS (SELECT 'SELECT DISTINCT ?v0 WHERE { ?v0 kg:mktsegment "BUILDING" . ?v0 kg:of_nation <kg:nation/3> . ?v0 rdf:type kg:customer . }' AS query, 2 AS size, 1.0::DOUBLE AS p FROM c
+    UNION ALL SELECT 'SELECT DISTINCT ?v0 WHERE { ?v0 kg:of_nation <kg:nation/3> . ?v0 rdf:type kg:customer . }', 1, a / n::DOUBLE FROM c
+    UNION ALL SELECT 'SELECT DISTINCT ?v0 WHERE { ?v0 kg:mktsegment "BUILDING" . ?v0 rdf:type kg:customer . }', 1, a / m::DOUBLE FROM c)
+SELECT query, size, round(p, 9) AS precision, 1.0::DOUBLE AS recall, round(2 * p / (p + 1), 9) AS f1 FROM g, c WHERE a > 0""")
 def _o15(spark, sf_dir):
     e = engine(spark, sf_dir)
     answers = e.sparql("SELECT ?c WHERE { ?c :of_nation <kg:nation/3> ; :mktsegment \"BUILDING\" }").toDF("answer")
-    return synthesis.search(e, answers, ["kg:nation/3", '"BUILDING"'])
+    found = synthesis.search(e, answers, ["kg:nation/3", '"BUILDING"'])
+    return found.select("query", "size", F.round("precision", 9).alias("precision"), "recall", F.round("f1", 9).alias("f1"))
 
 
 # ---- P: forms
@@ -788,6 +793,278 @@ def _n21(spark, sf_dir):
     return explore.special_type(sales_graph(spark, sf_dir))
 
 
+# ---- A: results in the shapes of an endpoint
+@query("a5_bindings", "SELECT 'kg:nation/' || n_nationkey AS n, 'uri' AS n_type, n_name AS label, 'literal' AS label_type, n_nationkey + 1 AS next, 'http://www.w3.org/2001/XMLSchema#integer' AS next_datatype FROM nation")
+def _a5(spark, sf_dir):
+    rows = access.bindings(engine(spark, sf_dir), "SELECT ?n ?label (xsd:integer(REPLACE(STR(?n), \"kg:nation/\", \"\")) + 1 AS ?next) WHERE { ?n :in_region ?r ; :name ?label }")
+    return rows.select(F.col("n.value").alias("n"), F.col("n.type").alias("n_type"), F.col("label.value").alias("label"), F.col("label.type").alias("label_type"), F.col("next.value").cast("int").alias("next"), F.col("next.datatype").alias("next_datatype"))
+
+
+@query("a4_ask_tuple", "SELECT 1 AS answer UNION ALL SELECT 0")
+def _a4(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return access.tuples(e, "ASK { ?x a :nation }").unionByName(access.tuples(e, "ASK { ?x :in_region <kg:region/99> }"))
+
+
+@query("a6_first_that_answers", "SELECT 'kg:region/' || r_regionkey AS r FROM region")
+def _a6(spark, sf_dir):
+    """The first text has no meaning here, the second no answer."""
+    return access.first_that_answers(engine(spark, sf_dir), "SELECT ?r WHERE { ?r ?", "SELECT ?r WHERE { ?r :in_region <kg:region/0> ; a :region }", "SELECT ?r WHERE { ?r a :region }")
+
+
+@query("a7_one_variable", "SELECT 'customer/' || c_custkey AS value FROM customer WHERE c_nationkey = 3")
+def _a7(spark, sf_dir):
+    return access.one_variable(engine(spark, sf_dir), "SELECT ?c ?m WHERE { ?c :of_nation <kg:nation/3> ; :mktsegment ?m }")
+
+
+@query("a8_typed_values", "SELECT DISTINCT '\"' || p_size || '\"^^<http://www.w3.org/2001/XMLSchema#integer>' AS value FROM part")
+def _a8(spark, sf_dir):
+    return access.typed_values(engine(spark, sf_dir), "SELECT ?z WHERE { ?p :size ?z }")
+
+
+# ---- further language cases
+sparql("b9_collections", "SELECT ?x WHERE { ?x :in_region (1 2) }", "SELECT '' AS x WHERE false")
+sparql("i4_iri", "SELECT ?l (IRI(CONCAT(\"kg:name/\", ?l)) AS ?i) (ISIRI(IRI(?l)) AS ?k) WHERE { ?n a :region ; :name ?l }", "SELECT r_name AS l, 'kg:name/' || r_name AS i, true AS k FROM region")
+
+
+@query("p6_stand_alone_parts", "SELECT 'kg:part/' || p_partkey AS p FROM part WHERE p_size > 40 AND p_brand = 'Brand#1'")
+def _p6(spark, sf_dir):
+    group, test = parse_patterns("?p :size ?s ; :brand \"Brand#1\""), parse_filter("FILTER(?s > 40)")
+    return engine(spark, sf_dir).sparql(A.Query("SELECT", A.Group((*group.parts, A.Filter(test))), (A.Projected(A.Var("p"), A.Var("p")),)))
+
+
+@query("g7_capped", "SELECT 'kg:customer/' || c_custkey AS c FROM customer ORDER BY 'kg:customer/' || c_custkey LIMIT 100")
+def _g7(spark, sf_dir):
+    return engine(spark, sf_dir).sparql(rewrites.capped(parse("SELECT ?c WHERE { ?c :mktsegment ?m } ORDER BY STR(?c)"), 100))
+
+
+@query("g10_argsort", "SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(1, 9), lambda i: {'s': -embedding[i], 'i': i - 1})), lambda x: x.i), ',') AS places FROM embeddings")
+def _g10(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(words.argsort_similar(F.slice("embedding", 1, 8)).cast("array<string>"), ",").alias("places"))
+
+
+# ---- J: text of questions and graphs
+_DECOMPOSITION = '[{"description": "parts of <IQ1>", "<IQ1>": [{"description": "suppliers in <IQ2>", "<IQ2>": [{"description": "nation 3"}]}]}, {"description": "that are small"}]'
+
+
+def _decomposed(spark):
+    return spark.createDataFrame([("1", "Which small parts?", _DECOMPOSITION), ("2", "Which nations?", "broken")], "qid string, question string, decomposition string")
+
+
+@query("j9_branches", "SELECT * FROM (VALUES ('1', 'parts of <IQ1> > suppliers in <IQ2> > nation 3'), ('1', 'that are small')) v(qid, branch)")
+def _j9(spark, sf_dir):
+    rows = _decomposed(spark).select("qid", F.explode(questions.branches_column(F.col("decomposition"))).alias("b"))
+    return rows.select("qid", F.array_join("b", " > ").alias("branch"))
+
+
+@query("j11_operator_triggers", """SELECT doc_id, concat_ws(',', CASE WHEN contains(q, 'how many') THEN 'COUNT' END, CASE WHEN contains(q, 'max') OR contains(q, ' most') THEN 'ARGMAX' END, CASE WHEN contains(q, 'earliest') THEN 'ARGMIN' END, CASE WHEN contains(q, 'at most') THEN '<=,<' END, CASE WHEN contains(q, 'at least') THEN 'ARGMIN,>=,>' END) AS triggers
+FROM (SELECT doc_id, ['how many rows', 'the max', 'the earliest', 'at most 5', 'at least 5', 'nothing'][1 + doc_id % 6] AS q FROM documents)""")
+def _j11(spark, sf_dir):
+    phrases = F.array(*(F.lit(p) for p in ("How many rows", "the max", "the EARLIEST", "at most 5", "at least 5", "nothing")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(phrases, (F.col("doc_id") % 6).cast("int")).alias("q"))
+    return rows.select("doc_id", F.concat_ws(",", words.operator_triggers(F.col("q"))).alias("triggers"))
+
+
+@query("j14_mapped_ids", "SELECT 'm.0' || c_custkey AS mid, '/m/0' || c_custkey AS global, c_custkey FROM customer")
+def _j14(spark, sf_dir):
+    """Ids of one graph as those of another and back, joined on the other's."""
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/m/0"), F.col("c_custkey").cast("string")).alias("value"))
+    asked = table(spark, sf_dir, "customer").select(F.concat(F.lit("m.0"), F.col("c_custkey").cast("string")).alias("mid"))
+    joined = asked.withColumn("global", words.to_global_id(F.col("mid"))).join(own, F.col("global") == F.col("value"))
+    return joined.select(words.from_global_id(F.col("value")).alias("mid"), "global", "c_custkey")
+
+
+@query("j17_literal_values", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '^^http://www.w3.org/2001/XMLSchema#date' AS bare, strftime(o_orderdate, '%Y-%m-%d') AS value, o_orderpriority AS word FROM orders""")
+def _j17(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    dated = F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('-08:00"^^<http://www.w3.org/2001/XMLSchema#date>'))
+    return o.select("o_orderkey", words.bare_literal(dated).alias("bare"), words.literal_value(dated).alias("value"), words.literal_value(F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"@en'))).alias("word"))
+
+
+@query("j18_naturalised", "SELECT 'SELECT ?x  that has maximum totalprice, ?x is a order,  ( ?x, placed_by, the customer ), ?x has orderdate that greater than \"2000\", ' AS text")
+def _j18(spark, sf_dir):
+    g = querygraph.QueryGraph("x", [("placed_by", "x", "kg:customer/1")], types={"x": ["order"]}, comparisons=[("orderdate", "x", ">", '"2000"')], arg=("totalprice", "x", True))
+    return spark.createDataFrame([(g.naturalised({"kg:customer/1": "the customer"}),)], "text string")
+
+
+# ---- K: batches and tables
+@query("k3_capped_perturbation", "SELECT least(count(*), 50) AS n FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _k3(spark, sf_dir):
+    return equivalence.apply_perturbation(engine(spark, sf_dir), _GOLD, {A.Iri("kg:nation/3"): "replace0"}, 50).agg(F.count("*").alias("n"))
+
+
+@query("k8_suites", """SELECT 'a' AS qid, 'kg:nation/' || c_nationkey AS v, count(DISTINCT c_custkey) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey
+UNION ALL SELECT 'b', 'kg:region/' || n_regionkey, count(*) FROM nation GROUP BY n_regionkey""")
+def _k8(spark, sf_dir):
+    golden = [("a", _GOLD, [A.Iri("kg:nation/3")]), ("b", "SELECT ?n WHERE { ?n :in_region <kg:region/1> }", [A.Iri("kg:region/1")]), ("c", "ASK { ?x a :nation }", [A.Iri("kg:region/1")])]
+    return equivalence.build_suites(engine(spark, sf_dir), golden).select("qid", F.map_values("binding")[0].alias("v"), F.size("answers").cast("long").alias("n"))
+
+
+@query("k18_score_table", f"""WITH m AS (SELECT level, method, avg(score) AS s FROM {_RATED} GROUP BY 1, 2), r AS (SELECT *, dense_rank() OVER (PARTITION BY level ORDER BY round(s / 0.001)) AS k FROM m),
+  c AS (SELECT level, method, CASE k WHEN 1 THEN '**' || format('{{:.3f}}', s) || '**' WHEN 2 THEN '<u>' || format('{{:.3f}}', s) || '</u>' ELSE format('{{:.3f}}', s) END AS cell FROM r)
+SELECT method, coalesce(max(cell) FILTER (level = 'de'), '--') AS de, coalesce(max(cell) FILTER (level = 'en'), '--') AS en, coalesce(max(cell) FILTER (level = 'xx'), '--') AS xx FROM c GROUP BY 1""")
+def _k18(spark, sf_dir):
+    return reports.score_table(_rated(spark, sf_dir), "method", "level", "score", ["de", "en", "xx"])
+
+
+@query("k14_tree_features", "SELECT 3 AS depth, 2 AS width, 'a/b|a/c/d' AS paths")
+def _k14(spark, sf_dir):
+    t = editdist.Tree("a", (editdist.Tree("b"), editdist.Tree("c", (editdist.Tree("d"),))))
+    return spark.createDataFrame([(t.depth(), t.width(), "|".join("/".join(p) for p in t.paths()))], "depth int, width int, paths string")
+
+
+# ---- L: rewrites that name what they change
+rewritten("l2_update_leaf", "SELECT ?n WHERE { ?x :in_region <kg:region/1> ; :name ?n }", lambda q: rewrites.update_leaf(q, A.Iri("region/1"), A.Iri("kg:region/2")), "SELECT n_name AS n FROM nation WHERE n_regionkey = 2")
+rewritten("l5_drop_projection", "SELECT ?n ?x WHERE { ?x :in_region <kg:region/1> ; :name ?n }", lambda q: rewrites.drop_projection(q, "x"), "SELECT n_name AS n FROM nation WHERE n_regionkey = 1")
+rewritten("l10_split_direct", "SELECT DISTINCT ?s ?p WHERE { ?s <kg:direct> ?p ; :of_nation <kg:nation/3> }", lambda q: rewrites.rebuild_paths(q, "kg:direct", "^:of_supplier/:of_part"), "SELECT DISTINCT 'kg:supplier/' || l_suppkey AS s, 'kg:part/' || l_partkey AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 3")
+rewritten("l17_for_test_suite", "SELECT ?c WHERE { { SELECT ?c WHERE { VALUES ?n { <kg:nation/3> } ?c :of_nation ?n ; :mktsegment ?m FILTER(?m = \"BUILDING\") } } }", lambda q: rewrites.for_test_suite(q, "target"), "SELECT DISTINCT 'kg:customer/' || c_custkey AS target FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
+
+
+@query("l9_added_prefix", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1")
+def _l9(spark, sf_dir):
+    return engine(spark, sf_dir).sparql(rewrites.with_prefix("SELECT ?n WHERE { ?x fb:in_region <kg:region/1> ; fb:name ?n }", "fb", "kg:"))
+
+
+# ---- M: dialects of logical forms
+_STATEMENTS = sexpr.Dialect(statements="of_order", lexical=True, english=True)
+
+
+@query("m6_statement_dialect", "SELECT DISTINCT 'kg:part/' || l_partkey AS x FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1) AND l_returnflag = 'R'")
+def _m6(spark, sf_dir):
+    """The parts of statements, marked R, of orders that have a statement with supplier 1."""
+    form = '(JOIN (R ps:of_part) (AND (JOIN (R p:of_part) (JOIN p:of_part (JOIN pq:of_supplier supplier/1))) (JOIN pq:returnflag "R"@en)))'
+    return engine(spark, sf_dir).sparql(sexpr.to_query(form, _STATEMENTS))
+
+
+@query("m6_statement_count", "SELECT count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_partkey = 5")
+def _m6c(spark, sf_dir):
+    return engine(spark, sf_dir).sparql(sexpr.to_query("(COUNT (JOIN wdt:of_part part/5))", _STATEMENTS))
+
+
+@query("m6_statement_arg", "SELECT 'kg:order/' || o_orderkey AS x FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1) ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def _m6a(spark, sf_dir):
+    return engine(spark, sf_dir).sparql(sexpr.to_query("(ARGMAX (JOIN p:of_part (JOIN pq:of_supplier supplier/1)) totalprice)", _STATEMENTS))
+
+
+@query("m7_pairwise_apart", "SELECT DISTINCT 'kg:nation/' || a.n_nationkey AS x FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE b.n_name = 'NATION_3'")
+def _m7(spark, sf_dir):
+    form = '(JOIN in_region (JOIN (R in_region) (JOIN name "NATION_3")))'
+    return engine(spark, sf_dir).sparql(sexpr.to_query(form, sexpr.Dialect(apart=True)))
+
+
+@query("m8_from_query", "SELECT DISTINCT 'kg:part/' || l_partkey AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 1 AND p_size <= 20")
+def _m8(spark, sf_dir):
+    """A query as a logical form, and that as a query again."""
+    form = sexpr.from_query(parse("SELECT DISTINCT ?x WHERE { ?l :of_part ?x ; :of_supplier <kg:supplier/1> . ?x :size ?z FILTER(?z <= 20) }"))
+    return engine(spark, sf_dir).sparql(sexpr.to_query(form))
+
+
+@query("m9_training_form", """SELECT '(AND (le m.size 20^^http://www.w3.org/2001/XMLSchema#integer) (JOIN m.name plain))' AS form""")
+def _m9(spark, sf_dir):
+    text = '(AND (LE m.size "20"^^<http://www.w3.org/2001/XMLSchema#integer>) (EQ m.name "plain"))'
+    return spark.createDataFrame([(sexpr.for_training(text),)], "form string")
+
+
+@query("m11_graph_to_sexpr", "SELECT DISTINCT 'kg:customer/' || c_custkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 AND c_acctbal > 1000")
+def _m11(spark, sf_dir):
+    g = querygraph.QueryGraph("x", [("of_nation", "x", "n"), ("in_region", "n", "kg:region/2")], types={"x": ["customer"]}, comparisons=[("acctbal", "x", ">", "1000")])
+    return engine(spark, sf_dir).sparql(sexpr.to_query(g.to_sexpr()))
+
+
+@query("m14_graph_form", """SELECT * FROM (VALUES (0, '(AND (JOIN type.object.type people.person) (JOIN r "3.0"^^<http://www.w3.org/2001/XMLSchema#float>))'), (1, '(JOIN r "x"@en)'), (2, '(JOIN r "1"^^<http://www.w3.org/2001/XMLSchema#integer>)')) v(i, form)""")
+def _m14(spark, sf_dir):
+    forms = ["(AND people.person (JOIN r 3))", '(JOIN r "x")', "(JOIN r 1^^http://www.w3.org/2001/XMLSchema#integer)"]
+    return spark.createDataFrame([(i, sexpr.for_graph_distance(f)) for i, f in enumerate(forms)], "i int, form string")
+
+
+# ---- N, O: ontology and search
+@query("n8_reverse_property", "SELECT * FROM (VALUES ('in_region', 'has_nation'), ('has_nation', 'in_region')) v(relation, reverse)")
+def _n8(spark, sf_dir):
+    return files.both_ways(spark.createDataFrame([("in_region", "has_nation")], "relation string, reverse string"))
+
+
+@query("o1_question_tree", """SELECT * FROM (VALUES ('1', 0, '<OUTQ>', NULL, 'parts of <IQ1>, that are small'), ('1', 1, '<IQ1>', '<OUTQ>', 'suppliers in <IQ2>'), ('1', 2, '<IQ2>', '<IQ1>', 'nation 3'), ('2', 0, '<OUTQ>', NULL, 'Which nations?')) v(qid, position, tag, parent, text)""")
+def _o1(spark, sf_dir):
+    return questions.sub_questions(_decomposed(spark), "qid", "question", "decomposition")
+
+
+@query("o2_shrunk_tree", "SELECT * FROM (VALUES ('<OUTQ>', 'parts of suppliers in <IQ2>, that are small'), ('<IQ2>', 'nation 3')) v(tag, text)")
+def _o2(spark, sf_dir):
+    tree = questions.read_tree(_DECOMPOSITION, "")
+    questions.shrink(tree.children[0])
+    return spark.createDataFrame([(n.tag, n.text) for n in tree.walk()], "tag string, text string")
+
+
+@query("o3_question_search", """SELECT 0 AS position, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:in_region <kg:region/1> . ?v1 kg:mktsegment "BUILDING" . ?v1 kg:of_nation ?v0 . }' AS query, 1.0::DOUBLE AS f1""")
+def _o3(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    answers = e.sparql("SELECT DISTINCT ?c WHERE { ?c :of_nation ?n ; :mktsegment \"BUILDING\" . ?n :in_region <kg:region/1> }")
+    parts = [{"description": "customers of mktsegment BUILDING of nation <IQ1>", "<IQ1>": [{"description": "nation in region 1"}]}]
+    found = treesearch.search(e, "Which customers of the segment BUILDING are in a nation of region 1?", answers, {"kg:region/1": "region 1", '"BUILDING"': "BUILDING"}, ["customer"], parts)
+    return found.select("position", "query", "f1")
+
+
+def _keys_of(spark, graphs):
+    return spark.createDataFrame([(i, g.key()) for i, g in enumerate(graphs)], "i int, query string")
+
+
+@query("o6_skeletons", "SELECT * FROM (VALUES (0, 'SELECT DISTINCT ?v0 WHERE { ?v0 kg:of_nation ?v1 . ?v2 kg:placed_by ?v0 . }'), (1, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:by_user ?v1 . ?v1 kg:of_nation ?v2 . }')) v(i, query)")
+def _o6(spark, sf_dir):
+    return _keys_of(spark, treesearch.skeletons("x", ["a", "b"], [["of_nation"], ["^placed_by", "^by_user"]]))
+
+
+@query("o8_constants_near", "SELECT '^of_supplier/of_order' AS relation, count(DISTINCT l_suppkey) AS n_anchors, count(*) AS n_pairs FROM lineitem WHERE l_orderkey = 1 AND l_suppkey IN (SELECT s_suppkey FROM supplier)")
+def _o8(spark, sf_dir):
+    return explore.relations_to(sales_graph(spark, sf_dir), _suppliers(spark, sf_dir), "kg:order/1")
+
+
+@query("o8_shared_neighbours", "SELECT 'kg:nation/' || n_nationkey AS item, n_name AS label FROM nation WHERE n_nationkey = 3")
+def _o8n(spark, sf_dir):
+    """What three customers of one nation have in common."""
+    some = explore.sample_nodes(engine(spark, sf_dir).sparql("SELECT ?c WHERE { ?c :of_nation <kg:nation/3> ; :mktsegment ?m }"), 3)
+    return explore.shared_neighbours(sales_graph(spark, sf_dir), some)
+
+
+@query("o9_constant_structures", """SELECT * FROM (VALUES (0, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_part ?v1 . ?v0 kg:of_supplier <kg:supplier/1> . }'), (1, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_order <kg:order/2> . ?v0 kg:of_part ?v1 . }'),
+  (2, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_order <kg:order/2> . ?v0 kg:of_supplier <kg:supplier/1> . ?v0 kg:of_part ?v1 . }')) v(i, query)""")
+def _o9(spark, sf_dir):
+    single, double = treesearch.constant_structures("x", {"kg:supplier/1": ["^of_part/of_supplier"], "kg:order/2": ["^of_part/of_order"]})
+    return _keys_of(spark, single + double)
+
+
+@query("o12_at_middle", "SELECT 0 AS i, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_order <kg:order/2> . ?v0 kg:of_part ?v1 . ?v0 kg:of_supplier ?v2 . }' AS query")
+def _o12(spark, sf_dir):
+    bone = querygraph.QueryGraph("x", querygraph.path_edges("x", "^of_part/of_supplier", "s", "m"))
+    return _keys_of(spark, [bone.at_middle(querygraph.QueryGraph("x", querygraph.path_edges("x", "^of_part/of_order", "kg:order/2", "k")))])
+
+
+@query("o13_compared_at_middle", "SELECT DISTINCT 'kg:part/' || l_partkey AS x FROM lineitem WHERE l_suppkey = 1 AND l_quantity >= 25")
+def _o13(spark, sf_dir):
+    g = querygraph.QueryGraph("x", querygraph.path_edges("x", "^of_part/of_supplier", "kg:supplier/1", "m"))
+    return engine(spark, sf_dir).sparql(g.compared("^of_part/quantity", ">=", "25").to_query())
+
+
+@query("o17_without_types", "SELECT false AS typed")
+def _o17(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    g = querygraph.QueryGraph("x", [("of_nation", "x", "kg:nation/3"), ("mktsegment", "x", '"BUILDING"')], types={"x": ["customer"]})
+    run = treesearch.TreeSearch(e, "", e.sparql(g.to_query()), {})
+    return spark.createDataFrame([(bool(treesearch.without_redundant_types(run, [g])[0].types),)], "typed boolean")
+
+
+@query("o18_ranked", "SELECT 0 AS i, 'of_nation' AS predicate UNION ALL SELECT 1, 'mktsegment'")
+def _o18(spark, sf_dir):
+    graphs = [querygraph.QueryGraph("x", [(p, "x", c)]) for p, c in (("mktsegment", '"BUILDING"'), ("of_nation", "kg:nation/3"))]
+    best = treesearch.rank_graphs(graphs, "customers of the nation France", {"kg:nation/3": "France"}, 2)
+    return spark.createDataFrame([(i, g.edges[0][0]) for i, g in enumerate(best)], "i int, predicate string")
+
+
+@query("o19_applied_choice", "SELECT * FROM (VALUES ('a', 2, 'y'), ('b', 1, 'z')) v(qid, position, query)")
+def _o19(spark, sf_dir):
+    candidates = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "qid string, position int, query string")
+    return synthesis.apply_choice(candidates, spark.createDataFrame([("a", "I choose 2."), ("b", "none")], "qid string, reply string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

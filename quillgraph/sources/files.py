@@ -33,7 +33,11 @@ def parse_results(raw: DataFrame) -> DataFrame:
 
 def read_reverse(spark: SparkSession, path: str) -> DataFrame:
     """relation, reverse of a tab-separated table, in both directions."""
-    t = spark.read.csv(path, sep="\t", schema="relation string, reverse string")
+    return both_ways(spark.read.csv(path, sep="\t", schema="relation string, reverse string"))
+
+
+def both_ways(t: DataFrame) -> DataFrame:
+    """relation, reverse of pairs, each way."""
     return t.unionByName(t.select(F.col("reverse").alias("relation"), F.col("relation").alias("reverse"))).distinct()
 
 
