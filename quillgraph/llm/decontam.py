@@ -1,14 +1,21 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts and benchmark items are normalised alike: A-Z in lower case, words joined by single spaces, with a
-space at both ends.  The automaton holds every window of ``window`` item words (an item of fewer words is
-one window) between spaces, so each hit is a run of whole words.  A text is normalised in numpy with a
-map from its normalised bytes to its original ones, and scanned once.
+space at both ends.  A window is ``window`` consecutive item words; an item of fewer words is one window.
+
+The automaton holds, between spaces, every short item and of longer ones the grams of just over half a window
+that begin at every second half: each window holds one of them whole, so the automaton is about as large as the
+items and not ``window`` times as large.  A text is normalised in numpy with a map from its normalised bytes to
+its original ones, and scanned once; where a gram occurs, the words around it are compared with the item's, as
+far as a window can reach.
+
+The automaton is built once, by a task, and stored in the shared folder, from which each worker loads it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import uuid
 
 import numpy as np
@@ -19,12 +26,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.llm import text as tx
-from quillgraph.llm.runtime import prepare, unclash
+from quillgraph.llm.runtime import cut, discard, file_system, fresh, prepare, unclash
 
-#: Bytes of benchmark text in one automaton: about 100 MB of memory.
-BLOCK_BYTES = 128 << 10
-#: Automata that one scan holds.  A larger benchmark takes several scans, each adding to the last one's hits.
-BLOCKS_AT_ONCE = 2
+#: Bytes of benchmark text in one automaton: about 200 MB of memory.  A larger benchmark takes several, each
+#: scanned after the other and adding to its hits.
+PART_BYTES = 4 << 20
 
 
 def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tx.Words]:
@@ -46,66 +52,99 @@ def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, new, place, w
 
 
-def windows_of(text: str | None, window: int) -> list[str]:
-    """The windows of one item as latin-1 strings between spaces."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    low, off, _, _ = normalise(data, np.array([0, len(data)]))
-    words = low.tobytes().decode("latin-1").split(" ")[1:-1]
-    if not words:
-        return []
-    return [" " + " ".join(words[i : i + window]) + " " for i in range(max(1, len(words) - window + 1))]
-
-
 class Matcher:
-    """The automaton of one block of items; ``payload`` is a list of (item id, text)."""
+    """The automaton of some items, a list of (item id, text)."""
 
-    def __init__(self, payload: list[tuple[int, str]], window: int):
+    def __init__(self, payload: list[tuple], window: int):
         import ahocorasick
 
-        self.items: list[np.ndarray] = []
-        found: dict[str, set[int]] = {}
-        for item, text in payload:
-            for g in windows_of(text, window):
-                found.setdefault(g, set()).add(item)
-        self.machine = ahocorasick.Automaton()
-        for g, items in found.items():
-            self.machine.add_word(g, (len(g), g.count(" ") - 1, len(self.items)))
-            self.items.append(tuple(items))
+        self.ids = [item for item, _ in payload]
+        self.window = window
+        self.gram = (window + 1) // 2
+        raw = [text.encode() for _, text in payload]
+        low, _, _, w = normalise(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        words = [x for x in low.tobytes().decode("latin-1").split(" ") if x]
+        self.first, self.hashes = w.first, tx.hash_words(tx.FOLD[np.frombuffer(b"".join(raw), np.uint8)], w)
+        found: dict[str, list[tuple[int, int]]] = {}
+        for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+            n = self.gram if b - a >= window else b - a
+            for q in range(a, b - n + 1, window - self.gram + 1) if n else ():
+                found.setdefault(f" {' '.join(words[q : q + n])} ", []).append((i, q))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.grams: list[tuple[int, int, list[tuple[int, int]]]] = []
+        for g, places in found.items():
+            self.machine.add_word(g, len(self.grams))
+            self.grams.append((len(g), g.count(" ") - 1, places))
         if found:
             self.machine.make_automaton()
-        self.empty = not found
-
-    def scan(self, norm: np.ndarray) -> list[tuple[int, int, int]]:
-        """(place of the first space, words, window) of each occurrence in normalised text."""
-        if self.empty:
-            return []
-        return [(end - size + 1, n, k) for end, (size, n, k) in self.machine.iter(norm.tobytes().decode("latin-1"))]
-
 
-_built: dict[tuple, Matcher] = {}
-
-
-def _matcher(key: tuple, shared, window: int) -> Matcher:
-    """The automaton of a block, built once in each Python worker."""
-    if key not in _built:
-        while len(_built) >= BLOCKS_AT_ONCE:
-            _built.pop(next(iter(_built)))
-        _built[key] = Matcher(shared.value, window)
-    return _built[key]
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size."""
-    rows = benchmark.select(id_col, text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).distinct()
-    blocks: list[list] = [[]]
-    held = 0
-    for item, text in rows.toLocalIterator():
-        if held and held + len(text.encode()) > BLOCK_BYTES:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item, text))
-        held += len(text.encode())
-    return blocks
+    def scan(self, norm: np.ndarray, new_off: np.ndarray, place: np.ndarray, w: tx.Words, hashes: np.ndarray):
+        """(text, first word, end word, item) of each run of words that windows of an item cover."""
+        if not self.grams:
+            return
+        reach = self.window - self.gram
+        for end, k in self.machine.iter(norm.tobytes().decode("latin-1")):
+            size, n, places = self.grams[k]
+            at = end - size + 1
+            d = int(np.searchsorted(new_off, at, "right")) - 1
+            first = int(np.searchsorted(place, at - d))  # the word after this space
+            for i, q in places:
+                a, b = int(self.first[i]), int(self.first[i + 1])
+                if b - a < self.window:
+                    yield d, first, first + n, i
+                    continue
+                back, ahead = min(reach, q - a, first - int(w.first[d])), min(reach, b - q - n, int(w.first[d + 1]) - first - n)
+                left = _same(hashes[first - back : first][::-1], self.hashes[q - back : q][::-1])
+                right = _same(hashes[first + n : first + n + ahead], self.hashes[q + n : q + n + ahead])
+                if left + n + right >= self.window:
+                    yield d, first - left, first + n + right, i
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two arrays have in common from their beginning on."""
+    other = np.flatnonzero(a != b)
+    return int(other[0]) if len(other) else len(a)
+
+
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(path: str) -> Matcher:
+    """A stored automaton, loaded once by each Python worker."""
+    if path not in _built:
+        _built.clear()
+        fs, place = file_system(path)
+        with fs.open_input_stream(place, compression=None) as f:
+            _built[path] = pickle.loads(f.read())
+    return _built[path]
+
+
+def store_automata(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[str]:
+    """Builds the automata of a benchmark in tasks; gives their files, one for each PART_BYTES of text."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    where = fresh(spark, "automata")
+
+    def build(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, item, text in zip(*(batch.column(c).to_pylist() for c in ("part", "item", "text")), strict=True):
+                held.setdefault(part, []).append((item, text))
+        for rows in held.values():
+            fs, base = file_system(where)
+            fs.create_dir(base, recursive=True)
+            name = f"{uuid.uuid4().hex}.automaton"
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+                f.write(pickle.dumps(Matcher(rows, window)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{where}/{name}"])], names=["path"])
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))).select("part", "item", "text").repartition("part")
+    made = cut(dealt.mapInArrow(build, "path string"), "automata-list")
+    paths = sorted(r.path for r in made.collect())  # one row for each part
+    discard(made)
+    return paths
 
 
 def contamination(
@@ -132,20 +171,17 @@ def contamination(
     final = unclash(docs.select(*keep), "n_words", "n_hit", "n_items", "items", "hits")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(benchmark.schema[item_id].dataType), span]
-    blocks = _blocks(benchmark, item_id, item_text)
     out = docs
-    for i in range(0, len(blocks), BLOCKS_AT_ONCE):
-        out = _scan(out, text_col, [*keep, *extra], dict(zip(names, kinds, strict=True)), blocks[i : i + BLOCKS_AT_ONCE], window, i > 0)
+    for i, path in enumerate(store_automata(benchmark, item_id, item_text, window) or [None]):
+        out = _scan(out, text_col, [*keep, *extra], dict(zip(names, kinds, strict=True)), path, i > 0)
     return out.select(*keep, *(F.col(n).alias(f) for n, f in zip(names, final, strict=True)))
 
 
-def _scan(docs: DataFrame, text_col: str, through: list[str], new: dict[str, T.DataType], blocks: list, window: int, again: bool) -> DataFrame:
-    """Adds the hits of some blocks to each row, and to those of earlier blocks if ``again``."""
+def _scan(docs: DataFrame, text_col: str, through: list[str], new: dict[str, T.DataType], path: str | None, again: bool) -> DataFrame:
+    """Adds the hits of a stored automaton to each row, and to those of earlier ones if ``again``."""
     names = list(new)
     schema = T.StructType([docs.schema[c] for c in through] + [T.StructField(n, k) for n, k in new.items()])
     arrow = [to_arrow_type(k) for k in new.values()]
-    run_id = uuid.uuid4().hex
-    shared = [(run_id, i, docs.sparkSession.sparkContext.broadcast(b)) for i, b in enumerate(blocks)]
 
     def judge(data, off, before):
         norm, new_off, place, w = normalise(data, off)
@@ -158,14 +194,12 @@ def _scan(docs: DataFrame, text_col: str, through: list[str], new: dict[str, T.D
             for x in old_spans or ():
                 delta[np.searchsorted(w.starts, off[d] + x["start"])] += 1
                 delta[np.searchsorted(w.starts, off[d] + x["end"])] -= 1
-        for run, i, b in shared:
-            m = _matcher((run, i), b, window)
-            for at, n, k in m.scan(norm):
-                d = int(np.searchsorted(new_off, at, "right")) - 1
-                first = int(np.searchsorted(place, at - d))  # the word after this space
+        if path is not None:
+            m = _matcher(path)
+            for d, first, end, i in m.scan(norm, new_off, place, w, tx.hash_words(tx.FOLD[data], w)):
                 delta[first] += 1
-                delta[first + n] -= 1
-                items.setdefault(d, set()).update(m.items[k])
+                delta[end] -= 1
+                items.setdefault(d, set()).add(m.ids[i])
         hit = np.cumsum(delta[:-1]) > 0
         n_hit = np.bincount(w.doc()[hit], minlength=n_docs)
         rows = []

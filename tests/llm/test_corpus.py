@@ -103,6 +103,21 @@ def test_awkward_rows(spark, frame, awkward, sf_dir):
     assert rows(back, "doc_id", "start", "n_tokens", "ids_crc32") == brute.token_ids([(d, t or "") for d, t in awkward], tok)
 
 
+def test_windows_of_any_width_and_parts(spark, monkeypatch):
+    """Windows narrower and wider than usual, a benchmark in many parts, letters whose bytes look like spaces."""
+    rng = random.Random(4)
+    words = ["à", "Ã\x85", "b", "c", "D", "é\xa0", "x1"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    bench = [(i, line(rng.randrange(1, 30))) for i in range(40)] + [(3, line(20)), (41, "")]
+    docs = [(i, line(rng.randrange(60)) + " " + rng.choice(bench)[1] + ", " + line(9)) for i in range(60)]
+    df, items_ = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(decontam, "PART_BYTES", size)
+        for n in (1, 2, 5, 13) if size > 200 else (13,):
+            got = decontam.contamination(df, items_, window=n, keep=["doc_id"])
+            assert rows(got, "doc_id", "n_words", "n_hit", "n_items") == [w[:4] for w in brute.decontamination(docs, bench, n)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
