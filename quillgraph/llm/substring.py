@@ -7,8 +7,8 @@ packed hashes of its windows, and the windows of one anchor are counted together
 window is removed when a smaller document has shown it before.  Consecutive removed windows are merged
 into intervals before they leave the counting task, and once more for each document.
 
-Windows of frequent anchors are not brought together: they become rows of their own, the smallest document
-of each window is an aggregate that is combined within tasks first, and it is joined back by a spread join.
+Windows of frequent anchors are not brought together: the smallest document of each is an aggregate that is
+combined within tasks first, and these go to as many shares as an anchor's rows are dealt over.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
 from quillgraph.llm.runtime import cut, discard, prepare, unclash
-from quillgraph.llm.spread import spread_join
+from quillgraph.llm.spread import frequent
 
 #: Words in an anchor gram.
 ANCHOR = 8
@@ -177,9 +177,10 @@ def removals(docs: DataFrame, id_col: str, text_col: str, width: int, state: int
         tables.append(found)
         part = found.filter("hashes is null").select("id", "digest", "start", "stop")
         if done is None:
-            common = cut(found.filter(F.col("hashes").isNotNull() & (F.col("part") == _HOT)).select("anchor", "id", "digest", "start", "hashes").mapInArrow(_single, _SINGLE_DDL), "common")
-            tables.append(common)
-            part = part.unionByName(_common(common, width))
+            common = found.filter(F.col("hashes").isNotNull() & (F.col("part") == _HOT)).select("anchor", "id", "digest", "start", "hashes")
+            if not common.isEmpty():
+                tables.append(_common(common, width, state))
+                part = part.unionByName(tables[-1])
         done = part if done is None else done.unionByName(part)
         rest = found.filter(F.col("hashes").isNotNull() & (F.col("part") != _HOT))
         if rest.isEmpty():
@@ -214,26 +215,83 @@ def _frequent(src: DataFrame, width: int) -> np.ndarray:
     return hot
 
 
-_SINGLE_DDL = "anchor long, hash long, id long, digest long, start long"
-
-
 def _single(batches):
-    """One row for each window of rows with packed hashes."""
+    """anchor, hash, id of each window of rows with packed hashes."""
     for batch in batches:
         raw = batch.column("hashes").to_pylist()
         n = np.array([len(r) // HASH_BYTES for r in raw])
-        if not n.sum():
-            continue
-        anchor, ids, digest, start = (np.repeat(batch.column(c).to_numpy(), n) for c in ("anchor", "id", "digest", "start"))
-        place = np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, _unpack(b"".join(raw)).view(np.int64), ids, digest, start + place)], names=["anchor", "hash", "id", "digest", "start"])
-
-
-def _common(windows: DataFrame, width: int) -> DataFrame:
-    """The windows that a smaller id has as well, as intervals of words."""
-    least = windows.groupBy("anchor", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
-    late = spread_join(windows, least, ["anchor", "hash"], windows, "id").filter("least < id")
-    return late.select("id", "digest", "start", (F.col("start") + width).alias("stop"))
+        if n.sum():
+            anchor, ids = (np.repeat(batch.column(c).to_numpy(), n) for c in ("anchor", "id"))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(_unpack(b"".join(raw)).view(np.int64)), pa.array(ids)], names=["anchor", "hash", "id"])
+
+
+_DEALT = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("share", pa.int32()), ("id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("hashes", pa.binary()), ("least", pa.binary())])
+_DEALT_DDL = "anchor long, part int, share int, id long, digest long, start long, hashes binary, least binary"
+
+
+def _rows(out: list[tuple], schema: pa.Schema):
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _common(rows: DataFrame, width: int, state: int) -> DataFrame:
+    """Of stored rows of frequent anchors the windows that a smaller id has as well, as intervals of words."""
+    shares = dict(frequent(rows, "anchor"))  # of bounded size
+    found = rows.mapInArrow(_single, "anchor long, hash long, id long").groupBy("anchor", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    least = cut(found.filter("least < most").drop("most"), "least")
+    parts = -(-(least.groupBy("anchor").count().agg(F.max("count")).first()[0] or 1) // state)
+
+    def known(batches):
+        """The repeated windows of each anchor and part, packed, once for each share."""
+        for batch in batches:
+            anchor, hashes, ids = (batch.column(c).to_numpy() for c in ("anchor", "hash", "least"))
+            where = hashes % parts
+            heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (where[1:] != where[:-1])])) if len(anchor) else []
+            for a, b in zip(heads, np.append(heads[1:], len(anchor)), strict=True):
+                packed = hashes[a:b].astype("<i8").tobytes(), ids[a:b].astype("<i8").tobytes()
+                yield from _rows([(int(anchor[a]), int(where[a]), s, None, None, None, *packed) for s in range(shares.get(int(anchor[a]), 1))], _DEALT)
+
+    def deal(batches):
+        """The rows' windows by part, each row to one share of its anchor; consecutive windows stay together."""
+        for batch in batches:
+            out = []
+            for anchor, i, digest, start, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "digest", "start", "hashes")), strict=True):
+                share = int(tx.mix(np.array([i, start], np.int64).view(tx.U)).sum(dtype=tx.U) % tx.U(shares.get(anchor, 1)))
+                h = _unpack(raw).view(np.int64)
+                where = h % parts
+                for group in np.split(np.arange(len(h)), np.flatnonzero(np.diff(where)) + 1) if parts > 1 else [np.arange(len(h))]:
+                    out.append((anchor, int(where[group[0]]), share, i, digest, start + int(group[0]), h[group].astype("<i8").tobytes(), None))
+            yield from _rows(out, _DEALT)
+
+    def judge(batches):
+        """Streams an anchor's known windows, then its rows; gives the intervals that earlier documents cover."""
+        key, held, hashes, ids = None, [], None, None
+        for batch in batches:
+            out = []
+            for anchor, part, share, i, digest, start, raw, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (anchor, part, share) != key:
+                    key, held, hashes, ids = (anchor, part, share), [], None, None
+                if i is None:
+                    held.append((np.frombuffer(raw, "<i8"), np.frombuffer(low, "<i8")))
+                    continue
+                if hashes is None:
+                    hashes, ids = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*held, strict=True) if held else ((), ())))
+                    order = np.argsort(hashes)
+                    hashes, ids, held = hashes[order], ids[order], []
+                own = np.frombuffer(raw, "<i8")
+                at = np.searchsorted(hashes, own)
+                at[at == len(hashes)] = 0
+                gone = (hashes[at] == own) & (ids[at] < i) if len(hashes) else np.zeros(len(own), bool)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
+                out += [(i, digest, start + int(a), start + int(b) - 1 + width) for a, b in edges]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["id", "digest", "start", "stop"])
+
+    packed = least.repartition("anchor", F.pmod("hash", F.lit(parts))).sortWithinPartitions("anchor", F.pmod("hash", F.lit(parts))).mapInArrow(known, _DEALT_DDL)
+    dealt = packed.unionByName(rows.mapInArrow(deal, _DEALT_DDL)).repartition("anchor", "part", "share").sortWithinPartitions("anchor", "part", "share", F.col("id").asc_nulls_first())
+    out = cut(dealt.mapInArrow(judge, "id long, digest long, start long, stop long"), "common")
+    discard(least)
+    return out
 
 
 def _split(batches):

@@ -229,6 +229,20 @@ def test_windows_that_do_not_fit_in_memory(spark):
     assert got == brute.substring(docs)
 
 
+def test_frequent_anchors(spark, monkeypatch):
+    """A passage that most documents share, in rows dealt over shares, and windows over parts."""
+    rng = random.Random(8)
+    shared = prose(rng, 70)
+    docs = [(i, prose(rng, rng.randrange(30)) + " " + shared + " " + (shared if i % 9 == 0 else prose(rng, rng.randrange(40)))) for i in range(120)]
+    df = spark.createDataFrame(docs + [(i, prose(rng, 80)) for i in range(120, 150)], SCHEMA)
+    data = [tuple(r) for r in df.collect()]
+    for top, state in ((512, 1 << 21), (4, 7)):
+        monkeypatch.setattr(substring, "FREQUENT", top)
+        cut = substring.dedup_substrings(df, keep=["doc_id"], state=state)
+        got = rows(cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")), "doc_id", "n_words", "n_removed", "h")
+        assert got == brute.substring(data)
+
+
 def test_word_kernels():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab \n\tÜ漢é\x1c\x85") for _ in range(rng.randrange(40))) for _ in range(200)]
