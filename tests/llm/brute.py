@@ -189,3 +189,29 @@ def substring(docs, width=50):
         gone = {k for i in range(len(w) - width + 1) if low_id[tuple(w[i : i + width])] < d for k in range(i, i + width)}
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
+
+
+def sharding(rows, ends, owner, shards):
+    """(id, size, crc) and place on the ring -> shard, slot, one key at a time: home first, then clockwise."""
+    arcs = [[] for _ in ends]
+    for place, key in rows:
+        at = next((i for i, e in enumerate(ends) if place <= e), 0)
+        arcs[at].append((place, key))
+    for a in arcs:
+        a.sort(key=lambda r: (r[0], (r[1][0] is not None, r[1][0]), *r[1][1:]))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    out, used, over = [], [0] * shards, []
+
+    def give(key, s):
+        out.append((*key, s, used[s]))
+        used[s] += 1
+        room[s] -= 1
+
+    for i, a in enumerate(arcs):
+        for _, key in a:
+            give(key, owner[i]) if room[owner[i]] else over.append((i, key))
+    for i, key in over:
+        while not room[owner[(i + 1) % len(ends)]]:
+            i += 1
+        give(key, owner[(i + 1) % len(ends)])
+    return out

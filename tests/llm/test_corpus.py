@@ -285,6 +285,42 @@ def test_sharding_law(spark):
         assert held == cap
 
 
+def test_sharding_query_on_real_and_awkward_rows(spark, sf_dir, awkward, tmp_path, monkeypatch):
+    """Every column of the query, one key at a time: null texts, ties, and a row that repeats."""
+    import zlib
+
+    spark.createDataFrame([*awkward, awkward[7], (7, "other"), (None, "x"), (None, None)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, bin_keys in ((sf_dir, 1 << 20), (str(tmp_path), 1 << 20), (sf_dir, 1)):
+        monkeypatch.setattr(ring, "BIN_KEYS", bin_keys)
+        monkeypatch.setattr(ring, "VIRTUAL", 64 if bin_keys > 1 else 2)
+        df = spark.read.parquet(f"{folder}/documents.parquet")
+        keys = [(r.p, (r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()))) for r in df.select("doc_id", "text", F.xxhash64("doc_id").alias("p")).collect()]
+        if bin_keys > 1:
+            got = queries.op6_sharding(spark, folder).collect()
+            assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+            want = brute.sharding(keys, *ring.ring(24), 24)
+        else:  # more bins than arcs
+            sized = df.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+            got = ring.assign(sized, "doc_id", 24, 2, ("size", "text_crc32")).collect()
+            want = brute.sharding(keys, *ring.ring(24, 2, len(keys)), 24)
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_token_ids_of_every_character(spark):
+    """The id store's own split against the whole library."""
+    from tokenizers import Tokenizer
+
+    form = queries.tokenizer_file("byte_bpe_50k.json").decode()
+    lib = Tokenizer.from_str(form)
+    chars = [chr(c) for c in [*range(1, 0x3100), *range(0xFB00, 0xFFFF), *range(0x1F300, 0x1F400)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c} {c}{c}1 {c}b  {c}\n" for c in chars]
+    width = 2 if lib.get_vocab_size() < 1 << 16 else 4
+    got = idstore._tokenizer(form, width).encode(texts)
+    bad = [hex(ord(c)) for c, t, g in zip(chars, texts, got, strict=True) if np.frombuffer(g, f"<u{width}").tolist() != lib.encode(t, add_special_tokens=False).ids]
+    assert bad == []
+
+
 def test_perfect_hash_and_shards(spark, tmp_path):
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     h = idstore.key_hash(keys, np.zeros(len(keys)))
