@@ -453,6 +453,39 @@ def test_pipeline_stages(spark, sf_dir):
     assert [(d, ids[d].n_tokens, brute.sha(bytes(ids[d].token_ids)), ids[d].decoded_sha256) for d, *_ in want] == want
 
 
+def test_pipeline_stages_on_awkward_rows(spark, sf_dir, awkward):
+    """Null, empty, long, tied and repeated rows, and columns whose names the operators use, through each stage."""
+    import corpus_pipeline as cp
+
+    names = {"doc_id": "long", "text": "string", "lang": "string", "n_chars": "long", "n_words": "string", "Kept": "string", "id": "string", "n_hit": "string", "gone_": "string", "key_": "string", "pii_spans": "string", "tags": "array<string>"}
+    ddl = ", ".join(f"`{n}` {t}" for n, t in names.items())
+    bench = items(spark, sf_dir)
+    texts = [*awkward, (100, "so " + bench[0][1]), (100, "so " + bench[0][1]), (101, None), (None, awkward[6][1]), (None, None), (102, awkward[13][1] + " me@x.org")]
+    data = [(d, t, "en", None if t is None else len(t), "a", "b", "c", "d", "e", "f", "g", ["x"]) for d, t in texts]
+    frame = spark.createDataFrame(data, ddl)
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, frame, sf_dir)
+        assert got.columns == list(names)
+        after = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+        if name == "quality_rules":
+            assert set(after) <= {(d, t) for (d, t), q in zip(texts, brute.quality(texts), strict=True) if not q[6]} and (None, None) not in after
+        elif name == "near_duplicates":
+            named = [(d, t) for d, t in texts if d is not None]
+            kept = {c for _, _, c in brute.jaccard(named)}
+            want = sorted({(d, t) for d, t in named if d in kept} | {x for x in texts if x[0] is None}, key=str)
+            assert after == want
+        elif name == "benchmark_decontamination":
+            assert after == sorted(((d, t) for (d, t), r in zip(texts, brute.decontamination(texts, bench), strict=True) if not r[2]), key=str)
+        else:
+            assert len(after) == len(texts) and any(t and "<EMAIL>" in t for _, t in after)
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
+    ids = cp.STAGES[-1][1](spark, frame, sf_dir)
+    assert sorted((r.decoded_sha256 for r in ids.collect())) == sorted(brute.sha(t or "") for _, t in texts)
+    none = spark.createDataFrame([], ddl)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0
+
+
 def same_scores(got, want):
     got = sorted(map(tuple, got), key=str)
     want = sorted(want, key=str)
