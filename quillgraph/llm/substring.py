@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
 from quillgraph.llm.runtime import cut, discard, prepare, unclash
-from quillgraph.llm.spread import frequent
 
 #: Words in an anchor gram.
 ANCHOR = 8
@@ -33,8 +32,8 @@ SPLIT = 64
 #: Counters that find frequent anchors, and the share of all rows (one in FREQUENT) that makes a counter frequent.
 SLOTS = 1 << 14
 FREQUENT = 512
-#: The part of a frequent anchor's rows.
-_HOT = -1
+#: The share of rows whose anchor is not frequent.
+_ONE = -1
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -85,73 +84,104 @@ def _unpack(raw: bytes) -> np.ndarray:
     return a.view(np.uint64).reshape(-1)
 
 
+_IN = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("share", pa.int32()), ("id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("hashes", pa.binary()), ("least", pa.binary())])
+_IN_DDL = "anchor long, part int, share int, id long, digest long, start long, hashes binary, least binary"
 _OUT = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary())])
 _OUT_DDL = "id long, digest long, start long, stop long, anchor long, part int, hashes binary"
 
 
-def _count(batches, width: int, state: int):
-    """Streams rows sorted by (anchor, part, id, digest, start); those of frequent anchors pass as they are.
+def _rows(out: list[tuple], schema: pa.Schema):
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
 
-    Gives intervals of removed words (hashes null).  Where an anchor has more than ``state`` windows, the
-    hashes seen so far (id null) and its remaining rows come back, with their hashes, to be dealt again.
+def _spans(gone: np.ndarray, start: int, width: int) -> list[tuple[int, int]]:
+    """The words of consecutive windows that go."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
+    return [(start + int(a), start + int(b) - 1 + width) for a, b in edges]
+
+
+class _Anchor:
+    """One anchor's windows, its documents ascending: a window goes when an earlier document has shown it.
+
+    Where there are more than ``state`` windows, those seen so far (id null) and the remaining rows come
+    back, with their hashes, to be dealt again.
     """
-    key = current = None
-    seen: set = set()
-    new: list = []
-    spilt = False
-    out: list = []
+
+    def __init__(self, key: tuple, width: int, state: int):
+        self.key, self.width, self.state = key, width, state
+        self.current, self.seen, self.new, self.spilt = None, set(), [], False
+
+    def take(self, i, digest, start, raw, _least) -> list[tuple]:
+        again = (i, digest, start, None, *self.key[:2], raw)
+        if self.spilt:
+            return [again]
+        if i != self.current and self.new:
+            for old in self.new:
+                self.seen.update(_unpack(old).tolist())
+            self.new = []
+            if len(self.seen) > self.state:
+                self.spilt = True
+                every = np.fromiter(self.seen, np.uint64, len(self.seen)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+                self.seen = set()
+                return [*((None, None, None, None, *self.key[:2], every[j : j + (1 << 16)].tobytes()) for j in range(0, len(every), 1 << 16)), again]
+        self.current = i
+        if i is None:  # seen in an earlier pass
+            self.seen.update(_unpack(raw).tolist())
+            return []
+        self.new.append(raw)
+        if not self.seen:
+            return []
+        gone = np.fromiter(map(self.seen.__contains__, _unpack(raw).tolist()), bool)
+        return [(i, digest, a, b, self.key[0], None, None) for a, b in _spans(gone, start, self.width)] if gone.any() else []
+
+
+class _Share:
+    """A share of a frequent anchor's rows: first its repeated windows with their smallest documents (id null)."""
+
+    def __init__(self, key: tuple, width: int):
+        self.key, self.width, self.held, self.hashes = key, width, [], None
+
+    def take(self, i, digest, start, raw, least) -> list[tuple]:
+        if i is None:
+            self.held.append((_unpack(raw), np.frombuffer(least, "<i8")))
+            return []
+        if self.hashes is None:
+            h, ids = (np.concatenate([np.zeros(0, t), *(x[k] for x in self.held)]) for k, t in ((0, np.uint64), (1, np.int64)))
+            order = np.argsort(h)
+            self.hashes, self.ids, self.held = h[order], ids[order], []
+        if not len(self.hashes):
+            return []
+        own = _unpack(raw)
+        at = np.searchsorted(self.hashes, own)
+        at[at == len(self.hashes)] = 0
+        gone = (self.hashes[at] == own) & (self.ids[at] < i)
+        return [(i, digest, a, b, self.key[0], None, None) for a, b in _spans(gone, start, self.width)]
+
+
+def _count(batches, width: int, state: int):
+    """Streams rows sorted by (anchor, part, share, id, digest, start); gives intervals of removed words (hashes
+    null), and what is to be dealt again."""
+    group = None
     for batch in batches:
-        cols = [batch.column(c) for c in ("anchor", "part", "id", "digest", "start", "hashes")]
-        near = cols[0].to_numpy()
+        near = batch.column("anchor").to_numpy()
         alone = np.zeros(len(near), bool)  # an anchor that only one row has cannot repeat
         alone[1:-1] = (near[1:-1] != near[:-2]) & (near[1:-1] != near[2:])
-        at = np.flatnonzero(~alone)
-        cols = [c.take(pa.array(at)) for c in cols]
-        anchors, parts, ids, digests, starts = (c.to_pylist() for c in cols[:5])
-        for i in range(len(at)):
-            k, d = (anchors[i], parts[i]), ids[i]
-            if k[1] == _HOT:
-                out.append((d, digests[i], starts[i], None, k[0], _HOT, cols[5][i].as_py()))
-                continue
-            if k != key:
-                key, current, seen, new, spilt = k, None, set(), [], False
-            if spilt:
-                out.append((d, digests[i], starts[i], None, k[0], k[1], cols[5][i].as_py()))
-                continue
-            if d != current and new:
-                for raw in new:
-                    seen.update(_unpack(raw).tolist())
-                new = []
-                if len(seen) > state:
-                    spilt = True
-                    every = np.fromiter(seen, np.uint64, len(seen)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-                    for j in range(0, len(every), 1 << 16):
-                        out.append((None, None, None, None, k[0], k[1], every[j : j + (1 << 16)].tobytes()))
-                    seen = set()
-                    out.append((d, digests[i], starts[i], None, k[0], k[1], cols[5][i].as_py()))
-                    continue
-            current = d
-            raw = cols[5][i].as_py()
-            if d is None:  # seen in an earlier pass
-                seen.update(_unpack(raw).tolist())
-                continue
-            if seen:
-                known = np.fromiter(map(seen.__contains__, _unpack(raw).tolist()), bool)
-                if known.any():
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]]))).reshape(-1, 2)
-                    out += [(d, digests[i], starts[i] + int(a), starts[i] + int(b) - 1 + width, k[0], None, None) for a, b in edges]
-            new.append(raw)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
-            out = []
+        batch = batch.filter(pa.array(~alone))
+        out = []
+        for anchor, part, share, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group is None or group.key != (anchor, part, share):
+                group = _Anchor((anchor, part, share), width, state) if share == _ONE else _Share((anchor, part, share), width)
+            out += group.take(*row)
+        yield from _rows(out, _OUT)
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, width: int, state: int = STATE) -> DataFrame:
     """id, digest (of the text), spans: for each text the maximal intervals [start, stop) of words to remove."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("digest")).filter("id is not null and text is not null")
-
-    hot = _frequent(src, width)
+    hot, windows = _frequent(src, width)
+    least, shares, parts = _least(src, width, hot, windows, state) if hot.any() else (None, {}, 1)
 
     def explode(batches):
         for batch in batches:
@@ -161,137 +191,114 @@ def removals(docs: DataFrame, id_col: str, text_col: str, width: int, state: int
                 if got is None:
                     continue
                 doc, start, anchor, packed, offsets = got
+                own_id, own_digest, common = ids[lo:hi][doc], digests[lo:hi][doc], hot[anchor & (SLOTS - 1)]
                 hashes = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).cast(pa.binary())
-                part = np.where(hot[anchor & (SLOTS - 1)], _HOT, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(part), pa.array(ids[lo:hi][doc]), pa.array(digests[lo:hi][doc]), pa.array(start.astype(np.int64)), hashes],
-                    names=["anchor", "part", "id", "digest", "start", "hashes"],
-                )
-
-    rows = src.mapInArrow(explode, "anchor long, part int, id long, digest long, start long, hashes binary")
-    done, tables = None, []
+                n = len(doc)
+                cols = [pa.array(anchor), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, _ONE, np.int32)), pa.array(own_id), pa.array(own_digest), pa.array(start.astype(np.int64)), hashes, pa.nulls(n, pa.binary())]
+                whole = pa.RecordBatch.from_arrays(cols, schema=_IN)
+                yield whole.filter(pa.array(~common)) if common.any() else whole
+                yield from _rows([r for k in np.flatnonzero(common).tolist() for r in _shared(int(anchor[k]), int(own_id[k]), int(own_digest[k]), int(start[k]), hashes[k].as_py(), shares, parts)], _IN)
+
+    rows = src.mapInArrow(explode, _IN_DDL)
+    if least is not None:
+        rows = rows.unionByName(_known(least, shares, parts))
+    done, tables = None, [] if least is None else [least]
     while True:
-        spread = F.when(F.col("part") == _HOT, F.xxhash64("id", "start")).otherwise(0)
-        dealt = rows.repartition(F.col("anchor"), F.col("part"), spread).sortWithinPartitions("anchor", "part", F.col("id").asc_nulls_first(), "digest", "start")
+        dealt = rows.repartition("anchor", "part", "share").sortWithinPartitions("anchor", "part", "share", F.col("id").asc_nulls_first(), "digest", "start")
         found = cut(dealt.mapInArrow(lambda b: _count(b, width, state), _OUT_DDL), "windows")
         tables.append(found)
         part = found.filter("hashes is null").select("id", "digest", "start", "stop")
-        if done is None:
-            common = found.filter(F.col("hashes").isNotNull() & (F.col("part") == _HOT)).select("anchor", "id", "digest", "start", "hashes")
-            if not common.isEmpty():
-                tables.append(_common(common, width, state))
-                part = part.unionByName(tables[-1])
         done = part if done is None else done.unionByName(part)
-        rest = found.filter(F.col("hashes").isNotNull() & (F.col("part") != _HOT))
+        rest = found.filter("hashes is not null")
         if rest.isEmpty():
             break
-        rows = rest.select("anchor", "part", "id", "digest", "start", "hashes").mapInArrow(_split, "anchor long, part int, id long, digest long, start long, hashes binary")
+        rows = rest.select("anchor", "part", "id", "digest", "start", "hashes").mapInArrow(_split, _IN_DDL)
     # the spans of one text are bounded by its own length
     out = cut(done.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     discard(*tables)
     return out
 
 
-def _frequent(src: DataFrame, width: int) -> np.ndarray:
-    """For each of SLOTS hash values of anchors whether at least one in FREQUENT of all rows has it."""
+def _frequent(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """For each of SLOTS hash values of anchors whether at least one in FREQUENT of all rows has it; and all windows."""
 
     def count(batches):
-        slots = np.zeros(SLOTS, np.int64)
+        slots, windows = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, off in tx.rounds(batch.column("text")):
                 got = runs(data, off, width)
                 if got is not None:
-                    slots += np.bincount(got[2] & (SLOTS - 1), minlength=SLOTS)
+                    at = got[2] & (SLOTS - 1)
+                    slots += np.bincount(at, minlength=SLOTS)
+                    windows += np.bincount(at, np.diff(got[4]) // HASH_BYTES, SLOTS).astype(np.int64)
         at = np.flatnonzero(slots)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(slots[at])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(slots[at]), pa.array(windows[at])], names=["slot", "n", "windows"])
 
-    counted = cut(src.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    counted = cut(src.select("text").mapInArrow(count, "slot int, n long, windows long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")), "slots")
+    total, windows = counted.agg(F.sum("n"), F.sum("windows")).first()
     hot = np.zeros(SLOTS, bool)
-    if total > FREQUENT:
+    if (total or 0) > FREQUENT:
         for r in counted.filter(F.col("n") * FREQUENT >= total).collect():  # at most FREQUENT rows
             hot[r.slot] = True
     discard(counted)
-    return hot
+    return hot, windows or 0
 
 
-def _single(batches):
-    """anchor, hash, id of each window of rows with packed hashes."""
-    for batch in batches:
-        raw = batch.column("hashes").to_pylist()
-        n = np.array([len(r) // HASH_BYTES for r in raw])
-        if n.sum():
-            anchor, ids = (np.repeat(batch.column(c).to_numpy(), n) for c in ("anchor", "id"))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(_unpack(b"".join(raw)).view(np.int64)), pa.array(ids)], names=["anchor", "hash", "id"])
-
-
-_DEALT = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("share", pa.int32()), ("id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("hashes", pa.binary()), ("least", pa.binary())])
-_DEALT_DDL = "anchor long, part int, share int, id long, digest long, start long, hashes binary, least binary"
+def _least(src: DataFrame, width: int, hot: np.ndarray, windows: int, state: int) -> tuple[DataFrame, dict[int, int], int]:
+    """The repeated windows of frequent anchors with the smallest document of each; the shares over which the rows
+    of some anchors are dealt; and the parts over which the windows of each are, so that one fits in memory."""
 
+    def explode(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in tx.rounds(batch.column("text")):
+                got = runs(data, off, width)
+                if got is None:
+                    continue
+                doc, _, anchor, packed, offsets = got
+                n = np.diff(offsets) // HASH_BYTES
+                take = np.repeat(hot[anchor & (SLOTS - 1)], n)
+                if take.any():
+                    cols = np.repeat(anchor, n)[take], _unpack(packed.tobytes()).view(np.int64)[take], np.repeat(ids[lo:hi][doc], n)[take]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "hash", "id"])
+
+    every = src.select("id", "text").mapInArrow(explode, "anchor long, hash long, id long")
+    found = cut(every.groupBy("anchor", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")), "least")
+    of = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.when(F.col("least") < F.col("most"), 1)).alias("kept"))
+    # an anchor has several shares when it holds over one in FREQUENT of all windows: at most FREQUENT do
+    shares = {r.anchor: -(-r.n * FREQUENT // windows) for r in of.filter(F.col("n") * FREQUENT > windows).collect()}
+    parts = max(1, -(-(of.agg(F.max("kept")).first()[0] or 1) // state))
+    return found, shares, parts
+
+
+def _known(least: DataFrame, shares: dict[int, int], parts: int) -> DataFrame:
+    """The repeated windows of each frequent anchor and part, packed, once for each share."""
+
+    def pack(batches):
+        for batch in batches:
+            anchor, hashes, ids = (batch.column(c).to_numpy() for c in ("anchor", "hash", "least"))
+            where = hashes % parts
+            heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (where[1:] != where[:-1])])) if len(anchor) else np.zeros(0, int)
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(anchor)], strict=True):
+                packed = _packed(hashes[a:b].view(np.uint64)), ids[a:b].astype("<i8").tobytes()
+                yield from _rows([(int(anchor[a]), int(where[a]), s, None, None, None, *packed) for s in range(shares.get(int(anchor[a]), 1))], _IN)
 
-def _rows(out: list[tuple], schema: pa.Schema):
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    ranges = least.filter("least < most").select("anchor", "hash", "least", F.pmod("hash", F.lit(parts)).alias("part"))
+    return ranges.repartition("anchor", "hash").sortWithinPartitions("anchor", "part").select("anchor", "hash", "least").mapInArrow(pack, _IN_DDL)
 
 
-def _common(rows: DataFrame, width: int, state: int) -> DataFrame:
-    """Of stored rows of frequent anchors the windows that a smaller id has as well, as intervals of words."""
-    shares = dict(frequent(rows, "anchor"))  # of bounded size
-    found = rows.mapInArrow(_single, "anchor long, hash long, id long").groupBy("anchor", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    least = cut(found.filter("least < most").drop("most"), "least")
-    parts = -(-(least.groupBy("anchor").count().agg(F.max("count")).first()[0] or 1) // state)
+def _packed(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
-    def known(batches):
-        """The repeated windows of each anchor and part, packed, once for each share."""
-        for batch in batches:
-            anchor, hashes, ids = (batch.column(c).to_numpy() for c in ("anchor", "hash", "least"))
-            where = hashes % parts
-            heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (where[1:] != where[:-1])])) if len(anchor) else []
-            for a, b in zip(heads, np.append(heads[1:], len(anchor)), strict=True):
-                packed = hashes[a:b].astype("<i8").tobytes(), ids[a:b].astype("<i8").tobytes()
-                yield from _rows([(int(anchor[a]), int(where[a]), s, None, None, None, *packed) for s in range(shares.get(int(anchor[a]), 1))], _DEALT)
 
-    def deal(batches):
-        """The rows' windows by part, each row to one share of its anchor; consecutive windows stay together."""
-        for batch in batches:
-            out = []
-            for anchor, i, digest, start, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "digest", "start", "hashes")), strict=True):
-                share = int(tx.mix(np.array([i, start], np.int64).view(tx.U)).sum(dtype=tx.U) % tx.U(shares.get(anchor, 1)))
-                h = _unpack(raw).view(np.int64)
-                where = h % parts
-                for group in np.split(np.arange(len(h)), np.flatnonzero(np.diff(where)) + 1) if parts > 1 else [np.arange(len(h))]:
-                    out.append((anchor, int(where[group[0]]), share, i, digest, start + int(group[0]), h[group].astype("<i8").tobytes(), None))
-            yield from _rows(out, _DEALT)
-
-    def judge(batches):
-        """Streams an anchor's known windows, then its rows; gives the intervals that earlier documents cover."""
-        key, held, hashes, ids = None, [], None, None
-        for batch in batches:
-            out = []
-            for anchor, part, share, i, digest, start, raw, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (anchor, part, share) != key:
-                    key, held, hashes, ids = (anchor, part, share), [], None, None
-                if i is None:
-                    held.append((np.frombuffer(raw, "<i8"), np.frombuffer(low, "<i8")))
-                    continue
-                if hashes is None:
-                    hashes, ids = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*held, strict=True) if held else ((), ())))
-                    order = np.argsort(hashes)
-                    hashes, ids, held = hashes[order], ids[order], []
-                own = np.frombuffer(raw, "<i8")
-                at = np.searchsorted(hashes, own)
-                at[at == len(hashes)] = 0
-                gone = (hashes[at] == own) & (ids[at] < i) if len(hashes) else np.zeros(len(own), bool)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-                out += [(i, digest, start + int(a), start + int(b) - 1 + width) for a, b in edges]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["id", "digest", "start", "stop"])
-
-    packed = least.repartition("anchor", F.pmod("hash", F.lit(parts))).sortWithinPartitions("anchor", F.pmod("hash", F.lit(parts))).mapInArrow(known, _DEALT_DDL)
-    dealt = packed.unionByName(rows.mapInArrow(deal, _DEALT_DDL)).repartition("anchor", "part", "share").sortWithinPartitions("anchor", "part", "share", F.col("id").asc_nulls_first())
-    out = cut(dealt.mapInArrow(judge, "id long, digest long, start long, stop long"), "common")
-    discard(least)
-    return out
+def _shared(anchor: int, i: int, digest: int, start: int, raw: bytes, shares: dict[int, int], parts: int) -> list[tuple]:
+    """The row of a frequent anchor at its share, its windows by part; consecutive windows stay together."""
+    share = int(tx.mix(np.array([i, start], np.int64).view(tx.U)).sum(dtype=tx.U) % tx.U(shares.get(anchor, 1)))
+    if parts == 1:
+        return [(anchor, 0, share, i, digest, start, raw, None)]
+    h = _unpack(raw)
+    where = (h % tx.U(parts)).astype(np.int64)
+    return [(anchor, int(where[g[0]]), share, i, digest, start + int(g[0]), _packed(h[g]), None) for g in np.split(np.arange(len(h)), np.flatnonzero(np.diff(where)) + 1)]
 
 
 def _split(batches):
@@ -305,11 +312,8 @@ def _split(batches):
                 mine = np.flatnonzero(to == s)
                 # rows keep runs of consecutive windows, so that intervals still start at their place
                 for group in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1):
-                    packed = h[group].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-                    out.append((r["anchor"], r["part"] * SPLIT + int(s) + 1, r["id"], r["digest"], None if r["start"] is None else r["start"] + int(group[0]), packed))
-        if out:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "part", "id", "digest", "start", "hashes"])
+                    out.append((r["anchor"], r["part"] * SPLIT + int(s) + 1, _ONE, r["id"], r["digest"], None if r["start"] is None else r["start"] + int(group[0]), _packed(h[group]), None))
+        yield from _rows(out, _IN)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, keep: list[str] | None = None, state: int = STATE) -> DataFrame:
