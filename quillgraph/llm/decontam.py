@@ -78,11 +78,11 @@ class Matcher:
         if found:
             self.machine.make_automaton()
 
-    def scan(self, norm: np.ndarray, new_off: np.ndarray, place: np.ndarray, w: tx.Words, hashes: np.ndarray):
+    def scan(self, data: np.ndarray, off: np.ndarray, norm: np.ndarray, new_off: np.ndarray, place: np.ndarray, w: tx.Words):
         """(text, first word, end word, item) of each run of words that windows of an item cover."""
         if not self.grams:
             return
-        reach = self.window - self.gram
+        reach, at_hand = self.window - self.gram, -1
         for end, k in self.machine.iter(norm.tobytes().decode("latin-1")):
             size, n, places = self.grams[k]
             at = end - size + 1
@@ -93,9 +93,14 @@ class Matcher:
                 if b - a < self.window:
                     yield d, first, first + n, i
                     continue
-                back, ahead = min(reach, q - a, first - int(w.first[d])), min(reach, b - q - n, int(w.first[d + 1]) - first - n)
-                left = _same(hashes[first - back : first][::-1], self.hashes[q - back : q][::-1])
-                right = _same(hashes[first + n : first + n + ahead], self.hashes[q + n : q + n + ahead])
+                if d != at_hand:  # words are hashed only of texts with hits
+                    at_hand, begin, stop = d, int(w.first[d]), int(w.first[d + 1])
+                    own = tx.Words(w.starts[begin:stop] - off[d], w.ends[begin:stop] - off[d], np.array([0, stop - begin]))
+                    hashes = tx.hash_words(tx.FOLD[data[off[d] : off[d + 1]]], own)
+                at_word = first - begin
+                back, ahead = min(reach, q - a, at_word), min(reach, b - q - n, stop - first - n)
+                left = _same(hashes[at_word - back : at_word][::-1], self.hashes[q - back : q][::-1])
+                right = _same(hashes[at_word + n : at_word + n + ahead], self.hashes[q + n : q + n + ahead])
                 if left + n + right >= self.window:
                     yield d, first - left, first + n + right, i
 
@@ -196,7 +201,7 @@ def _scan(docs: DataFrame, text_col: str, through: list[str], new: dict[str, T.D
                 delta[np.searchsorted(w.starts, off[d] + x["end"])] -= 1
         if path is not None:
             m = _matcher(path)
-            for d, first, end, i in m.scan(norm, new_off, place, w, tx.hash_words(tx.FOLD[data], w)):
+            for d, first, end, i in m.scan(data, off, norm, new_off, place, w):
                 delta[first] += 1
                 delta[end] -= 1
                 items.setdefault(d, set()).add(m.ids[i])
