@@ -486,6 +486,24 @@ def test_pipeline_stages_on_awkward_rows(spark, sf_dir, awkward):
         assert stage(spark, none, sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, sf_dir, name):
+    """Every column of the queries that SQL can express, in DuckDB on the same tables."""
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(sf_dir):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{sf_dir}/{f}')")
+    cur = con.execute(queries.oracle_sql()[name])
+    order = sorted(d[0] for d in cur.description)
+    at = [[d[0] for d in cur.description].index(c) for c in order]
+    df = queries.queries()[name](spark, sf_dir)
+    assert sorted(df.columns) == order
+    assert sorted((tuple(r) for r in df.select(*order).collect()), key=str) == sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=str)
+
+
 def same_scores(got, want):
     got = sorted(map(tuple, got), key=str)
     want = sorted(want, key=str)
