@@ -102,6 +102,21 @@ def constant_kind(c: Column) -> Column:
     )
 
 
+def syntax_text(c: Column, namespace: str) -> Column:
+    """A rendered constant as a syntax tree shows it: nodes as IRIs in angle brackets, literals as they are."""
+    return F.when(constant_kind(c).isin("entity", "class"), F.concat(F.lit(f"<{namespace}"), c, F.lit(">"))).otherwise(c)
+
+
+def syntax_value(c: Column, namespace: str) -> Column:
+    """The value of a constant in a syntax tree: nodes with the namespace, numbers and times without their type, strings without their language."""
+    kind = constant_kind(c)
+    return (
+        F.when(kind.isin("entity", "class"), F.concat(F.lit(namespace), c))
+        .when(kind.isin("quantity", "time"), F.split(c, r"\^\^")[0])
+        .when(kind == "string", F.regexp_replace(c, "@en$", ""))
+    )
+
+
 def render(kind: Column, value: Column, datatype: Column, lang: Column) -> Column:
     """A binding as text: IRIs bare, literals quoted with datatype or language."""
     quoted = F.when(value.rlike('^".*"$'), value).otherwise(F.concat(F.lit('"'), value, F.lit('"')))

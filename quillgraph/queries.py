@@ -6,6 +6,7 @@ form ``kg:class/key``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from quillgraph.plans import querygraph, sexpr
 from quillgraph.plans import rewrite as rewrites
 from quillgraph.plans.compiler import Engine
 from quillgraph.plans.parser import parse, parse_filter, parse_patterns
+from quillgraph.plans.printer import query as show_query
+from quillgraph.scratch import shared_folder
 from quillgraph.sources import access, files
 from quillgraph.sources.registry import sales_graph
 
@@ -1065,6 +1068,75 @@ def _o19(spark, sf_dir):
     return synthesis.apply_choice(candidates, spark.createDataFrame([("a", "I choose 2."), ("b", "none")], "qid string, reply string"))
 
 
+# ---- files, bindings and reports
+@query("a9_binding_values", "SELECT event_id, value AS number, NULL::VARCHAR AS text FROM events UNION ALL SELECT -event_id, NULL, event_type FROM events")
+def _a9(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    typed = e.select("event_id", F.lit("typed-literal").alias("k"), F.col("value").cast("string").alias("v"), F.lit("http://www.w3.org/2001/XMLSchema#double").alias("dt"))
+    plain = e.select(-F.col("event_id"), F.lit("literal"), "event_type", F.lit(None).cast("string"))
+    cells = (F.col("k"), F.col("v"), F.col("dt"))
+    return typed.union(plain).select("event_id", files.binding_number(*cells).alias("number"), files.binding_text(*cells).alias("text"))
+
+
+@query("a13_roles", "SELECT 'nation' AS domain, 'in_region' AS relation, 'region' AS \"range\"")
+def _a13(spark, sf_dir):
+    return files.parse_roles(spark.createDataFrame([("nation  in_region\tregion",), ("",), ("short line",)], "value string"))
+
+
+@query("a14_methods", "SELECT * FROM (VALUES ('/x/set_BEAM_gold.json', 'beam, gold links'), ('/x/beam.json', 'beam'), ('/x/other.json', 'plain')) v(path, method)")
+def _a14(spark, sf_dir):
+    rows = spark.createDataFrame([("/x/set_BEAM_gold.json",), ("/x/beam.json",), ("/x/other.json",)], "path string")
+    return rows.select("path", files.method_of(F.col("path"), [("beam.*gold", "beam, gold links"), ("beam", "beam")], "plain").alias("method"))
+
+
+@query("a15_markdown", "SELECT '| r_name | n |' AS value UNION ALL SELECT '|---|---|' UNION ALL SELECT '| ' || r_name || ' | ' || count(*) || ' |' FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def _a15(spark, sf_dir):
+    r = engine(spark, sf_dir).sparql("SELECT ?r_name (COUNT(?x) AS ?n) WHERE { ?x :in_region ?r . ?r :name ?r_name } GROUP BY ?r_name")
+    return files.markdown_lines(r)
+
+
+@query("a17_cached_results", "SELECT 'kg:nation/' || n_nationkey AS n FROM nation WHERE n_regionkey = 1")
+def _a17(spark, sf_dir):
+    cache = access.ResultCache(engine(spark, sf_dir), f"{shared_folder(spark)}/results-{uuid.uuid4().hex}")
+    cache.get("SELECT ?n WHERE { ?n :in_region <kg:region/1> }")
+    return cache.get("SELECT  ?n\nWHERE { ?n :in_region <kg:region/1> }")
+
+
+@query("j5_syntax_constants", "SELECT * FROM (VALUES ('m.0a', '<kg:m.0a>', 'kg:m.0a'), ('\"5\"^^<http://www.w3.org/2001/XMLSchema#integer>', '\"5\"^^<http://www.w3.org/2001/XMLSchema#integer>', '\"5\"'), ('\"x\"@en', '\"x\"@en', '\"x\"')) v(c, text, value)")
+def _j5(spark, sf_dir):
+    rows = spark.createDataFrame([("m.0a",), ('"5"^^<http://www.w3.org/2001/XMLSchema#integer>',), ('"x"@en',)], "c string")
+    return rows.select("c", words.syntax_text(F.col("c"), "kg:").alias("text"), words.syntax_value(F.col("c"), "kg:").alias("value"))
+
+
+@query("k16_missing_is_zero", "SELECT round(avg(coalesce(s, 0.0)), 9) AS mean, count(*) - count(s) AS n_missing FROM documents LEFT JOIN (SELECT doc_id, max(quality / 2.0) AS s FROM labels GROUP BY 1) USING (doc_id)")
+def _k16(spark, sf_dir):
+    scores = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") / 2.0).alias("s"))
+    return reports.per_gold_mean(scores, table(spark, sf_dir, "documents"), "doc_id", "s", 0.0, F.max).withColumn("mean", F.round("mean", 9))
+
+
+@query("m4_edit_distance_form", "SELECT 'SELECT DISTINCT (?v1 AS ?v2) WHERE { ?v0 kg:of_part ?v1 . ?v0 kg:of_supplier kg:supplier/1 . }' AS query")
+def _m4(spark, sf_dir):
+    q = rewrites.for_edit_distance(sexpr.to_query("(JOIN (R of_part) (JOIN of_supplier supplier/1))"))
+    return spark.createDataFrame([(show_query(q).replace("<kg:supplier/1>", "kg:supplier/1"),)], "query string")
+
+
+@query("o5_ranked_relations", "SELECT * FROM (VALUES (0, 'of_supplier'), (1, 'of_part')) v(i, relation)")
+def _o5(spark, sf_dir):
+    best = treesearch.by_words("which supplier delivered it", ["of_part", "of_supplier", "quantity"], 2)
+    return spark.createDataFrame(list(enumerate(best)), "i int, relation string")
+
+
+@query("o14_superlatives", "SELECT * FROM (VALUES (0, 'totalprice', true), (1, 'totalprice', false), (2, 'orderdate', true), (3, 'orderdate', false)) v(i, predicate, descending)")
+def _o14(spark, sf_dir):
+    found = synthesis.superlatives(engine(spark, sf_dir), [querygraph.QueryGraph("x", [("placed_by", "x", "kg:customer/1")])], ["totalprice", "orderdate"])
+    return spark.createDataFrame([(i, g.arg[0], g.arg[2]) for i, g in enumerate(found)], "i int, predicate string, descending boolean")
+
+
+@query("o16_legal", "SELECT * FROM (VALUES (1.0::DOUBLE, 1.0::DOUBLE, true), (0.2, 1.0, true), (1.0, 0.5, false)) v(precision, recall, legal)")
+def _o16(spark, sf_dir):
+    return spark.createDataFrame([(p, r, synthesis.is_legal(p, r)) for p, r in ((1.0, 1.0), (0.2, 1.0), (1.0, 0.5))], "precision double, recall double, legal boolean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

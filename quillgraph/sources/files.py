@@ -43,8 +43,13 @@ def both_ways(t: DataFrame) -> DataFrame:
 
 def read_roles(spark: SparkSession, path: str) -> DataFrame:
     """domain, relation, range of a table parted by white space."""
+    return parse_roles(spark.read.text(path))
+
+
+def parse_roles(lines: DataFrame) -> DataFrame:
+    """The same of a table of lines (value)."""
     parts = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter(F.size(parts) >= 3).select(parts[0].alias("domain"), parts[1].alias("relation"), parts[2].alias("range"))
+    return lines.filter(F.size(parts) >= 3).select(parts[0].alias("domain"), parts[1].alias("relation"), parts[2].alias("range"))
 
 
 def method_of(path: Column, methods: list[tuple[str, str]], other: str | None = None) -> Column:
@@ -84,6 +89,11 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
 
 def write_markdown(df: DataFrame, path: str) -> None:
     """A report table as Markdown, one file: for results of a few rows."""
+    markdown_lines(df).coalesce(1).write.mode("overwrite").text(path)
+
+
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """value: the lines of a Markdown table, its head first."""
     head = df.sparkSession.createDataFrame([("| " + " | ".join(df.columns) + " |",), ("|" + "---|" * len(df.columns),)], "value string")
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)), F.lit(" |"))
-    head.unionByName(df.select(cells.alias("value"))).coalesce(1).write.mode("overwrite").text(path)
+    return head.unionByName(df.select(cells.alias("value")))

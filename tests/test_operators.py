@@ -82,6 +82,8 @@ def test_graph_distance_and_isomorphism():
         assert editdist.isomorphic(g, h)
         assert editdist.graph_distance(g, h) == 0
         assert editdist.graph_distance(g, LabelGraph([], [])) == g.cost()
+    many = LabelGraph(["x"] * 8, [(i, "p", (i + 1) % 8) for i in range(8)])
+    assert editdist.graph_distance(many, LabelGraph(["y"] * 8, []), 5) is None and editdist.normalised_graph_distance(many, LabelGraph(["y"] * 8, []), 5) == 1.0
     assert not editdist.isomorphic(LabelGraph(["x", "y"], [(0, "p", 1)]), LabelGraph(["x", "y"], [(1, "p", 0)]))
 
 
