@@ -186,7 +186,11 @@ def decode(docs: DataFrame, rank_file: bytes, pattern: str, ids_col: str = "toke
 
 
 def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encodes and decodes each whole text: the columns ``keep``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+    """Encodes and decodes each whole text: the columns ``keep``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    Null and empty texts have no ids, and the digests of no bytes; rows that repeat are encoded each for itself;
+    a new column whose name is taken gets underscores.
+    """
 
     def make(bpe, texts):
         rows = []
@@ -202,7 +206,11 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, text_col: str =
 
 def encode_checked(docs: DataFrame, rank_file: bytes, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep``, ``n_tokens``, ``token_ids`` (little-endian unsigned 32-bit integers) and
-    ``decoded_sha256`` of the bytes that the ids decode to."""
+    ``decoded_sha256`` of the bytes that the ids decode to.
+
+    Null and empty texts have no ids; rows that repeat are encoded each for itself; a new column whose name is
+    taken gets underscores.
+    """
 
     def make(bpe, texts):
         rows = []

@@ -227,6 +227,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, where: str, id_col: str =
     Gives shard (its place in the order), path, n_docs, n_ids.  A null text is empty; null keys come
     first; rows that repeat a key are kept as copies 0, 1, 2 ... of it.  Each attempt of a task writes
     a file of its own, and only files of attempts that ended are listed, so a lost executor does no harm.
+    Keys are taken as 64-bit integers; one that is none raises.  An empty table has no shards.
     """
     spark = docs.sparkSession
     prepare(spark)

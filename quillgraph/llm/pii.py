@@ -227,8 +227,9 @@ def fit(counts: list[tuple[int, str, int]], rounds: int = 50) -> SpanModel:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    """Fits the model on the votes over all of ``docs``.
+    """Fits the model on the votes over all of ``docs``; without candidates its weights are empty and no loose span counts.
 
+    Null and empty texts have no candidates; rows that repeat vote each for itself.
     What comes to the driver is one row for each kind and combination of votes that occurs: at most
     4 x 3**5 x 3 rows for any corpus.
     """
@@ -275,7 +276,11 @@ def spell(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
-    """``docs`` with each span of its text replaced by its kind in angle brackets; overlapping spans become one."""
+    """``docs`` with each span of its text replaced by its kind in angle brackets; overlapping spans become one.
+
+    Of overlapping spans the first gives the kind, the earlier listed where two begin together.  Null and empty
+    texts stay as they are; rows that repeat change alike; names of columns do not matter.
+    """
     found = detect(docs, text_col, model)
     spans = found.columns[-1]
     t = F.col(text_col)

@@ -154,7 +154,11 @@ def score(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its own columns alone."""
+    """The rows of ``docs`` that the rules keep, with its own columns alone.
+
+    Null, empty and blank texts fail the base rules and go; rows that repeat are judged each for itself; an
+    empty table stays one; names of columns do not matter.
+    """
     columns = docs.columns
     scored = score(docs, text_col, rules=rules)
     kept = scored.columns[-1]
