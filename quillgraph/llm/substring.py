@@ -32,6 +32,8 @@ SPLIT = 64
 #: Counters that find frequent anchors, and the share of all rows (one in FREQUENT) that makes a counter frequent.
 SLOTS = 1 << 14
 FREQUENT = 512
+#: Windows of frequent anchors that a task holds before it combines them.
+COMBINE = 1 << 20
 #: The share of rows whose anchor is not frequent.
 _ONE = -1
 
@@ -248,7 +250,10 @@ def _least(src: DataFrame, width: int, hot: np.ndarray, windows: int, state: int
     """The repeated windows of frequent anchors with the smallest document of each; the shares over which the rows
     of some anchors are dealt; and the parts over which the windows of each are, so that one fits in memory."""
 
-    def explode(batches):
+    def gather(batches):
+        """Each task's windows of frequent anchors, combined before they are shuffled."""
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for lo, hi, data, off in tx.rounds(batch.column("text")):
@@ -259,11 +264,20 @@ def _least(src: DataFrame, width: int, hot: np.ndarray, windows: int, state: int
                 n = np.diff(offsets) // HASH_BYTES
                 take = np.repeat(hot[anchor & (SLOTS - 1)], n)
                 if take.any():
-                    cols = np.repeat(anchor, n)[take], _unpack(packed.tobytes()).view(np.int64)[take], np.repeat(ids[lo:hi][doc], n)[take]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "hash", "id"])
-
-    every = src.select("id", "text").mapInArrow(explode, "anchor long, hash long, id long")
-    found = cut(every.groupBy("anchor", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")), "least")
+                    own = np.repeat(ids[lo:hi][doc], n)[take]
+                    held.append((np.repeat(anchor, n)[take], _unpack(packed.tobytes()).view(np.int64)[take], own, own, np.ones(len(own), np.int64)))
+                    size += len(own)
+                    if size > COMBINE:
+                        held = [_combined(held)]
+                        size = len(held[0][0])
+                        if 2 * size > COMBINE:
+                            yield _table(held[0])
+                            held, size = [], 0
+        if held:
+            yield _table(_combined(held))
+
+    each = src.select("id", "text").mapInArrow(gather, "anchor long, hash long, least long, most long, n long")
+    found = cut(each.groupBy("anchor", "hash").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")), "least")
     of = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.when(F.col("least") < F.col("most"), 1)).alias("kept"))
     # an anchor has several shares when it holds over one in FREQUENT of all windows: at most FREQUENT do
     shares = {r.anchor: -(-r.n * FREQUENT // windows) for r in of.filter(F.col("n") * FREQUENT > windows).collect()}
@@ -271,6 +285,19 @@ def _least(src: DataFrame, width: int, hot: np.ndarray, windows: int, state: int
     return found, shares, parts
 
 
+def _combined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One entry for each anchor and hash: least and most id, and how many."""
+    anchor, hashes, low, high, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((hashes, anchor))
+    anchor, hashes = anchor[order], hashes[order]
+    head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])]))
+    return anchor[head], hashes[head], np.minimum.reduceat(low[order], head), np.maximum.reduceat(high[order], head), np.add.reduceat(n[order], head)
+
+
+def _table(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "hash", "least", "most", "n"])
+
+
 def _known(least: DataFrame, shares: dict[int, int], parts: int) -> DataFrame:
     """The repeated windows of each frequent anchor and part, packed, once for each share."""
 

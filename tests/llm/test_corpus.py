@@ -238,6 +238,7 @@ def test_frequent_anchors(spark, monkeypatch):
     data = [tuple(r) for r in df.collect()]
     for top, state in ((512, 1 << 21), (4, 7)):
         monkeypatch.setattr(substring, "FREQUENT", top)
+        monkeypatch.setattr(substring, "COMBINE", 1 << 20 if top > 4 else 50)
         cut = substring.dedup_substrings(df, keep=["doc_id"], state=state)
         got = rows(cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")), "doc_id", "n_words", "n_removed", "h")
         assert got == brute.substring(data)
