@@ -163,6 +163,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: Marks that end a word and are a piece of their own.
+_STOPS = frozenset(".,;:!?")
+
+
 class _Pieces:
     """Ids of chunks from those of their pieces, which the library's model makes."""
 
@@ -180,6 +184,8 @@ class _Pieces:
         self.code = "H" if width == 2 else "I"
         self.split = regex.compile(spelled_out(BYTE_LEVEL)).findall
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
+        self.wordy = any(m.isalpha() for m in self.marks)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -192,7 +198,9 @@ class _Pieces:
     def piece(self, p: str) -> bytes:
         out = self.old.get(p)
         if out is None:
-            out = self.pack([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+            # ASCII letters stand for themselves, and a space can only come first
+            plain = self.space + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(self.letters)
+            out = self.pack([t.id for t in self.model.tokenize(plain)])
         if len(p) < 64:
             if len(self.known) >= PIECES:
                 self.known, self.old = {}, self.known
@@ -200,6 +208,13 @@ class _Pieces:
         return out
 
     def chunk(self, c: str) -> bytes:
+        if c[:1] == " " and not self.wordy:
+            known, body = self.known, c[1:]
+            if body.isalpha():  # one piece: a space and letters
+                return known.get(c) or self.piece(c)
+            if body[-1:] in _STOPS and body[:-1].isalpha():  # two: the mark is one of its own
+                head, stop = c[:-1], body[-1]
+                return (known.get(head) or self.piece(head)) + (known.get(stop) or self.piece(stop))
         if any(m in c for m in self.marks):  # a special token's own text
             return self.pack(self.whole.encode(c, add_special_tokens=False).ids)
         known = self.known
