@@ -434,12 +434,13 @@ def statement_steps(g: Graph, anchors: DataFrame, cls: str, subject: str, main:
                 back.append((rows, {f"^{mark[p]}/^p:{main}": _present(g, own[subject])}))
         direct_near += [(df, {f"p:{p}/ps:{p}": v for p, v in cells.items()}) for df, cells in _ahead(g, c, keys)]
         direct_back += [(df, {f"^ps:{p[1:]}/^p:{p[1:]}": v for p, v in cells.items()}) for df, cells in _back(g, c, keys, {cls})]
-    found = [_counted(part, g.spark).withColumn("way", F.lit(way)) for way, part in (("nn", near), ("rn", between), ("rr", back))]
-    for way, place, direct in (("nn", 0, direct_near), ("rr", 2, direct_back)):
-        other = _counted(direct, g.spark).withColumn("way", F.lit(way))
-        none = found[place].agg(F.count("*").alias("some_"))
-        found.append(other.join(F.broadcast(none.filter("some_ = 0")), F.lit(True), "left_semi"))
-    return reduce(DataFrame.unionByName, found).select("way", "relation", "n_anchors")
+    out = []
+    for way, part, direct in (("nn", near, direct_near), ("rn", between, []), ("rr", back, direct_back)):
+        rows = _counted(part, g.spark)
+        if direct and (not part or rows.isEmpty()):  # a table of the schema's size
+            rows = _counted(direct, g.spark)
+        out.append(rows.withColumn("way", F.lit(way)))
+    return reduce(DataFrame.unionByName, out).select("way", "relation", "n_anchors")
 
 
 def relations_to(g: Graph, anchors: DataFrame, constant: str) -> DataFrame:
