@@ -1137,6 +1137,94 @@ def _o16(spark, sf_dir):
     return spark.createDataFrame([(p, r, synthesis.is_legal(p, r)) for p, r in ((1.0, 1.0), (0.2, 1.0), (1.0, 0.5))], "precision double, recall double, legal boolean")
 
 
+# ---- text operators and scores over whole tables
+@query("b29_kinds_of_keys", "SELECT c_custkey AS k, ['entity', 'class', 'quantity', 'time', 'string'][1 + c_custkey % 5] AS kind FROM customer")
+def _b29t(spark, sf_dir):
+    xsd, k = "http://www.w3.org/2001/XMLSchema#", F.col("c_custkey").cast("string")
+    forms = F.array(F.concat(F.lit("m.0"), k), F.lit("people.person"), F.concat(F.lit('"'), k, F.lit(f'"^^<{xsd}integer>')), F.concat(F.lit('"'), k, F.lit(f'"^^<{xsd}gYear>')), F.concat(F.lit('"'), k, F.lit('"@en')))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), words.constant_kind(F.get(forms, (F.col("c_custkey") % 5).cast("int"))).alias("kind"))
+
+
+@query("b30_compare_values", "SELECT l_quantity AS q, any_value(CASE WHEN abs(l_quantity - 25) < 0.001 THEN 'EQ,GE,LE' WHEN l_quantity < 25 THEN 'LE,LT' ELSE 'GE,GT' END) AS held, count(*) AS n FROM lineitem GROUP BY 1")
+def _b30t(spark, sf_dir):
+    held = metrics.holding_comparators(F.concat(F.lit('"'), F.col("l_quantity").cast("string"), F.lit('"')), F.lit('"25"'))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q"), F.array_join(F.array_sort(held), ",").alias("held"))
+    return rows.groupBy("q").agg(F.min("held").alias("held"), F.count("*").alias("n"))
+
+
+@query("b30_compare_times", "SELECT o_orderkey, CASE WHEN o_orderdate = TIMESTAMP '1998-01-01' THEN 'EQ,GE,LE' WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'LE,LT' ELSE 'GE,GT' END AS held FROM (SELECT o_orderkey, date_trunc('day', o_orderdate) AS o_orderdate FROM orders)")
+def _b30d(spark, sf_dir):
+    held = metrics.holding_comparators(F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"')), F.lit('"1998"'))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(held), ",").alias("held"))
+
+
+@query("j6_rendered_values", """SELECT c_custkey, '"' || c_acctbal || '"^^<d>' AS number, '"' || c_mktsegment || '"@en' AS word, 'kg:customer/' || c_custkey AS node FROM customer""")
+def _j6t(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        words.render(F.lit("typed-literal"), F.col("c_acctbal").cast("string"), F.lit("d"), none).alias("number"),
+        words.render(F.lit("literal"), F.col("c_mktsegment"), none, F.lit("en")).alias("word"),
+        words.render(F.lit("uri"), F.concat(F.lit("kg:customer/"), F.col("c_custkey").cast("string")), none, none).alias("node"),
+    )
+
+
+@query("j8_expanded_months", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS t, strftime(o_orderdate, '%Y-%m') || ',' || strftime(o_orderdate, '%Y-%m-01') || ',' || strftime(last_day(o_orderdate), '%Y-%m-%d') AS v FROM orders")
+def _j8t(spark, sf_dir):
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    return table(spark, sf_dir, "orders").select(month.alias("t")).distinct().select("t", F.array_join(words.expand_time(F.col("t")), ",").alias("v"))
+
+
+@query("j10_triggers_of_texts", "SELECT doc_id, ['COUNT', 'ARG', 'COMPARE', '', 'COMPARE,COUNT,ARG'][1 + doc_id % 5] AS triggers FROM documents")
+def _j10t(spark, sf_dir):
+    phrases = F.array(*(F.lit(p) for p in ("How many rows are there?", "Which has the maximum price?", "Which cost more than 5?", "Who placed it?", "How many cost at most 5?")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words.numeral_triggers(F.get(phrases, (F.col("doc_id") % 5).cast("int"))), ",").alias("triggers"))
+
+
+@query("j12_hops_of_texts", "SELECT p_partkey, (p_partkey % 4 + p_partkey % 3 + 1)::INT AS hops FROM part")
+def _j12t(spark, sf_dir):
+    text = F.concat(F.lit("SELECT ?x { ?x wdt:P1 ?y . "), F.repeat(F.lit("?a ps:P2 ?b . "), (F.col("p_partkey") % 4).cast("int")), F.repeat(F.lit("FILTER(?y > 1) "), (F.col("p_partkey") % 3).cast("int")), F.lit("}"))
+    return table(spark, sf_dir, "part").select("p_partkey", words.hops(text).cast("int").alias("hops"))
+
+
+@query("j13_direct_forms", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '?x wdt:P' || p_size || ' ?y' ELSE '?x p:P' || p_size || '/ps:P0 ?y' END AS q FROM part")
+def _j13t(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    text = F.concat(F.lit("?x p:P"), n, F.lit("/ps:P"), F.when(F.col("p_size") % 2 == 0, n).otherwise("0"), F.lit(" ?y"))
+    return table(spark, sf_dir, "part").select("p_partkey", words.direct_form(text).alias("q"))
+
+
+def _supplier_pairs(spark, sf_dir):
+    """The query of each supplier's nation, and one that is equal, has a pattern more, or goes the other way."""
+    iri = F.concat(F.lit("<kg:nation/"), F.col("s_nationkey").cast("string"), F.lit(">"))
+    gold = F.concat(F.lit("SELECT ?x { ?x :of_nation "), iri, F.lit(" }"))
+    more = F.concat(F.lit("SELECT ?x { ?x :of_nation "), iri, F.lit(" . ?x :b ?z }"))
+    back = F.concat(F.lit("SELECT ?x { "), iri, F.lit(" :of_nation ?x }"))
+    made = F.when(F.col("s_suppkey") % 3 == 0, F.regexp_replace(gold, r"\?x", "?y")).when(F.col("s_suppkey") % 3 == 1, more).otherwise(back)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", gold.alias("g"), made.alias("c"))
+
+
+@query("k9_ted_of_pairs", "SELECT s_suppkey, [0.0::DOUBLE, 1 / 3.0::DOUBLE, 0.25::DOUBLE][1 + s_suppkey % 3] AS ted FROM supplier")
+def _k9t(spark, sf_dir):
+    return _supplier_pairs(spark, sf_dir).select("s_suppkey", editdist.tree_distance_column(F.col("c"), F.col("g")).alias("ted"))
+
+
+@query("k11_ged_of_pairs", "SELECT s_suppkey, [0.0::DOUBLE, 0.4::DOUBLE, 2 / 3.0::DOUBLE][1 + s_suppkey % 3] AS ged, false AS gave_up FROM supplier")
+def _k11t(spark, sf_dir):
+    return _supplier_pairs(spark, sf_dir).select("s_suppkey", editdist.graph_distance_parts(F.col("c"), F.col("g")).alias("d")).select("s_suppkey", F.col("d.distance").alias("ged"), "d.gave_up")
+
+
+@query("k13_matches_of_pairs", "SELECT s_suppkey, s_suppkey % 3 = 0 AS em FROM supplier")
+def _k13t(spark, sf_dir):
+    return _supplier_pairs(spark, sf_dir).select("s_suppkey", editdist.exact_match_column(F.col("c"), F.col("g")).alias("em"))
+
+
+@query("o10_comparisons_of_catalog", f"SELECT predicate AS relation, c AS comparator, v AS literal FROM (SELECT DISTINCT predicate FROM {_CATALOG} WHERE \"range\" IN ('int', 'dbl')), (SELECT unnest(['>=', '>', '<=', '<']) AS c), (SELECT r_regionkey::VARCHAR AS v FROM region)")
+def _o10t(spark, sf_dir):
+    relations = explore.properties_of_type(sales_graph(spark, sf_dir), ["int", "dbl"]).select(F.col("predicate").alias("relation")).distinct()
+    return synthesis.comparison_candidates(relations, table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("literal")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
