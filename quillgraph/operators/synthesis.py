@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import explore
 from quillgraph.plans.compiler import Engine
-from quillgraph.plans.querygraph import QueryGraph
+from quillgraph.plans.querygraph import QueryGraph, path_edges
 from quillgraph.sources.registry import NS
 
 
@@ -57,29 +58,21 @@ def is_legal(precision: float, recall: float) -> bool:
 
 
 def atoms(engine: Engine, answers: DataFrame, constants: list[str], params: SearchParams) -> list[QueryGraph]:
-    """Graphs of one constant that some answers have: an edge, an edge through an n-ary node, or a comparison."""
+    """Graphs of one constant that the sampled answers have: an edge, an edge through an n-ary node, or a comparison."""
     g = engine.graph
     sample = explore.sample_nodes(answers, params.sample_answers)
     n = sample.count()
-    relations = [r.relation for r in explore.common_relations(explore.next_relations(g, sample), n).orderBy("relation").collect()]
     out: list[QueryGraph] = []
+    numeric: list[str] | None = None
     for c in constants:
-        cls = c.removeprefix(NS).partition("/")[0] if c.startswith(NS) else None
-        for rel in relations:
-            steps = rel.split("/")
-            last = steps[-1].lstrip("^")
-            edges = [e for e in g.by_predicate(last) if (e.target == cls if not steps[-1].startswith("^") else e.cls == cls) or (cls is None and not g.is_class(e.target))]
-            if not edges:
-                continue
-            if len(steps) == 2:
-                out.append(QueryGraph("x", [(steps[0][1:], "n", "x"), (last, "n", c)]))
-            elif steps[0].startswith("^"):
-                out.append(QueryGraph("x", [(last, c, "x")]))
-            else:
-                out.append(QueryGraph("x", [(last, "x", c)]))
-            numeric = any(e.target in ("int", "dbl", "ts") for e in edges)
-            if cls is None and numeric and len(steps) == 1:
-                out += [QueryGraph("x", [], comparisons=[(last, "x", op, c)]) for op in params.operators]
+        reach = explore.common_relations(explore.relations_to(g, sample, c), n).orderBy("relation").collect()  # of the schema's size
+        out += [QueryGraph("x", path_edges("x", r.relation, c, "n")) for r in reach]
+        if not c.startswith(NS) and re.match(r'"?[+-]?\d', c):
+            if numeric is None:
+                ahead = explore.common_relations(explore.next_relations(g, sample, through=False), n)
+                kinds = {e.predicate for e in g.edges if e.target in ("int", "dbl", "ts")}
+                numeric = sorted(r.relation for r in ahead.collect() if r.relation in kinds)
+            out += [QueryGraph("x", [], comparisons=[(r, "x", op, c)]) for r in numeric for op in params.operators]
     return out
 
 
