@@ -1,7 +1,7 @@
 """Exploration of a graph: its catalog, and what lies around anchors.
 
-Anchors are DataFrames with a column ``node`` (the node's IRI), so one plan serves any number of them.  They
-are parted by class, of which there are as many as the schema names, and each class's keys are joined as native
+Anchors are DataFrames with a column ``node`` (the node's IRI), so one plan serves any number of them; where they
+have a column ``grp`` as well, groups of nodes are counted as anchors, and not nodes.  They are parted by class, of which there are as many as the schema names, and each class's keys are joined as native
 columns: every table is read once, and only the tables of classes that anchors have.
 """
 
@@ -48,17 +48,21 @@ def classes_in(g: Graph, nodes: DataFrame) -> list[str]:
 
 
 def _keys(g: Graph, nodes: DataFrame, cls: str) -> DataFrame:
-    """anchor_: the native keys of the anchors of a class."""
+    """anchor_ (and grp_): the native keys of the anchors of a class."""
     head = f"{NS}{cls}/"
     text = F.expr(f"substring(node, {len(head) + 1})")
+    group = [F.col("grp").alias("grp_")] if "grp" in nodes.columns else []
+    mine = nodes.filter(F.startswith(F.col("node"), F.lit(head)))
     if not g.classes[cls].native:
-        return nodes.filter(F.startswith(F.col("node"), F.lit(head))).select(text.alias("anchor_"))
+        return mine.select(text.alias("anchor_"), *group)
     key = text.try_cast("bigint")
-    return nodes.filter(F.startswith(F.col("node"), F.lit(head)) & (key.cast("string") == text)).select(key.alias("anchor_"))
+    return mine.filter(key.cast("string") == text).select(key.alias("anchor_"), *group)
 
 
 def _around(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """The rows of a table whose ``key`` is an anchor, with the key as column ``at_``."""
+    """The rows of a table whose ``key`` is an anchor, with the key, or the anchor's group, as column ``at_``."""
+    if "grp_" in keys.columns:
+        return df.join(keys.distinct(), key == F.col("anchor_")).withColumn("at_", F.col("grp_")).drop("grp_", "anchor_")
     return df.withColumn("at_", key).join(keys, F.col("at_") == F.col("anchor_"), "left_semi")
 
 

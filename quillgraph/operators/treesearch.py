@@ -128,21 +128,20 @@ class TreeSearch:
         return graph if previous is None else previous.attach(graph, graph.center)
 
     # ---- neighbourhood
-    def anchors(self, previous: QueryGraph | None, center: str) -> list[DataFrame]:
-        """For each sampled answer the nodes that the centre can be."""
+    def anchors(self, previous: QueryGraph | None, center: str) -> DataFrame:
+        """node, grp: for each sampled answer (its place) the nodes that the centre can be."""
+        rows = self.spark.createDataFrame([(a, i) for i, a in enumerate(self.sample)], "node string, grp int")
         if previous is None:
-            return [self.spark.createDataFrame([(a,)], "node string") for a in self.sample]
-        out = []
-        for a in self.sample:
-            group = A.rebuild(previous.group(), lambda n, a=a: A.Iri(a) if n == A.Var(previous.center) else n)
-            x = A.Var(center)
-            out.append(self.engine.sparql(A.Query("SELECT", group, (A.Projected(x, x),), distinct=True)).select(F.col(center).cast("string").alias("node")))
-        return out
-
-    def common(self, tables: list[DataFrame]) -> list[str]:
+            return rows
+        x, y = A.Var(previous.center), A.Var(center)
+        given = A.Values((x,), tuple((A.Iri(a),) for a in self.sample))
+        found = self.engine.sparql(A.Query("SELECT", A.Group((given, *previous.group().parts)), (A.Projected(x, x), A.Projected(y, y)), distinct=True))
+        found = found.select(F.col(previous.center).alias("a_"), F.col(center).cast("string").alias("to_"))
+        return found.join(F.broadcast(rows.toDF("from_", "grp")), F.col("a_") == F.col("from_")).select(F.col("to_").alias("node"), "grp")
+
+    def common(self, relations: DataFrame) -> list[str]:
         """The relations that every sampled answer has."""
-        sets = [{r.relation for r in t.select("relation").collect()} for t in tables]
-        return sorted(set.intersection(*sets)) if sets else []
+        return sorted(r.relation for r in explore.common_relations(relations, len(self.sample)).collect()) if self.sample else []
 
     def kind(self, relation: str) -> str:
         last = relation.split("/")[-1]
@@ -156,7 +155,7 @@ class TreeSearch:
         p, center, text = self.params, sub.variable(), f"{sub.tag} is {sub.text}"
         targets = [c.variable() for c in sub.children]
         near = self.anchors(previous, center)
-        relations = self.common([explore.next_relations(self.graph, a) for a in near])
+        relations = self.common(explore.next_relations(self.graph, near))
         nodes = [r for r in relations if self.kind(r) == "NODE"]
         bones = skeletons(center, targets, [self.rank(text, nodes, p.skeleton_relations) for _ in targets])
         if previous is None and self.classes:
@@ -166,22 +165,19 @@ class TreeSearch:
         reach = self.reachable(near, text, leaf=not targets)
         single, double = constant_structures(center, reach)
         good = [b for b, ok in zip(bones, self.legal(bones, previous), strict=True) if ok]
-        out = []
-        for bone in good:
-            found = [bone, *self.attached(bone, double + single, previous)]
-            found += self.at_middles(found, [g for g in single if g.middle_nodes()], previous)
-            if "COMPARE" in self.triggers:
-                found += self.compared(found, relations, text, previous)
-            out += found
+        out = [*good, *self.attached(good, double + single, previous)]
+        out += self.at_middles(out, [g for g in single if g.middle_nodes()], previous)
+        if "COMPARE" in self.triggers:
+            out += self.compared(out, relations, text, previous)
         if not targets:
             out = [g for g in out if g.size() or g.types]
         return rank_graphs(out, text, self.items, p.graphs_inner if targets else p.graphs_leaf, self.rank)
 
-    def reachable(self, near: list[DataFrame], text: str, leaf: bool) -> dict[str, list[str]]:
+    def reachable(self, near: DataFrame, text: str, leaf: bool) -> dict[str, list[str]]:
         """The best relations to each linked item that all sampled answers reach; at a leaf also to neighbours whose label the text names."""
         items = dict(self.items)
         if leaf and self.params.use_neighbours:
-            shared = [explore.shared_neighbours(self.graph, a) for a in near]
+            shared = [explore.shared_neighbours(self.graph, near.filter(F.col("grp") == i).select("node")) for i in range(len(self.sample))]
             sets = [{(r.item, r.label) for r in s.filter(words.has_token_overlap(F.col("label"), F.lit(text))).collect()} for s in shared]
             found = dict(set.intersection(*sets)) if sets else {}
             best = set(self.rank(text, list(found.values()), self.params.neighbours))
@@ -189,28 +185,28 @@ class TreeSearch:
             self.items |= items
         out = {}
         for c in items:
-            relations = self.common([explore.relations_to(self.graph, a, c) for a in near])
+            relations = self.common(explore.relations_to(self.graph, near, c))
             if relations:
                 out[c] = self.rank(text, relations, self.params.constant_relations)
         return out
 
-    def attached(self, bone: QueryGraph, structures: list[QueryGraph], previous: QueryGraph | None) -> list[QueryGraph]:
-        """The bone with sets of structures, by size; sets that hold an illegal one are not tried."""
-        degree = sum(bone.center in e[1:] for e in bone.edges)
-        illegal: list[frozenset[int]] = []
+    def attached(self, bones: list[QueryGraph], structures: list[QueryGraph], previous: QueryGraph | None) -> list[QueryGraph]:
+        """The bones with sets of structures, by size; sets that hold one that is illegal for the bone are not tried."""
+        illegal: dict[int, list[frozenset[int]]] = {i: [] for i in range(len(bones))}
+        degrees = [sum(b.center in e[1:] for e in b.edges) for b in bones]
         out = []
-        for size in range(1, self.params.max_degree - degree + 1):
+        for size in range(1, self.params.max_degree - min(degrees, default=0) + 1):
             sets = [frozenset(s) for s in itertools.combinations(range(len(structures)), size)]
-            sets = [s for s in sets if not any(bad <= s for bad in illegal)]
+            tried = [(i, s) for i in range(len(bones)) if degrees[i] + size <= self.params.max_degree for s in sets if not any(bad <= s for bad in illegal[i])]
             graphs = []
-            for s in sets:
-                g = bone
-                for i in sorted(s):
-                    g = g.attach(structures[i])
+            for i, s in tried:
+                g = bones[i]
+                for k in sorted(s):
+                    g = g.attach(structures[k])
                 graphs.append(g)
-            for s, g, ok in zip(sets, graphs, self.legal(graphs, previous), strict=True):
+            for (i, s), g, ok in zip(tried, graphs, self.legal(graphs, previous), strict=True):
                 if not ok:
-                    illegal.append(s)
+                    illegal[i].append(s)
                 elif len(g.edges) <= self.params.max_edges:
                     out.append(g)
         return out
@@ -238,7 +234,7 @@ class TreeSearch:
             graphs, failed = self.down(tree)
             final = [g for g in graphs if g.arg or g.comparisons or any(x.startswith((NS, '"')) for e in g.edges for x in e[1:])]
             if "ARG" in self.triggers and final:
-                numeric = [r for r in self.common([explore.next_relations(self.graph, a) for a in self.anchors(None, tree.variable())]) if self.kind(r) in ("QUANTITY", "TEMPORAL") and "/" not in r]
+                numeric = [r for r in self.common(explore.next_relations(self.graph, self.anchors(None, tree.variable()))) if self.kind(r) in ("QUANTITY", "TEMPORAL") and "/" not in r]
                 final += [replace(g, arg=(r, g.center, most)) for g, r, most in itertools.product(final, numeric, (True, False))]
             f1 = [s[2] for s in self.scores(final)]
             best = max(f1, default=0.0)

@@ -1029,7 +1029,7 @@ def _o8n(spark, sf_dir):
 
 
 @query("o9_constant_structures", """SELECT * FROM (VALUES (0, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_part ?v1 . ?v0 kg:of_supplier <kg:supplier/1> . }'), (1, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_order <kg:order/2> . ?v0 kg:of_part ?v1 . }'),
-  (2, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_order <kg:order/2> . ?v0 kg:of_supplier <kg:supplier/1> . ?v0 kg:of_part ?v1 . }')) v(i, query)""")
+  (2, 'SELECT DISTINCT ?v1 WHERE { ?v0 kg:of_order <kg:order/2> . ?v0 kg:of_part ?v1 . ?v0 kg:of_supplier <kg:supplier/1> . }')) v(i, query)""")
 def _o9(spark, sf_dir):
     single, double = treesearch.constant_structures("x", {"kg:supplier/1": ["^of_part/of_supplier"], "kg:order/2": ["^of_part/of_order"]})
     return _keys_of(spark, single + double)
