@@ -923,6 +923,14 @@ rewritten("l10_split_direct", "SELECT DISTINCT ?s ?p WHERE { ?s <kg:direct> ?p ;
 rewritten("l17_for_test_suite", "SELECT ?c WHERE { { SELECT ?c WHERE { VALUES ?n { <kg:nation/3> } ?c :of_nation ?n ; :mktsegment ?m FILTER(?m = \"BUILDING\") } } }", lambda q: rewrites.for_test_suite(q, "target"), "SELECT DISTINCT 'kg:customer/' || c_custkey AS target FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
 
 
+rewritten(
+    "l19_union_normal_form",
+    "SELECT ?x ?n WHERE { { ?x :in_region <kg:region/1> } UNION { ?x :in_region <kg:region/2> } { ?x :name ?n } UNION { ?x :in_region ?r BIND(\"again\" AS ?n) } FILTER(?n != \"NATION_1\") }",
+    rewrites.union_normal_form,
+    "SELECT 'kg:nation/' || n_nationkey AS x, n AS n FROM nation, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT CASE k WHEN 0 THEN n_name ELSE 'again' END AS n) WHERE n_regionkey IN (1, 2) AND n <> 'NATION_1'",
+)
+
+
 @query("l9_added_prefix", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1")
 def _l9(spark, sf_dir):
     return engine(spark, sf_dir).sparql(rewrites.with_prefix("SELECT ?n WHERE { ?x fb:in_region <kg:region/1> ; fb:name ?n }", "fb", "kg:"))

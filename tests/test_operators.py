@@ -194,3 +194,48 @@ def test_bindings(spark):
     rows = spark.createDataFrame([("uri", "http://a", None), ("typed-literal", "42", A.XSD + "integer"), ("typed-literal", "true", A.XSD + "boolean"), ("typed-literal", "99.95", A.XSD + "decimal"), ("literal", "x", None)], "type string, value string, datatype string")
     got = [tuple(r) for r in rows.select(files.binding_number(F.col("type"), F.col("value"), F.col("datatype")).alias("n"), files.binding_text(F.col("type"), F.col("value"), F.col("datatype")).alias("s")).collect()]
     assert got == [(None, "http://a"), (42.0, None), (1.0, None), (99.95, None), (None, "x")]
+
+
+def test_endpoint_scan(spark):
+    """A stand-in endpoint: rows, an ASK, a failure that passes, one that stays, and no query."""
+    import json
+    import threading
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs
+
+    from quillgraph.sources import endpoint
+
+    seen = Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            q = parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
+            seen[q] += 1
+            if "BROKEN" in q or ("FLAKY" in q and seen[q] < 3):
+                self.send_error(502)
+                return
+            rows = [{"x": {"type": "uri", "value": f"http://e/{i}"}, "n": {"type": "typed-literal", "value": str(i), "datatype": A.XSD + "integer"}, "l": {"type": "literal", "value": "é", "xml:lang": "fr"}} for i in range(3)]
+            body = json.dumps({"boolean": True} if "ASK" in q else {"results": {"bindings": [] if "NONE" in q else rows}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        queries = spark.createDataFrame([("a", "SELECT"), ("b", "ASK"), ("c", "FLAKY"), ("d", "BROKEN"), ("e", "NONE"), ("f", None)], "qid string, text string")
+        rows = endpoint.http_scan(queries, f"http://127.0.0.1:{server.server_port}/", partitions=2).collect()
+    finally:
+        server.shutdown()
+    by = {q: [r for r in rows if r.qid == q] for q in "abcdef"}
+    assert [r.bindings["n"].value for r in by["a"]] == ["0", "1", "2"] and by["a"][0].bindings["l"].lang == "fr" and by["a"][0].bindings["n"].datatype == A.XSD + "integer"
+    assert by["b"][0].boolean is True and by["b"][0].bindings is None
+    assert len(by["c"]) == 3 and not by["e"]
+    assert "502" in by["d"][0].error and seen["BROKEN"] == 4 and by["f"][0].error == "no query"
+    assert {r.value for r in endpoint.values(spark.createDataFrame(rows, "qid string, position int, bindings map<string,struct<type:string,value:string,datatype:string,lang:string>>, boolean boolean, error string"), "x").collect()} == {f"http://e/{i}" for i in range(3)}
+    gone = endpoint.odbc_scan(queries.limit(1), "DSN=none", retries=1).first()
+    assert gone.error
