@@ -976,6 +976,19 @@ def _m9(spark, sf_dir):
     return spark.createDataFrame([(sexpr.for_training(text),)], "form string")
 
 
+@query("m10_form_graphs", "SELECT * FROM (VALUES (0, 4, 4), (1, 3, 2), (2, NULL, NULL)) v(i, n_nodes, n_edges)")
+def _m10(spark, sf_dir):
+    """Nodes and edges of forms: with an ontology, of a count, and of one that has no graph."""
+    rows = []
+    for i, (form, how) in enumerate((("(JOIN of_nation nation/3)", {"roles": {"of_nation": ("customer", "nation")}, "reverse": {"of_nation": "has_customer"}}), ("(COUNT (JOIN of_nation nation/3))", {}), ("(TC (JOIN r m.0) a.from 2001)", {}))):
+        try:
+            g = editdist.form_graph(form, **how)
+            rows.append((i, len(g.nodes), len(g.edges)))
+        except ValueError:
+            rows.append((i, None, None))
+    return spark.createDataFrame(rows, "i int, n_nodes int, n_edges int")
+
+
 @query("m11_graph_to_sexpr", "SELECT DISTINCT 'kg:customer/' || c_custkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 AND c_acctbal > 1000")
 def _m11(spark, sf_dir):
     g = querygraph.QueryGraph("x", [("of_nation", "x", "n"), ("in_region", "n", "kg:region/2")], types={"x": ["customer"]}, comparisons=[("acctbal", "x", ">", "1000")])
