@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quillgraph.llm.chunks import ChunkEncoder, spelled_out
-from quillgraph.llm.runtime import prepare, unclash
+from quillgraph.llm.runtime import held, in_task, prepare, unclash
 
-#: Entries of each memo, which starts anew when it is full, and chunks of a generation: some 150 MB in all.
+#: Entries of each memo, which starts anew when it is full, and chunks of a generation: some 110 MB in all.
 MEMO, CHUNKS = 200_000, 250_000
 
 
@@ -133,16 +133,6 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_built: dict[str, Bpe] = {}
-
-
-def _bpe(key: str, shared, pattern: str) -> Bpe:
-    if key not in _built:
-        _built.clear()
-        _built[key] = Bpe(read_ranks(shared.value), pattern)
-    return _built[key]
-
-
 def _map_text(docs: DataFrame, text_col: str, rank_file: bytes, pattern: str, keep: list[str], new: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
     prepare(docs.sparkSession)
     base = docs.select(*{c: None for c in [*keep, text_col]})
@@ -155,11 +145,11 @@ def _map_text(docs: DataFrame, text_col: str, rank_file: bytes, pattern: str, ke
         for batch in batches:
             n = batch.num_rows
             if n:
-                rows = make(_bpe(key, shared, pattern), batch.column(text_col))
+                rows = make(held(key, lambda: Bpe(read_ranks(shared.value), pattern)), batch.column(text_col))
                 cols = [pa.array(c, t) for c, (_, _, t) in zip(zip(*rows, strict=True), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, names=[*keep, *names])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(in_task(run, key), schema)
 
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

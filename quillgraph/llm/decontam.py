@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.llm import text as tx
-from quillgraph.llm.runtime import cut, discard, file_system, fresh, prepare, unclash
+from quillgraph.llm.runtime import cut, discard, file_system, fresh, held, in_task, prepare, unclash
 
 #: Bytes of benchmark text in one automaton: about 200 MB of memory.  A larger benchmark takes several, each
 #: scanned after the other and adding to its hits.
@@ -111,17 +111,10 @@ def _same(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else len(a)
 
 
-_built: dict[str, Matcher] = {}
-
-
-def _matcher(path: str) -> Matcher:
-    """A stored automaton, loaded once by each Python worker."""
-    if path not in _built:
-        _built.clear()
-        fs, place = file_system(path)
-        with fs.open_input_stream(place, compression=None) as f:
-            _built[path] = pickle.loads(f.read())
-    return _built[path]
+def _load(path: str) -> Matcher:
+    fs, place = file_system(path)
+    with fs.open_input_stream(place, compression=None) as f:
+        return pickle.loads(f.read())
 
 
 def store_automata(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[str]:
@@ -146,7 +139,7 @@ def store_automata(benchmark: DataFrame, id_col: str, text_col: str, window: int
             yield pa.RecordBatch.from_arrays([pa.array([f"{where}/{name}"])], names=["path"])
 
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))).select("part", "item", "text").repartition("part")
-    made = cut(dealt.mapInArrow(build, "path string"), "automata-list")
+    made = cut(dealt.mapInArrow(in_task(build), "path string"), "automata-list")
     paths = sorted(r.path for r in made.collect())  # one row for each part
     discard(made)
     return paths
@@ -200,7 +193,7 @@ def _scan(docs: DataFrame, text_col: str, through: list[str], new: dict[str, T.D
                 delta[np.searchsorted(w.starts, off[d] + x["start"])] += 1
                 delta[np.searchsorted(w.starts, off[d] + x["end"])] -= 1
         if path is not None:
-            m = _matcher(path)
+            m = held(path, lambda: _load(path))  # once for each Python worker
             for d, first, end, i in m.scan(data, off, norm, new_off, place, w):
                 delta[first] += 1
                 delta[end] -= 1
@@ -227,7 +220,7 @@ def _scan(docs: DataFrame, text_col: str, through: list[str], new: dict[str, T.D
                 cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in through] + cols, names=[*through, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(in_task(run, path), schema)
 
 
 def is_contaminated(n_hit, n_words, share: int = 20):

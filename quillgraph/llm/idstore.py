@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
 from quillgraph.llm.chunks import ChunkEncoder, spelled_out
-from quillgraph.llm.runtime import cut, file_system, fresh, prepare
+from quillgraph.llm.runtime import cut, file_system, fresh, held, in_task, prepare
 
 MAGIC = b"QGID"
 NULL = 1 << 31
@@ -224,16 +224,13 @@ class _Pieces:
         return [self.chunk(c) for c in chunks]
 
 
-_tokenizers: dict[str, ChunkEncoder] = {}
-
-
 def _tokenizer(tokenizer_json: str, width: int) -> ChunkEncoder:
     """A cached encoder of the tokenizers library, for byte-level vocabularies without a normaliser."""
-    key = f"{zlib.crc32(tokenizer_json.encode())}-{len(tokenizer_json)}-{width}"
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = ChunkEncoder(_Pieces(tokenizer_json, width).many)
-    return _tokenizers[key]
+    return held(_key(tokenizer_json, width), lambda: ChunkEncoder(_Pieces(tokenizer_json, width).many))
+
+
+def _key(tokenizer_json: str, width: int) -> str:
+    return f"{zlib.crc32(tokenizer_json.encode())}-{len(tokenizer_json)}-{width}"
 
 
 def write_shards(docs: DataFrame, tokenizer_json: str, where: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -285,7 +282,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, where: str, id_col: str =
         sink.close()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([f"{where}/{name}"]), pa.array([len(k)]), pa.array([int(c.sum())])], names=["shard", "path", "n_docs", "n_ids"])
 
-    return cut(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "manifest")
+    return cut(dealt.mapInArrow(in_task(run, _key(tokenizer_json, width)), "shard long, path string, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

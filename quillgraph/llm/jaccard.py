@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import text as tx
 from quillgraph.llm.bitmap import bitmap, may_hold, present
 from quillgraph.llm.graph import connected
-from quillgraph.llm.runtime import cut, discard, prepare, unclash
+from quillgraph.llm.runtime import cut, discard, in_task, prepare, unclash
 from quillgraph.llm.spread import frequent, spread_join
 
 #: Sets of a bucket that are compared with each other directly.
@@ -144,7 +144,7 @@ def _survey(src: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
 
     names = ["id", "h1", "h2", "n", "sketch", "piece", "counts"]
-    return src.mapInArrow(run, "id long, h1 long, h2 long, n long, sketch binary, piece int, counts binary")
+    return src.mapInArrow(in_task(run), "id long, h1 long, h2 long, n long, sketch binary, piece int, counts binary")
 
 
 def _rarity(survey: DataFrame) -> np.ndarray:
@@ -160,7 +160,7 @@ def _rarity(survey: DataFrame) -> np.ndarray:
             packed = zlib.compress(np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed])], names=["piece", "counts"])
 
-    rows = survey.filter("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(add, "piece int, counts binary")
+    rows = survey.filter("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(in_task(add), "piece int, counts binary")
     out = np.zeros(COUNTERS, np.uint32)
     step = COUNTERS // PIECES
     for r in rows.collect():  # at most PIECES rows
@@ -200,7 +200,7 @@ def _postings(src: DataFrame, k: int, share: int, rarity, rows: int) -> DataFram
                 marked = rank[of] | np.where(load[order][take] * FREQUENT >= max(rows, FREQUENT * SMALL), _HOT, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(grams[order][take].view(np.int64)), pa.array(ids[lo:hi][of]), pa.array(marked)], names=["token", "id", "rank"])
 
-    return src.filter("id is not null and text is not null").mapInArrow(run, "token long, id long, rank long")
+    return src.filter("id is not null and text is not null").mapInArrow(in_task(run), "token long, id long, rank long")
 
 
 _BUCKET_OUT = "a long, b long, token long, rank long"
@@ -281,7 +281,7 @@ def _texts(src: DataFrame, needs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(present(batch.column("id").to_numpy(), marked.value)))
 
-    likely = src.filter("id is not null and text is not null").mapInArrow(sift, "id long, text string")
+    likely = src.filter("id is not null and text is not null").mapInArrow(in_task(sift), "id long, text string")
     return likely.join(needs.hint("merge"), "id")
 
 
@@ -306,7 +306,7 @@ def _likely(pairs: DataFrame, sketched: DataFrame, share: int) -> DataFrame:
     left = sketched.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("rep").alias("ra"))
     right = sketched.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("rep").alias("rb"))
     both = spread_join(spread_join(pairs, left, "a", pairs, "b"), right, "b", pairs, "a").filter("ra <> rb")
-    return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb").mapInArrow(in_task(run), "a long, b long").distinct()
 
 
 def _overlaps(src: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def _overlaps(src: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "inter", "uni"])
 
-    return dealt.mapInArrow(run, "a long, b long, inter long, uni long")
+    return dealt.mapInArrow(in_task(run), "a long, b long, inter long, uni long")
 
 
 def sketch_region(ids: list[int], comps: list[int], sizes: list[int], marks: list[bytes], share: int, most: int) -> list[tuple[int, int]] | None:
@@ -518,7 +518,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     dealt = _postings(src, k, share, rarity, signed.count())
     dealt = dealt.repartition(F.when(F.col("rank") >= _HOT, F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token", F.desc("rank"), "id")
-    first = cut(dealt.mapInArrow(lambda b: _buckets(b, share), _BUCKET_OUT), "buckets")
+    first = cut(dealt.mapInArrow(in_task(lambda b: _buckets(b, share)), _BUCKET_OUT), "buckets")
     hot = first.filter(F.col("rank") >= _HOT).select("token", F.col("a").alias("id"), F.col("rank").bitwiseXOR(_HOT).alias("rank"))
     stars = cut(_stars(hot, share), "stars")
     pairs = cut(first.filter("token is null").union(stars.filter("b is not null")).select("a", "b").distinct(), "pairs")
@@ -568,7 +568,7 @@ def _join_regions(src: DataFrame, shingle: int, known_sets: DataFrame, members:
         # a small region has at most REGION shingles; its sketches come to one task, and its texts only if they decide little
         marked = small.join(known_sets.select("id", "n", "sketch").hint("merge"), "id").select("token", "id", "comp", "n", "sketch")
         dealt = marked.repartition("token").sortWithinPartitions("token", "id")
-        sketched = cut(dealt.mapInArrow(lambda b: _sketch_small(b, share), _BUCKET_OUT), "sketched")
+        sketched = cut(dealt.mapInArrow(in_task(lambda b: _sketch_small(b, share)), _BUCKET_OUT), "sketched")
         asked = cut(sketched.filter("token is null").select("a", "b").distinct(), "asked")
         known.append(cut(_overlaps(src, shingle, asked), "overlaps"))
         comps = again(comps)

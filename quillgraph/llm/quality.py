@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quillgraph.llm import text as tx
-from quillgraph.llm.runtime import prepare, unclash
+from quillgraph.llm.runtime import in_task, prepare, unclash
 
 _NEWLINE = tx.byte_class(b"\n")
 _SYMBOL = np.zeros(256, bool)
@@ -150,7 +150,7 @@ def score(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
                 cols = [pa.array(np.concatenate([p[n] for p in parts])) for n in names]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, names=[*keep, *final])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(in_task(run), schema)
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:

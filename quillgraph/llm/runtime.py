@@ -6,8 +6,12 @@ a lost executor costs a re-read and never a recomputation of the whole chain.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.scratch import shared_folder
@@ -68,3 +72,36 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """The one large object that a Python worker keeps from task to task: a vocabulary, an automaton."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def in_task(run: Callable, keep: str | None = None) -> Callable:
+    """A function of batches that leaves little memory behind.
+
+    Workers live on from one operator to the next, so what an earlier one has kept goes first (but for the
+    object ``keep``), and memory that a task has freed goes back to the system when it ends.
+    """
+
+    def wrapped(batches):
+        if any(k != keep for k in _HELD):
+            _HELD.clear()
+            gc.collect()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
