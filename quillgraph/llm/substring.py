@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import text as tx
-from quillgraph.llm.runtime import cut, discard, prepare, unclash
+from quillgraph.llm.runtime import cut, discard, in_task, prepare, unclash
 
 #: Words in an anchor gram.
 ANCHOR = 8
@@ -27,6 +27,8 @@ ANCHOR = 8
 HASH_BYTES = 6
 #: Window hashes that the counting task holds for one anchor; beyond it the anchor is split by hash.
 STATE = 1 << 21
+#: Of these, those that stay Python numbers in a set, at some 90 bytes each; the others are arrays of 8 bytes each.
+RECENT = 1 << 16
 #: Parts into which such an anchor is split.
 SPLIT = 64
 #: Counters that find frequent anchors, and the share of all rows (one in FREQUENT) that makes a counter frequent.
@@ -103,6 +105,46 @@ def _spans(gone: np.ndarray, start: int, width: int) -> list[tuple[int, int]]:
     return [(start + int(a), start + int(b) - 1 + width) for a, b in edges]
 
 
+class _Seen:
+    """A set of window hashes: the latest in a set, the others in sorted arrays, each over twice as long as the next."""
+
+    def __init__(self):
+        self.latest, self.arrays = set(), []
+
+    def __len__(self) -> int:
+        return len(self.latest) + sum(map(len, self.arrays))
+
+    def _stored(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(hashes), bool)
+        for a in self.arrays:
+            at = np.searchsorted(a, hashes)
+            at[at == len(a)] = 0
+            found |= a[at] == hashes
+        return found
+
+    def add(self, hashes: np.ndarray) -> None:
+        for lo in range(0, len(hashes), RECENT):
+            part = hashes[lo : lo + RECENT]
+            self.latest.update((part[~self._stored(part)] if self.arrays else part).tolist())
+            if len(self.latest) > RECENT:
+                self.arrays.append(np.sort(np.fromiter(self.latest, np.uint64, len(self.latest))))
+                self.latest = set()
+                while len(self.arrays) > 1 and 2 * len(self.arrays[-1]) >= len(self.arrays[-2]):
+                    both = np.concatenate([self.arrays.pop(), self.arrays.pop()])
+                    both.sort()
+                    self.arrays.append(both)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.fromiter(map(self.latest.__contains__, hashes.tolist()), bool, len(hashes))
+        return found | self._stored(hashes) if self.arrays else found
+
+    def empty(self) -> np.ndarray:
+        """All hashes, which are no longer held."""
+        every = np.concatenate([*self.arrays, np.fromiter(self.latest, np.uint64, len(self.latest))])
+        self.latest, self.arrays = set(), []
+        return every
+
+
 class _Anchor:
     """One anchor's windows, its documents ascending: a window goes when an earlier document has shown it.
 
@@ -112,7 +154,7 @@ class _Anchor:
 
     def __init__(self, key: tuple, width: int, state: int):
         self.key, self.width, self.state = key, width, state
-        self.current, self.seen, self.new, self.spilt = None, set(), [], False
+        self.current, self.seen, self.new, self.spilt = None, _Seen(), [], False
 
     def take(self, i, digest, start, raw, _least) -> list[tuple]:
         again = (i, digest, start, None, *self.key[:2], raw)
@@ -120,21 +162,20 @@ class _Anchor:
             return [again]
         if i != self.current and self.new:
             for old in self.new:
-                self.seen.update(_unpack(old).tolist())
+                self.seen.add(_unpack(old))
             self.new = []
             if len(self.seen) > self.state:
                 self.spilt = True
-                every = np.fromiter(self.seen, np.uint64, len(self.seen)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-                self.seen = set()
+                every = self.seen.empty().view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
                 return [*((None, None, None, None, *self.key[:2], every[j : j + (1 << 16)].tobytes()) for j in range(0, len(every), 1 << 16)), again]
         self.current = i
         if i is None:  # seen in an earlier pass
-            self.seen.update(_unpack(raw).tolist())
+            self.seen.add(_unpack(raw))
             return []
         self.new.append(raw)
         if not self.seen:
             return []
-        gone = np.fromiter(map(self.seen.__contains__, _unpack(raw).tolist()), bool)
+        gone = self.seen.holds(_unpack(raw))
         return [(i, digest, a, b, self.key[0], None, None) for a, b in _spans(gone, start, self.width)] if gone.any() else []
 
 
@@ -201,20 +242,20 @@ def removals(docs: DataFrame, id_col: str, text_col: str, width: int, state: int
                 yield whole.filter(pa.array(~common)) if common.any() else whole
                 yield from _rows([r for k in np.flatnonzero(common).tolist() for r in _shared(int(anchor[k]), int(own_id[k]), int(own_digest[k]), int(start[k]), hashes[k].as_py(), shares, parts)], _IN)
 
-    rows = src.mapInArrow(explode, _IN_DDL)
+    rows = src.mapInArrow(in_task(explode), _IN_DDL)
     if least is not None:
         rows = rows.unionByName(_known(least, shares, parts))
     done, tables = None, [] if least is None else [least]
     while True:
         dealt = rows.repartition("anchor", "part", "share").sortWithinPartitions("anchor", "part", "share", F.col("id").asc_nulls_first(), "digest", "start")
-        found = cut(dealt.mapInArrow(lambda b: _count(b, width, state), _OUT_DDL), "windows")
+        found = cut(dealt.mapInArrow(in_task(lambda b: _count(b, width, state)), _OUT_DDL), "windows")
         tables.append(found)
         part = found.filter("hashes is null").select("id", "digest", "start", "stop")
         done = part if done is None else done.unionByName(part)
         rest = found.filter("hashes is not null")
         if rest.isEmpty():
             break
-        rows = rest.select("anchor", "part", "id", "digest", "start", "hashes").mapInArrow(_split, _IN_DDL)
+        rows = rest.select("anchor", "part", "id", "digest", "start", "hashes").mapInArrow(in_task(_split), _IN_DDL)
     # the spans of one text are bounded by its own length
     out = cut(done.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     discard(*tables)
@@ -236,7 +277,7 @@ def _frequent(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(slots)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(slots[at]), pa.array(windows[at])], names=["slot", "n", "windows"])
 
-    counted = cut(src.select("text").mapInArrow(count, "slot int, n long, windows long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")), "slots")
+    counted = cut(src.select("text").mapInArrow(in_task(count), "slot int, n long, windows long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")), "slots")
     total, windows = counted.agg(F.sum("n"), F.sum("windows")).first()
     hot = np.zeros(SLOTS, bool)
     if (total or 0) > FREQUENT:
@@ -276,7 +317,7 @@ def _least(src: DataFrame, width: int, hot: np.ndarray, windows: int, state: int
         if held:
             yield _table(_combined(held))
 
-    each = src.select("id", "text").mapInArrow(gather, "anchor long, hash long, least long, most long, n long")
+    each = src.select("id", "text").mapInArrow(in_task(gather), "anchor long, hash long, least long, most long, n long")
     found = cut(each.groupBy("anchor", "hash").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")), "least")
     of = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.when(F.col("least") < F.col("most"), 1)).alias("kept"))
     # an anchor has several shares when it holds over one in FREQUENT of all windows: at most FREQUENT do
@@ -311,7 +352,7 @@ def _known(least: DataFrame, shares: dict[int, int], parts: int) -> DataFrame:
                 yield from _rows([(int(anchor[a]), int(where[a]), s, None, None, None, *packed) for s in range(shares.get(int(anchor[a]), 1))], _IN)
 
     ranges = least.filter("least < most").select("anchor", "hash", "least", F.pmod("hash", F.lit(parts)).alias("part"))
-    return ranges.repartition("anchor", "hash").sortWithinPartitions("anchor", "part").select("anchor", "hash", "least").mapInArrow(pack, _IN_DDL)
+    return ranges.repartition("anchor", "hash").sortWithinPartitions("anchor", "part").select("anchor", "hash", "least").mapInArrow(in_task(pack), _IN_DDL)
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -390,4 +431,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), arrow_pair), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, names=[*keep, *names])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(in_task(run), schema)

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -229,6 +230,29 @@ def test_windows_that_do_not_fit_in_memory(spark):
     assert got == brute.substring(docs)
 
 
+def test_windows_of_one_anchor_are_arrays():
+    """A large anchor's windows take some bytes each, not a Python number each, and none is lost or made up."""
+    rng = np.random.default_rng(6)
+    n, width, rows_ = substring.RECENT, 50, 12
+    hashes = rng.integers(0, 1 << 48, (rows_, n), dtype=np.uint64)
+    hashes[7, 100:160], hashes[11, 5:9], hashes[11, 20] = hashes[2, 300:360], hashes[10, :4], hashes[0, -1]
+    packed = [substring._packed(h) for h in hashes]
+    anchor = substring._Anchor((1, 0, -1), width, 1 << 21)
+    out = []
+    tracemalloc.start()
+    for i, raw in enumerate(packed):
+        out += anchor.take(i, 0, 0, raw, None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:4] for r in out] == [(7, 0, 100, 159 + width), (11, 0, 5, 8 + width), (11, 0, 20, 20 + width)]
+    assert most < 45e6  # a set of these 720,000 numbers takes more
+    small_ = substring._Anchor((1, 0, -1), width, 5 * n)
+    again = [r for i, raw in enumerate(packed) for r in small_.take(i, 0, 0, raw, None)]
+    seen = np.concatenate([substring._unpack(r[6]) for r in again if r[0] is None])
+    assert np.array_equal(np.sort(seen), np.unique(hashes[:6]))
+    assert [r[0] for r in again if r[0] is not None] == list(range(6, rows_))
+
+
 def test_frequent_anchors(spark, monkeypatch):
     """A passage that most documents share, in rows dealt over shares, and windows over parts."""
     rng = random.Random(8)
