@@ -529,7 +529,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(first, stars, pairs, asked)
     comps = cut(connected(_links(known, share).unionByName(copies)), "comps")
     if not members.isEmpty():
-        comps = _join_regions(src, k, known_sets, members, known, copies, comps, share)
+        comps = _join_regions(src, k, known_sets, members, known, comps, share)
     node = comps.select(F.col("node").alias("id"), "comp")
     labelled = signed.select("id", "n").join(node.hint("merge"), "id", "left")
     out = cut(labelled.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")), "components")
@@ -545,15 +545,17 @@ def _links(known: list[DataFrame], share: int) -> DataFrame:
     return _all(known).filter(f"100 * inter >= {share} * uni").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _join_regions(src: DataFrame, shingle: int, known_sets: DataFrame, members: DataFrame, known: list[DataFrame], copies: DataFrame, comps: DataFrame, share: int) -> DataFrame:
+def _join_regions(src: DataFrame, shingle: int, known_sets: DataFrame, members: DataFrame, known: list[DataFrame], comps: DataFrame, share: int) -> DataFrame:
     """Joins the regions until none holds two components that might link."""
     eps, tiny = 1 - share / 100, 1e-9
     k = PIVOTS
 
     def again(old: DataFrame) -> DataFrame:
-        if known[-1].isEmpty():
+        """The components with the latest links; they stand for all links before."""
+        links = _links(known[-1:], share)
+        if links.isEmpty():
             return old
-        new = cut(connected(_links(known, share).unionByName(copies)), "comps")
+        new = cut(connected(links.unionByName(old.select(F.col("node").alias("u"), F.col("comp").alias("v")))), "comps")
         discard(old)
         return new
 

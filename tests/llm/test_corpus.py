@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm import backoff, bpe, decontam, graph, idstore, jaccard, pii, quality, queries, ring, substring, text, warc
+from quillgraph.llm import backoff, bpe, decontam, graph, idstore, jaccard, pii, quality, queries, ring, runtime, substring, text, warc
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string"
@@ -220,6 +220,20 @@ def test_components_of_a_graph(spark):
     assert all(label[x] == x for x in label if x not in got)
 
 
+def test_stars_are_components_at_once(spark, monkeypatch):
+    """Edges that already lead to the smallest node take no round, others no round that only looks for a change."""
+    tables = []
+    monkeypatch.setattr(graph, "cut", lambda df, label: tables.append(label) or runtime.cut(df, label))
+    stars = [(i, 10 * (i // 10)) for i in range(100)] + [(20, 27), (33, 33)]
+    chain = [(1, 2), (2, 3), (3, 4)]
+    for edges, want, most in ((stars, {i: 10 * (i // 10) for i in range(100)}, 1), (chain, dict.fromkeys(range(1, 5), 1), 3), ([], {}, 1)):
+        tables.clear()
+        found = [tuple(r) for r in graph.connected(spark.createDataFrame(edges, "u long, v long")).collect()]
+        assert dict(found) == want
+        assert len(found) == len(want)
+        assert len(tables) <= most
+
+
 def test_windows_that_do_not_fit_in_memory(spark):
     rng = random.Random(2)
     shared = prose(rng, 55)
