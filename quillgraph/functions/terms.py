@@ -41,6 +41,7 @@ def text_of(c: Column, t: VType) -> Column:
 
 
 def to_term(c: Column, t: VType) -> Column:
+    """The value as a term; the two zeros of doubles are one term, as they are one key of a native column."""
     if t.kind == "term":
         return c
     kind = 0 if t.kind == "iri" else 2
@@ -48,7 +49,7 @@ def to_term(c: Column, t: VType) -> Column:
         dt, lang = F.lit(RDF + "langString"), F.lower(c["lang"])
     else:
         dt, lang = F.lit(None if kind == 0 else XSD + DATATYPE[t.kind]).cast("string"), F.lit("")
-    lex = text_of(c, t)
+    lex = text_of(c + F.lit(0.0) if t.kind == "dbl" else c, t)  # -0.0 + 0.0 is 0.0
     return F.when(lex.isNotNull(), F.struct(F.lit(kind).alias("kind"), lex.alias("lex"), dt.alias("dt"), lang.alias("lang")))
 
 

@@ -75,3 +75,23 @@ def test_plans_push_and_hash(spark, sf_dir):
     assert "documents.parquet" not in plan("i14_kinds")
     for name in ("b18_values_undef_join", "c5_optional_chain", "c6_minus_unbound"):
         assert "NestedLoop" not in plan(name)
+
+
+def with_table(sf_dir, folder, name, sql):
+    """The tables of ``sf_dir`` below a new folder, one of them replaced by what a SELECT over ``t`` (the old one) gives."""
+    for f in os.listdir(sf_dir):
+        if f != f"{name}.parquet":
+            os.symlink(f"{sf_dir}/{f}", f"{folder}/{f}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW t AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    con.execute(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{folder}/{f}')")
+    return str(folder), con
+
+
+def test_both_zeros_are_one_node(spark, sf_dir, tmp_path):
+    folder, con = with_table(sf_dir, tmp_path, "customer", "SELECT * REPLACE (CASE WHEN c_custkey % 2 = 0 THEN '-0.0'::DOUBLE ELSE c_acctbal END AS c_acctbal) FROM t")
+    assert con.execute("SELECT count(*) FROM customer WHERE c_acctbal::VARCHAR = '-0.0'").fetchone()[0] > 0
+    assert Q.QUERIES["e5_zero_length"](spark, folder).first()[0] == con.execute(Q.SQL["e5_zero_length"]).fetchone()[0]
