@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.scalar import Unsupported, compile_expr, literal
 from quillgraph.functions.terms import NUMERIC, VType, coerce, number_of, text_of, to_term, truth, unify
-from quillgraph.operators.closure import reachable
+from quillgraph.operators.closure import reachable, reachable_from
 from quillgraph.plans import ast as A
 from quillgraph.plans.parser import parse
 from quillgraph.sources.registry import NS, Edge, Graph
@@ -445,6 +445,8 @@ class Compiler:
         s, o = fixed(t.s), fixed(t.o)
         if t.p.mod == "?":
             found = pairs
+        elif (s is not None or o is not None) and (ways := self.ways(t.p.path)) is not None:
+            found = self.reached(ways, t, s, o, ty)
         else:
             found = reachable(pairs, s, o, self.checkpoint)
         if zero:
@@ -465,6 +467,31 @@ class Compiler:
         cols = {x.name: c for x, c in ((t.s, "src"), (t.o, "dst")) if isinstance(x, A.Var)}
         return Solutions(found.select(*(F.col(c).alias(n) for n, c in cols.items())), dict.fromkeys(cols, ty))
 
+    def ways(self, path: object) -> list[tuple[Edge, bool]] | None:
+        """The edges of an alternation of predicates between nodes, each with whether it is inverted; None for other paths."""
+        out = []
+        for p in path.parts if isinstance(path, A.PathAlt) else (path,):
+            p, inverse = (p.path, True) if isinstance(p, A.PathInv) else (p, False)
+            if not isinstance(p, A.Iri) or not p.value.startswith(NS):
+                return None
+            out += [(e, inverse) for e in self.graph.by_predicate(p.value.removeprefix(NS))]
+        return list(dict.fromkeys(out)) if out and all(self.graph.is_class(e.target) for e, _ in out) else None
+
+    def reached(self, ways: list[tuple[Edge, bool]], t: A.Triple, s: Column | None, o: Column | None, ty: VType) -> DataFrame:
+        """src, dst of the paths of at least one edge from a constant node, or to one."""
+        near, end, c = ("src", "dst", s) if s is not None else ("dst", "src", o)
+        node = t.s if s is not None else t.o
+        cls = self.class_of(node)
+        key = self.node_key(node, cls) if cls in self.graph.classes else None
+        text = node.value.removeprefix(NS).partition("/")[2] if key is not None else ""
+        if key is not None and self.graph.classes[cls].native and not (text.lstrip("-").isdecimal() and str(int(text)) == text and -(2**63) <= int(text) < 2**63):
+            key = None
+        if s is None:
+            ways = [(e, not inverse) for e, inverse in ways]
+        nodes = {} if key is None else reachable_from(self.graph, ways, cls, key, self.checkpoint)
+        parts = [df.select(c.alias(near), coerce(F.col("k"), VType("iri", k), ty).alias(end)) for k, df in sorted(nodes.items())]
+        return reduce(DataFrame.unionByName, parts).select("src", "dst") if parts else self.spark.range(0).select(*(coerce(F.lit(None).cast("string"), VType("str"), ty).alias(n) if ty.kind == "term" else F.lit(None).cast("bigint" if ty.cls else "string").alias(n) for n in ("src", "dst")))
+
     # ---- groups
     def group(self, g: A.Group, known: dict[str, VType] | None = None, correlated: list | None = None) -> Solutions:
         """Solutions of a group.  Filters over variables that it does not bind go to ``correlated``, if given."""

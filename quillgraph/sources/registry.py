@@ -23,6 +23,7 @@ class NodeClass:
     name: str
     native: bool = True  # the key is an integer column; else a string made from several
     named: bool = True  # nodes have a name; those without are intermediate (n-ary) nodes
+    parts: tuple[str, ...] = ()  # columns, all numbers, whose texts joined by "-" are the key (nulls are left out)
 
 
 @dataclass(frozen=True)
@@ -107,7 +108,8 @@ class Graph:
         return self.spark.createDataFrame(rows, "predicate string, domain string, range string, is_object boolean, reverse string, domain_named boolean")
 
 
-_LINE = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, unix_micros(cast(l_shipdate as timestamp)), l_extendedprice, l_quantity)"
+_LINE_PARTS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "unix_micros(cast(l_shipdate as timestamp))", "l_extendedprice", "l_quantity")
+_LINE = f"concat_ws('-', {', '.join(_LINE_PARTS)})"
 
 
 def sales_graph(spark: SparkSession, folder: str) -> Graph:
@@ -117,8 +119,8 @@ def sales_graph(spark: SparkSession, folder: str) -> Graph:
         g.classes[name] = NodeClass(name)
     for name in ("order", "event", "document", "conversation", "page", "item"):
         g.classes[name] = NodeClass(name, named=False)
-    g.classes["lineitem"] = NodeClass("lineitem", native=False, named=False)
-    g.classes["turn"] = NodeClass("turn", native=False, named=False)
+    g.classes["lineitem"] = NodeClass("lineitem", native=False, named=False, parts=_LINE_PARTS)
+    g.classes["turn"] = NodeClass("turn", native=False, named=False, parts=("conv_id", "turn"))
 
     def add(cls: str, table: str, key: str, **columns: tuple[str, str]) -> None:
         for predicate, (column, target) in columns.items():

@@ -239,3 +239,48 @@ def test_endpoint_scan(spark):
     assert {r.value for r in endpoint.values(spark.createDataFrame(rows, "qid string, position int, bindings map<string,struct<type:string,value:string,datatype:string,lang:string>>, boolean boolean, error string"), "x").collect()} == {f"http://e/{i}" for i in range(3)}
     gone = endpoint.odbc_scan(queries.limit(1), "DSN=none", retries=1).first()
     assert gone.error
+
+
+def _odd_lines(spark, folder, n=60):
+    """A small graph of orders and parts whose lines have nulls, negative numbers, repeats and keys that unlike rows share."""
+    rng = random.Random(11)
+    rows = [(1, 3, 4, 1), (1, None, 3, 4), (None, 1, 3, 4), (5, 5, -6, 1), (7, 8, 9, None), (7, None, 8, 9), (2, 2, 2, 2), (2, 2, 2, 2), (None, None, 1, 1), (-1, 3, 0, 0)]
+    rows += [(rng.randint(10, 30), rng.randint(0, 25), rng.randint(0, 3), rng.choice([1, 2, None])) for _ in range(n)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "timestamp'1998-01-01' AS l_shipdate", "1.5D AS l_extendedprice", "double(if(l_linenumber = 2, -1, 1)) AS l_quantity", "0D AS l_discount", "0D AS l_tax", "'N' AS l_returnflag", "'O' AS l_linestatus")
+    df.write.parquet(f"{folder}/lineitem.parquet")
+    return sales_graph(spark, str(folder)), df
+
+
+def test_closure_over_lines_equals_plain_search(spark, tmp_path):
+    g, df = _odd_lines(spark, tmp_path)
+    key = next(e.key for e in g.edges if e.cls == "lineitem")
+    lines = [(r.o and f"kg:order/{r.o}", r.p and f"kg:part/{r.p}", f"kg:lineitem/{r.k}") for r in df.selectExpr("string(l_orderkey) AS o", "string(l_partkey) AS p", f"{key} AS k").collect()]
+    plus = lambda of, start: (lambda seen: [seen.add(y) or todo.append(y) for todo in [[start]] for x in todo for y in of.get(x, ()) if y not in seen] and seen or seen)(set())
+    both = {"of_order": {(k, o) for o, _, k in lines if o}, "of_part": {(k, p) for _, p, k in lines if p}}
+    both |= {"^" + n: {(b, a) for a, b in pairs} for n, pairs in both.items()}
+    starts = ["kg:order/1", "kg:order/2", "kg:order/5", "kg:part/3", "kg:order/404", "kg:order/01", "kg:order/x", lines[9][2], "kg:part/1", lines[0][2]]
+    paths = [("^of_order", "of_order", "of_part", "^of_part"), ("^of_order", "of_part"), ("^of_order", "of_part", "^of_part")]
+    for steps, forwards in itertools.product(paths, (True, False)):
+        of = {}
+        for a, b in set().union(*(both[s] for s in steps)):
+            of.setdefault(a if forwards else b, set()).add(b if forwards else a)
+        path = "|".join(s.replace("of_", ":of_") for s in steps)
+        for start in starts if len(steps) == 4 and forwards else starts[3::6]:
+            text = f"SELECT ?x WHERE {{ <{start}> ({path})+ ?x }}" if forwards else f"SELECT ?x WHERE {{ ?x ({path})+ <{start}> }}"
+            got = [r.x for r in Engine(g).sparql(text).collect()]
+            assert sorted(got) == sorted(plus(of, start)), (text,)
+
+
+def test_closure_from_a_node_stores_no_long_keys(spark, sf_dir, tmp_path):
+    """Lines are passed through by the numbers of their orders and parts; before, every edge was stored as text."""
+    kept = []
+
+    def store(df):
+        kept.append(closure.stored(df))
+        return kept[-1]
+
+    e = Engine(sales_graph(spark, sf_dir), store)
+    n = e.sparql("SELECT (COUNT(?x) AS ?n) WHERE { <kg:order/1> (:of_order|^:of_order|:of_part|^:of_part)+ ?x }").first()[0]
+    assert n > 6000 and {t for df in kept for _, t in df.dtypes} == {"bigint"}
+    assert sum(df.count() for df in kept) < n / 3
