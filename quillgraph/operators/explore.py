@@ -66,6 +66,16 @@ def _around(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return df.withColumn("at_", key).join(keys, F.col("at_") == F.col("anchor_"), "left_semi")
 
 
+def _packed(df: DataFrame, key: Column, keys: DataFrame, cells: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows around anchors, cut down to which of the cells they hold, as bits, before they are joined; and the cells read from these."""
+    bits = {name: (f"m{i // 62}_", 1 << i % 62) for i, name in enumerate(cells)}
+    words: dict[str, list[Column]] = {}
+    for name, (word, bit) in bits.items():
+        words.setdefault(word, []).append(F.when(cells[name].isNotNull(), F.lit(bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    rows = df.select(key.alias("key0_"), *(reduce(lambda a, b: a.bitwiseOR(b), cs).alias(word) for word, cs in words.items()))
+    return _around(rows, F.col("key0_"), keys).select("at_", *words), {name: F.when(F.col(word).bitwiseAND(F.lit(bit).cast("bigint")) != 0, True) for name, (word, bit) in bits.items()}
+
+
 def _tables(edges: list[Edge]) -> list[list[Edge]]:
     """Edges by the table that holds them."""
     out: dict[tuple, list[Edge]] = {}
@@ -210,7 +220,7 @@ def _counted(parts: list[tuple[DataFrame, dict[str, Column]]], spark) -> DataFra
 
 def _ahead(g: Graph, cls: str, keys: DataFrame) -> list[tuple[DataFrame, dict[str, Column]]]:
     """The tables of a class around anchors, with a column for each of its predicates."""
-    return [(_around(g.scan(es[0].table, es[0].key), F.col("key_"), keys), {e.predicate: _present(g, e) for e in es}) for es in _tables([e for e in g.edges if e.cls == cls])]
+    return [_packed(g.scan(es[0].table, es[0].key), F.col("key_"), keys, {e.predicate: _present(g, e) for e in es}) for es in _tables([e for e in g.edges if e.cls == cls])]
 
 
 def _back(g: Graph, cls: str, keys: DataFrame, skip: set[str]) -> list[tuple[DataFrame, dict[str, Column]]]:
@@ -224,7 +234,7 @@ def _over(g: Graph, cls: str, keys: DataFrame, over: set[str], first: list[str]
         if e.target == cls and e.cls in over and (first is None or e.predicate in first):
             others = [x for x in g.edges if x.cls == e.cls and x.table == e.table and x.predicate != e.predicate]
             if others:
-                out.append((_around(g.scan(e.table, e.key), g.value(e), keys), {f"^{e.predicate}/{x.predicate}": _present(g, x) for x in others}))
+                out.append(_packed(g.scan(e.table, e.key), g.value(e), keys, {f"^{e.predicate}/{x.predicate}": _present(g, x) for x in others}))
     return out
 
 
@@ -424,27 +434,27 @@ def statement_steps(g: Graph, anchors: DataFrame, cls: str, subject: str, main:
     """
     own = {e.predicate: e for e in g.edges if e.cls == cls}
     mark = {p: ("ps:" if p == main else "pq:") + p for p in own if p != subject}
-    near, direct_near, between, back, direct_back = [], [], [], [], []
+    near, direct_near, values, direct_back = [], [], [], []
     for c in classes_in(g, anchors):
         keys = _keys(g, anchors, c)
         for p, e in own.items():
             if e.target != c:
                 continue
-            rows = _around(g.scan(e.table, e.key), g.value(e), keys)
             if p == subject:
-                near.append((rows, {f"p:{main}/{mark[q]}": _present(g, own[q]) for q in mark}))
+                cells = {f"p:{main}/{mark[q]}": _present(g, own[q]) for q in mark}
             else:
-                between.append((rows, {f"^{mark[p]}/{mark[q]}": _present(g, own[q]) for q in mark if q != p}))
-                back.append((rows, {f"^{mark[p]}/^p:{main}": _present(g, own[subject])}))
+                cells = {f"^{mark[p]}/{mark[q]}": _present(g, own[q]) for q in mark if q != p} | {f"^{mark[p]}/^p:{main}": _present(g, own[subject])}
+            (near if p == subject else values).append(_packed(g.scan(e.table, e.key), g.value(e), keys, cells))
         direct_near += [(df, {f"p:{p}/ps:{p}": v for p, v in cells.items()}) for df, cells in _ahead(g, c, keys)]
         direct_back += [(df, {f"^ps:{p[1:]}/^p:{p[1:]}": v for p, v in cells.items()}) for df, cells in _back(g, c, keys, {cls})]
-    out = []
-    for way, part, direct in (("nn", near, direct_near), ("rn", between, []), ("rr", back, direct_back)):
-        rows = _counted(part, g.spark)
-        if direct and (not part or rows.isEmpty()):  # a table of the schema's size
-            rows = _counted(direct, g.spark)
-        out.append(rows.withColumn("way", F.lit(way)))
-    return reduce(DataFrame.unionByName, out).select("way", "relation", "n_anchors")
+
+    def rows(parts: list) -> list[tuple[str, int]]:  # as many as the schema has relations; each table is counted once
+        return [(r.relation, r.n_anchors) for r in _counted(parts, g.spark).collect()] if parts else []
+
+    onward = rows(values)
+    back = [r for r in onward if r[0].endswith(f"/^p:{main}")]
+    ways = {"nn": rows(near) or rows(direct_near), "rn": [r for r in onward if r not in back], "rr": back or rows(direct_back)}
+    return g.spark.createDataFrame([(way, *r) for way, found in ways.items() for r in found], "way string, relation string, n_anchors long")
 
 
 def relations_to(g: Graph, anchors: DataFrame, constant: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import closure, editdist, equivalence, reports, similarity, synthesis
+from quillgraph.operators import closure, editdist, equivalence, explore, reports, similarity, synthesis
 from quillgraph.operators.editdist import LabelGraph, Tree
 from quillgraph.plans import ast as A
 from quillgraph.plans.compiler import Engine
@@ -284,3 +284,24 @@ def test_closure_from_a_node_stores_no_long_keys(spark, sf_dir, tmp_path):
     n = e.sparql("SELECT (COUNT(?x) AS ?n) WHERE { <kg:order/1> (:of_order|^:of_order|:of_part|^:of_part)+ ?x }").first()[0]
     assert n > 6000 and {t for df in kept for _, t in df.dtypes} == {"bigint"}
     assert sum(df.count() for df in kept) < n / 3
+
+
+def test_rows_around_anchors_are_narrow_and_counted_once(spark, sf_dir, monkeypatch):
+    """What is joined with anchors is their key and bits; before, whole rows were, and those around subjects twice."""
+    g = sales_graph(spark, sf_dir)
+    anchors = spark.createDataFrame([(f"kg:{c}/{k}",) for c in ("order", "supplier") for k in range(1, 9)], "node string")
+    seen, whole = [], explore._counted
+    monkeypatch.setattr(explore, "_counted", lambda parts, spark: seen.extend(parts) or whole(parts, spark))
+    assert {r.way for r in explore.statement_steps(g, anchors, "lineitem", "of_order", "of_part").collect()} == {"nn", "rn", "rr"}
+    assert len(seen) == 2 and all(len(df.columns) <= 2 for df, _ in seen)
+    explore.next_relations(g, anchors)
+    assert all(len(df.columns) <= 2 for df, cells in seen if not all(c.startswith("^") and "/" not in c for c in cells))
+
+
+def test_more_cells_than_a_word_has_bits(spark):
+    rows = spark.range(200).selectExpr("id % 7 AS k", *(f"if(id % {i + 1} = 0, id, NULL) AS c{i}" for i in range(130)))
+    keys = spark.createDataFrame([(k,) for k in (0, 2, 5)], "anchor_ long")
+    df, cells = explore._packed(rows, F.col("k"), keys, {f"r{i}": F.col(f"c{i}") for i in range(130)})
+    got = {r.relation: (r.n_anchors, r.n_pairs) for r in explore._counted([(df, cells)], spark).collect()}
+    want = {f"r{i}": [n % 7 for n in range(200) if n % (i + 1) == 0 and n % 7 in (0, 2, 5)] for i in range(130)}
+    assert got == {r: (len(set(v)), len(v)) for r, v in want.items() if v}
