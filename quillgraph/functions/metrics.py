@@ -68,11 +68,30 @@ def bare(literal: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(literal, r'("?)\^\^.*$|@[A-Za-z-]+$', "$1"), r'^"|"$', "")
 
 
+def _let(c: Column, f) -> Column:
+    """``f`` of a column that is computed once a row, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def literal_time(literal: Column) -> Column:
     """A rendered time as a timestamp: missing parts are first days and midnight, zone offsets are dropped."""
-    lex = F.regexp_replace(F.regexp_replace(bare(literal), r"(Z|[+-]\d\d:\d\d)$", ""), " ", "T")
-    full = F.when(lex.rlike(r"^\d{4}$"), F.concat(lex, F.lit("-01-01"))).when(lex.rlike(r"^\d{4}-\d{1,2}$"), F.concat(lex, F.lit("-01")))
-    return F.coalesce(full, F.when(lex.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2})?$"), lex)).try_cast("timestamp_ntz")
+
+    def time(lex: Column) -> Column:
+        full = F.when(lex.rlike(r"^\d{4}$"), F.concat(lex, F.lit("-01-01"))).when(lex.rlike(r"^\d{4}-\d{1,2}$"), F.concat(lex, F.lit("-01")))
+        return full.when(lex.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2})?$"), lex).try_cast("timestamp_ntz")
+
+    return _let(F.translate(F.regexp_replace(bare(literal), r"(Z|[+-]\d\d:\d\d)$", ""), " ", "T"), time)
+
+
+def _compared(a: Column, b: Column, times, numbers) -> Column:
+    """What ``times`` says of two rendered literals where both are times (four digits are a year), else ``numbers``; each is read once."""
+    as_numbers = _let(F.struct(bare(a).try_cast("double").alias("x"), bare(b).try_cast("double").alias("y")), lambda v: numbers(v["x"], v["y"]))
+    both = F.struct(literal_time(a).alias("s"), literal_time(b).alias("t"))
+    return _let(both, lambda v: F.when(v["s"].isNotNull() & v["t"].isNotNull(), times(v["s"], v["t"])).otherwise(as_numbers))
+
+
+def _near(x: Column, y: Column) -> Column:
+    return F.abs(x - y) < EPS
 
 
 def compare_literals(a: Column, b: Column, op: str) -> Column:
@@ -80,21 +99,20 @@ def compare_literals(a: Column, b: Column, op: str) -> Column:
 
     Numbers within EPS are equal and not ordered.  What is neither gives false.
     """
-    s, t = literal_time(a), literal_time(b)
-    x, y = bare(a).try_cast("double"), bare(b).try_cast("double")
-    near = F.abs(x - y) < EPS
-    times = {"=": s == t, "<": s < t, ">": s > t, "<=": s <= t, ">=": s >= t}[op]
-    numbers = {"=": near, "<": ~near & (x < y), ">": ~near & (x > y), "<=": near | (x < y), ">=": near | (x > y)}[op]
-    return F.coalesce(F.when(s.isNotNull() & t.isNotNull(), times).otherwise(numbers), F.lit(False))
+    times = {"=": lambda s, t: s == t, "<": lambda s, t: s < t, ">": lambda s, t: s > t, "<=": lambda s, t: s <= t, ">=": lambda s, t: s >= t}[op]
+    numbers = {
+        "=": _near, "<": lambda x, y: ~_near(x, y) & (x < y), ">": lambda x, y: ~_near(x, y) & (x > y),
+        "<=": lambda x, y: _near(x, y) | (x < y), ">=": lambda x, y: _near(x, y) | (x > y),
+    }[op]
+    return F.coalesce(_compared(a, b, times, numbers), F.lit(False))
 
 
 def holding_comparators(a: Column, b: Column) -> Column:
     """Array of the comparators GE, GT, EQ, LE, LT that hold between two rendered literals."""
-    names = F.array(
-        F.when(compare_literals(a, b, "=") | compare_literals(a, b, ">"), "GE"), F.when(compare_literals(a, b, ">"), "GT"), F.when(compare_literals(a, b, "="), "EQ"),
-        F.when(compare_literals(a, b, "=") | compare_literals(a, b, "<"), "LE"), F.when(compare_literals(a, b, "<"), "LT"),
-    )
-    return F.array_compact(names)
+    same, more, less, none = (F.array(*(F.lit(n) for n in names)).cast("array<string>") for names in (("GE", "EQ", "LE"), ("GE", "GT"), ("LE", "LT"), ()))
+    times = lambda s, t: F.when(s == t, same).when(s > t, more).otherwise(less)
+    numbers = lambda x, y: F.when(_near(x, y), same).when(x > y, more).when(x < y, less).otherwise(none)
+    return _compared(a, b, times, numbers)
 
 
 def valid_in(start: Column, end: Column, first: Column, last: Column) -> Column:
